@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import packing, sharding, token_counts, warc
+from sluice.llm import embedding_dups, near_dups, packing, sharding, token_counts, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+SQL_EMBEDDING_DUPS = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
     records = warc.read_archives(manifest).filter("kind = 'record'")
@@ -36,6 +55,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -45,10 +69,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embedding_dups": op2_embedding_dups,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op8_near_dups": op8_near_dups,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES = {"op5_warc": SQL_WARC}
+ORACLES = {"op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC}
