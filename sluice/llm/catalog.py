@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import embedding_dups, near_dups, packing, sharding, token_counts, toxicity, warc
+from sluice.llm import decontamination, embedding_dups, licenses, line_dedup, near_dups, packing, sharding, token_counts, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,6 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "text", "n_lines", "n_removed")
+
+
+SQL_LINE_DEDUP = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM l),
+w AS (SELECT doc_id, pos, trim(ls[pos + 1], ' ') AS a, trim(ls[pos + 2], ' ') AS b, trim(ls[pos + 3], ' ') AS c FROM x WHERE pos + 3 <= len(ls)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM w WHERE a || b || c <> ''),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+kept AS (SELECT x.doc_id, string_agg(x.ls[x.pos + 1], chr(10) ORDER BY x.pos) AS text, count(*) AS n FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.pos = gone.pos WHERE gone.pos IS NULL GROUP BY x.doc_id)
+SELECT l.doc_id, coalesce(kept.text, '') AS text, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed
+FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
+"""
+
+
 def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +47,10 @@ FROM e JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
 """
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,6 +76,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_regions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("_row.doc_id", "n_shingles", "component_id", "kept")
@@ -69,13 +94,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dups": op2_embedding_dups,
+    "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_near_dups": op8_near_dups,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES = {"op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC}
+ORACLES = {"op1_line_dedup": SQL_LINE_DEDUP, "op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC}
