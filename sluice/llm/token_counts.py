@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from sluice.llm.common import fresh_path, need
 from sluice.llm.tokenizing import encoder, tokenizer_digest
 
+#: Texts that a worker holds at a time.
+_ROWS = 500
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
 def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = encoder(path).counts(batch.column("_text").to_pylist())
+            counts = [n for at in range(0, batch.num_rows, _ROWS) for n in encoder(path).counts(batch.column("_text").slice(at, _ROWS).to_pylist())]
             digests = batch.column("content_digest")
             yield pa.RecordBatch.from_arrays([digests, pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 

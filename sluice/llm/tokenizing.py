@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a worker keeps; each takes about 200 bytes.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 200_000
 
 _SPACES = " \t\n\r\x0b\x0c"
 _CHUNK = re.compile(f"[^{_SPACES}]+")
@@ -97,7 +97,7 @@ class Encoder:
         if found is None:
             level = part if part.isascii() else "".join(self.letters.get(c, c) for c in part)
             found = np.array([t.id for t in self.model.tokenize(level)], "<u4").tobytes()
-            if len(self.parts) < self.kept:
+            if len(self.parts) < self.kept // 2:
                 self.parts[part] = found
         return found
 
