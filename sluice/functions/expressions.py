@@ -98,9 +98,12 @@ def _binary(op: str, a: Typed, b: Typed, rules: Rules) -> Typed:
     raise CompileError(f"unknown operation {op!r}")
 
 
-def compile_expression(d: dict, schema: T.StructType, registry: Registry | None = None, rules: Rules = Rules()) -> Typed:
-    """The Column of a descriptor over rows of ``schema``, with its type."""
-    again = lambda e: compile_expression(e, schema, registry, rules)
+def compile_expression(d: dict, schema: T.StructType, registry: Registry | None = None, rules: Rules = Rules(), columns: dict[str, Column] | None = None) -> Typed:
+    """The Column of a descriptor over rows of ``schema``, with its type.
+
+    ``columns`` says which Column a field stands for, where its name alone does not.
+    """
+    again = lambda e: compile_expression(e, schema, registry, rules, columns)
 
     def known(t: Typed) -> Typed:
         if not rules.strict:
@@ -112,7 +115,7 @@ def compile_expression(d: dict, schema: T.StructType, registry: Registry | None
         name = d["name"]
         if name not in schema.names:
             raise CompileError(f"no field {name!r}; there are {schema.names}")
-        return Typed(F.col(f"`{name}`"), schema[name].dataType)
+        return Typed((columns or {}).get(name, F.col(f"`{name}`")), schema[name].dataType)
     if kind == "literal":
         return _literal(d)
     if kind == "unary":
