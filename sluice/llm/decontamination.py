@@ -201,15 +201,46 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     need(docs, id_col, text_col)
     need(benchmark, item_col, item_text)
-    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("doc_id"), plain(F.col(text_col)).alias("_plain"))
+    kind = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id long, word_start long, word_end long, n_patterns long, edits long"
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(_search(told, names), kind) for told, names in _blocks(benchmark, item_col, item_text)])
+
+
+def count_regions(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows ``_row, n_regions`` for every row of ``docs``: its own columns, and how many regions it holds.
+
+    Rows are neither joined nor moved, so null and repeated ids do not matter.
+    """
+    need(docs, text_col)
+    need(benchmark, item_col, item_text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(row.alias("_row"), F.lit(0).cast("long").alias("n_regions"))
+    kind = f"_row {dict(out.dtypes)['_row']}, n_regions long"
+    for told, _ in _blocks(benchmark, item_col, item_text):
+        out = out.withColumn("_plain", plain(F.col(f"_row.`{text_col}`"))).mapInArrow(_count(told), kind)
+    return out
+
+
+def _count(told):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = told.value
+        for batch in batches:
+            n = batch.column("n_regions").to_numpy().copy()
+            for at in range(0, batch.num_rows, 1000):
+                texts = [t.encode() for t in batch.column("_plain").slice(at, 1000).to_pylist()]
+                for found in block.regions(texts):
+                    n[at + found[0]] += 1
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(n)], names=["_row", "n_regions"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple]:
+    """(patterns, broadcast; ids of the items) of one block after the other."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), plain(F.col(item_text)).alias("t")).filter(F.octet_length("t") >= LEAST_BYTES)
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    texts = docs.select(F.col(id_col).alias("doc_id"), plain(F.col(text_col)).alias("_plain"))
-    found = []
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        told = spark.sparkContext.broadcast(Patterns([(n, r["t"].encode()) for n, r in enumerate(own)]))
-        kind = f"doc_id {dict(texts.dtypes)['doc_id']}, item_id long, word_start long, word_end long, n_patterns long, edits long"
-        found.append(texts.mapInArrow(_search(told, [r["i"] for r in own]), kind))
-    return reduce(DataFrame.unionByName, found)
+        yield spark.sparkContext.broadcast(Patterns([(n, r["t"].encode()) for n, r in enumerate(own)])), [r["i"] for r in own]
