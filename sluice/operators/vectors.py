@@ -6,11 +6,14 @@ The index side is taken in blocks of bounded size, each broadcast in turn; a loo
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sluice.errors import CompileError
 
@@ -56,41 +59,45 @@ def nearest(lookup: DataFrame, index: DataFrame, k: int, id_col: str, vector_col
     differs from 1 by more.  Null and invalid lookup vectors have a null ``_near``.
     """
     kind = index.schema[id_col].dataType.simpleString()
-    spark, parts = lookup.sparkSession, []
-    for block in _blocks(index, id_col, vector_col, block_rows):
-        x = _matrix(block["v"])
-        ids = block["i"].to_numpy()
+    found, names = lookup, []
+    for n, block in enumerate(_blocks(index, id_col, vector_col, block_rows)):
+        x, ids = _matrix(block["v"]), block["i"].to_numpy()
         if unit_index is not None and len(x):
             keep = np.abs(1 - np.linalg.norm(x, axis=1)) <= unit_index
             x, ids = x[keep], ids[keep]
-        told = spark.sparkContext.broadcast((x, ids))
-
-        @F.pandas_udf(f"array<struct<distance:double,id:{kind}>>")
-        def find(vectors):
-            import pandas as pd
-
-            x, ids = told.value
-            out = [None] * len(vectors)
-            dim = x.shape[1] if x.ndim == 2 and len(x) else None
-            rows = [i for i, v in enumerate(vectors) if v is not None and (dim is None or _valid(v, dim))]
+        told = lookup.sparkSession.sparkContext.broadcast((x, ids))
+        names.append(f"_near_{n}")
+        out = T.StructType([*found.schema.fields, T.StructField(names[-1], T._parse_datatype_string(f"array<struct<distance:double,id:{kind}>>"))])
+        found = found.mapInArrow(_search(told, lookup_vector, names[-1], k, metric, normalise, to_arrow_type(index.schema[id_col].dataType)), out)
+    merged = F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0])
+    return found.withColumn("_near", F.slice(merged, 1, k)).drop(*names)
+
+
+def _search(told, column: str, name: str, k: int, metric: str, normalise: bool, id_type: pa.DataType):
+    """Batches with the ``k`` nearest rows of a block of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids = told.value
+        plain = [i.item() if hasattr(i, "item") else i for i in ids]
+        for batch in batches:
+            given = batch.column(column).to_pylist()
+            near: list = [None if v is None or len(x) and not _valid(v, x.shape[1]) else [] for v in given]
+            rows = [i for i, v in enumerate(near) if v is not None and len(x)]
             for at in range(0, len(rows), 256):
                 own = rows[at : at + 256]
-                if dim is None:
-                    for r in own:
-                        out[r] = []
-                    continue
-                q = _matrix([vectors.iloc[r] for r in own])
+                q = _matrix([given[r] for r in own])
                 if normalise:
                     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                d = distances(q, x, metric)
-                for j, r in enumerate(own):
-                    near = np.argsort(d[j], kind="stable")[:k] if k >= len(x) else np.lexsort((np.arange(len(x)), d[j]))[:k]
-                    out[r] = [{"distance": float(d[j, n]), "id": ids[n].item() if hasattr(ids[n], "item") else ids[n]} for n in near]
-            return pd.Series(out)
-
-        parts.append(find(F.col(lookup_vector)))
-    merged = reduce(lambda a, b: F.concat(a, b), parts)
-    return lookup.withColumn("_near", F.slice(F.array_sort(merged), 1, k) if len(parts) > 1 else merged)
+                for r, d in zip(own, distances(q, x, metric), strict=True):
+                    best = np.argpartition(d, k - 1)[:k] if k < len(d) else np.arange(len(d))
+                    # Ties at the last place go to the lower id, as ids are in order.
+                    best = np.flatnonzero(d <= d[best].max())
+                    best = best[np.lexsort((best, d[best]))][:k]
+                    near[r] = [{"distance": float(d[b]), "id": plain[b]} for b in best]
+            kind = pa.list_(pa.struct([("distance", pa.float64()), ("id", id_type)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, kind)], names=[*batch.schema.names, name])
+
+    return run
 
 
 def vector_join(lookup: DataFrame, index: DataFrame, join_kind: str = "inner", topk: int = 5, keep_n_matches: int = 5, distance_threshold: float = float("inf"), metric: str = "euclidean", id_col: str = "id", vector_col: str = "embedding", passage_col: str | None = None, lookup_vector: str = "embedding", normalise: bool = True) -> DataFrame:

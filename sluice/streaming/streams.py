@@ -61,6 +61,13 @@ def to_sinks(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _frame(rows, names: list[str], order: str):
+    """A group's rows in order of arrival.  Columns come by place: names that Python reserves are lost on the way."""
+    import pandas as pd
+
+    return pd.concat([r.set_axis(names, axis=1) for r in rows]).sort_values(order)
+
+
 class RunningAggregate(StatefulProcessor):
     """The running built-in aggregate of a group: a row for each arrival, in order within a micro-batch."""
 
@@ -75,7 +82,7 @@ class RunningAggregate(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
 
-        frame = pd.concat(list(rows)).sort_values(self.order)
+        frame = _frame(rows, [*self.keys, self.order, self.field], self.order)
         n, total, low, high = self.state.get() if self.state.exists() else (0, 0.0, None, None)
         out = []
         for v in frame[self.field]:
@@ -109,7 +116,7 @@ class Streaks(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
 
-        frame = pd.concat(list(rows)).sort_values(self.order)
+        frame = _frame(rows, [self.key, self.label, self.order], self.order)
         held = [r[0] for r in self.last.get()] if self.last.exists() else []
         out = []
         for label, at in zip(frame[self.label], frame[self.order], strict=True):
@@ -148,7 +155,7 @@ class BudgetRouter(StatefulProcessor):
 
         from sluice.operators.assign import greedy
 
-        frame = pd.concat(list(rows)).sort_values(self.order)
+        frame = _frame(rows, [self.key, self.order, self.id_col, self.class_col], self.order)
         items, cost = self.spent.get() if self.spent.exists() else (0, 0.0)
         classes = [int(c) for c in frame[self.class_col]]
         budget = (items + len(classes)) * self.per_item - cost
