@@ -23,14 +23,13 @@ LINES = 3
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``_row, text, n_lines, n_removed``: the row's own columns, its text without later occurrences."""
     need(docs, id_col, text_col)
-    text = F.col(f"`{text_col}`")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(f"`{id_col}`").alias("_id"),
         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c].split("<")[0] != "map"]).alias("_hash"),
-        text.alias("_text"),
     )
-    lines = F.split(F.col("_text"), "\n")
+    text = F.col(f"_row.`{text_col}`")
+    lines = F.split(text, "\n")
     # Rows equal in all columns share their key; how many there are decides whether they repeat each other.
     hashed = rows.select("_id", "_hash", F.transform(lines, lambda s: F.xxhash64(F.trim(s))).alias("_l"), F.transform(lines, lambda s: F.trim(s) == "").alias("_blank"))
     hashed = hashed.filter(F.size("_l") >= LINES)
@@ -44,10 +43,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = met.groupBy("_id", "_hash").agg(F.collect_set(F.when(later, F.col("_at"))).alias("_later"), F.collect_set("_at").alias("_all"))
     nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
     marks = marks.withColumnsRenamed({"_id": "_mid", "_hash": "_mhash"})
-    key = [F.col("_id").eqNullSafe(F.col("_mid")), F.col("_hash") == F.col("_mhash")]
+    # The hash alone deals both sides, so that the window below finds its rows where they are.
+    key = (F.col("_hash") == F.col("_mhash")) & F.col("_id").eqNullSafe(F.col("_mid"))
     joined = rows.join(marks, key, "left").drop("_mid", "_mhash").withColumn("_copy", nth)
     covered = F.flatten(F.transform(F.when(F.col("_copy") == 1, F.col("_later")).otherwise(F.col("_all")), lambda i: F.array(i, i + 1, i + 2)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     out = joined.withColumn("_kept", F.when(F.size(covered) > 0, kept))
     short = F.transform("_kept", lambda i: F.get(lines, i))
-    return out.select("_row", F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join(short, "\n")).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_removed"))
+    return out.select("_row", F.when(F.col("_kept").isNull(), text).otherwise(F.array_join(short, "\n")).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_removed"))
