@@ -17,6 +17,15 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold at most ``limit`` values together, or one row."""
+    at, rows = 0, len(offsets) - 1
+    while at < rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, min(end, rows)
+        at = min(end, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of rows with equal keys, from batches sorted by these (number columns without nulls).
 

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.batches import ragged
+from sluice.llm.batches import ragged, slices
 from sluice.llm.common import maybe_broadcast, need, written
 
 #: Share of all words below which an expression is rare, and the count below which it always is.
@@ -39,7 +40,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: Labels up to which the labels' side is broadcast.
 BROADCAST_LABELS = 1_000_000
-_HELD = 1 << 21
+#: Counts that a worker holds before it gives them out, and words that it scores at a time.
+_HELD, _WORDS = 1 << 20, 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -53,25 +55,26 @@ def remainder(doc_id: Column) -> Column:
 
 
 class _Sums:
-    """Sums for each distinct key of a stream, given out whenever many keys are held."""
+    """Counts by class for each distinct key of a stream, given out whenever many keys are held."""
 
     def __init__(self) -> None:
-        self.keys, self.values = [], []
+        self.keys: list[np.ndarray] = []
+        self.toxic: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys.append(keys), self.values.append(values)
+    def add(self, keys: np.ndarray, toxic: np.ndarray) -> None:
+        self.keys.append(keys), self.toxic.append(toxic)
         self.held += len(keys)
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-        keys, values = np.concatenate(self.keys), np.concatenate(self.values)
-        order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order]
+    def take(self) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        toxic = np.concatenate([np.zeros(0, np.int8), *self.toxic])
+        self.keys, self.toxic, self.held = [], [], 0
+        order = np.argsort(keys)
+        keys, toxic = keys[order], toxic[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.values, self.held = [], [], 0
-        return keys[first], np.add.reduceat(values, first) if len(first) else values
+        n = np.add.reduceat(toxic, first, dtype=np.int64) if len(first) else first
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(n), pa.array(np.diff(np.r_[first, len(keys)]) - n)], names=["key", "toxic", "ordinary"])
 
 
 def _counted(key_of):
@@ -79,25 +82,21 @@ def _counted(key_of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-
-        def out() -> pa.RecordBatch:
-            keys, n = sums.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["key", "toxic", "ordinary"])
-
         for batch in batches:
             values, offsets = ragged(batch.column("_words"))
-            toxic = np.repeat(batch.column("_toxic").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
-            keys, keep = key_of(values, offsets)
-            sums.add(keys, np.stack([toxic[keep], 1 - toxic[keep]], 1))
-            if sums.held >= _HELD:
-                yield out()
-        yield out()
+            toxic = batch.column("_toxic").to_numpy(zero_copy_only=False).astype(np.int8)
+            for a, b in slices(offsets, _WORDS):
+                own = offsets[a : b + 1]
+                sums.add(key_of(values[own[0] : own[-1]], own - own[0]), np.repeat(toxic[a:b], np.diff(own)))
+                if sums.held >= _HELD:
+                    yield sums.take()
+        yield sums.take()
 
     return run
 
 
-def _single(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, slice]:
-    return values, slice(None)
+def _single(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return values
 
 
 def _numbered(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -119,10 +118,10 @@ def _follows(number: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
 
 
 def _pairs(told):
-    def key_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, slice]:
+    def key_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         vocabulary = told.value
         number = _numbered(values, vocabulary)
-        return _follows(number, offsets, len(vocabulary) + 1) * (len(vocabulary) + 2) + number, slice(None)
+        return _follows(number, offsets, len(vocabulary) + 1) * (len(vocabulary) + 2) + number
 
     return _counted(key_of)
 
@@ -142,11 +141,12 @@ class Model:
             left = DISCOUNT * kinds / total if kinds else 1.0
             self.word[:, c] = np.maximum(after[:, c] - DISCOUNT, 0) / total + left * shared
         count, kinds = begin[:, :, 0], begin[:, :, 1]
-        self.back = np.where(count > 0, DISCOUNT * kinds / np.maximum(count, 1), 1.0)
+        self.word = self.word.astype(np.float32)
+        self.back = np.where(count > 0, DISCOUNT * kinds / np.maximum(count, 1), 1.0).astype(np.float32)
         order = np.argsort(pairs[:, 0])
         self.keys = pairs[order, 0]
         before = self.keys // n
-        self.pair = np.maximum(pairs[order, 1:] - DISCOUNT, 0) / np.maximum(count[before], 1)
+        self.pair = (np.maximum(pairs[order, 1:] - DISCOUNT, 0) / np.maximum(count[before], 1)).astype(np.float32)
 
     def ratios(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary) + 2
@@ -158,10 +158,14 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             p[hit] += self.pair[at[hit]]
-        return np.log(p[:, 0]) - np.log(p[:, 1])
+        return np.log(p[:, 0].astype(np.float64)) - np.log(p[:, 1])
 
     def features(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text: mean ratio, that of the best passage, of the best three, and log length."""
+        parts = [self._features(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, _WORDS)]
+        return np.concatenate([np.zeros((0, 4)), *parts])
+
+    def _features(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, out = np.diff(offsets), np.zeros((len(offsets) - 1, 4))
         out[:, 3] = np.log1p(n)
         some = np.flatnonzero(n)
@@ -213,21 +217,21 @@ def _featured(told):
     return run
 
 
-def _scored(told):
+def _scored(fitted):
+    told, curve = fitted
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, curve = told.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                score = curve(model.features(*ragged(part.column("_words")))) if not isinstance(curve, float) else np.full(part.num_rows, curve)
-                names = [n for n in part.schema.names if n != "_words"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+            flat = isinstance(curve, float)
+            score = np.full(batch.num_rows, curve) if flat else curve(told.value.features(*ragged(batch.column("_words"))))
+            names = [n for n in batch.schema.names if n != "_words"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model | None, Curve | float]:
-    """The model and the curve; without both classes in both parts, a constant."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Broadcast | None, Curve | float]:
+    """The model, broadcast, and the curve; without both classes in both parts, a constant."""
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
     spark = docs.sparkSession
@@ -252,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = len(vocabulary) + 2
     told = spark.sparkContext.broadcast(vocabulary)
     pairs = written(seen.mapInArrow(_pairs(told), kinds).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "pairs")
+    told.destroy()
     word = F.pmod("key", F.lit(n)).alias("w")
     met = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds")
 
@@ -264,26 +269,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     begin[at, :, 0] = np.stack([got.column(c).to_numpy() for c in ("toxic", "ordinary")], 1)
     begin[at, :, 1] = np.stack([got.column(c).to_numpy() for c in ("toxic_kinds", "ordinary_kinds")], 1)
     kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= least).toArrow()
-    model = Model(vocabulary, after, np.stack([kept.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin)
+    model = spark.sparkContext.broadcast(Model(vocabulary, after, np.stack([kept.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin))
 
     fitting = sum(c for (part, _), c in shares.items() if part)
     rest = labelled.filter("_part = 3")
     if fitting > FIT_ROWS:
         rest = rest.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 20)) < int((1 << 20) * FIT_ROWS / fitting))
-    got = rest.select(words_of(F.col("_text")).alias("_words"), "_toxic").mapInArrow(_featured(spark.sparkContext.broadcast(model)), "toxic int, a double, b double, c double, d double").toArrow()
+    got = rest.select(words_of(F.col("_text")).alias("_words"), "_toxic").mapInArrow(_featured(model), "toxic int, a double, b double, c double, d double").toArrow()
     y = got.column("toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return model, base
     return model, Curve(np.stack([got.column(c).to_numpy() for c in "abcd"], 1), y)
 
 
-def score(docs: DataFrame, fitted: tuple[Model | None, Curve | float], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[Broadcast | None, Curve | float], text_col: str = "text") -> DataFrame:
     """Rows ``_row, score`` for every row of ``docs``; ``_row`` holds its own columns."""
-    spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(words_of(F.col(text_col)).alias("_words"), row.alias("_row"))
-    told = spark.sparkContext.broadcast(fitted)
-    return rows.mapInArrow(_scored(told), f"_row {dict(rows.dtypes)['_row']}, score double")
+    return rows.mapInArrow(_scored(fitted), f"_row {dict(rows.dtypes)['_row']}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,5 +300,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def _slim(docs: DataFrame, fitted, id_col: str, text_col: str) -> DataFrame:
     """As :func:`score`, carrying only the id."""
     rows = docs.select(words_of(F.col(text_col)).alias("_words"), F.col(id_col).alias("doc_id"))
-    told = docs.sparkSession.sparkContext.broadcast(fitted)
-    return rows.mapInArrow(_scored(told), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    return rows.mapInArrow(_scored(fitted), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
