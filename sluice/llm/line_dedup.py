@@ -23,29 +23,29 @@ LINES = 3
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``_row, text, n_lines, n_removed``: the row's own columns, its text without later occurrences."""
     need(docs, id_col, text_col)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(f"`{id_col}`").alias("_id"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c].split("<")[0] != "map"]).alias("_hash"),
+        F.xxhash64(*plain).alias("_hash"),
+        F.hash(*plain).alias("_more"),
     )
     text = F.col(f"_row.`{text_col}`")
     lines = F.split(text, "\n")
-    # Rows equal in all columns share their key; how many there are decides whether they repeat each other.
-    hashed = rows.select("_id", "_hash", F.transform(lines, lambda s: F.xxhash64(F.trim(s))).alias("_l"), F.transform(lines, lambda s: F.trim(s) == "").alias("_blank"))
+    # Rows equal in all columns share their key, 96 bits of hashes.
+    hashed = rows.select("_id", "_hash", "_more", F.transform(lines, lambda s: F.xxhash64(F.trim(s))).alias("_l"), F.transform(lines, lambda s: F.trim(s) == "").alias("_blank"))
     hashed = hashed.filter(F.size("_l") >= LINES)
     place = F.sequence(F.lit(0), F.size("_l") - LINES)
     window = F.transform(place, lambda i: F.struct(i.alias("at"), F.when(F.get("_blank", i) & F.get("_blank", i + 1) & F.get("_blank", i + 2), None).otherwise(F.xxhash64(F.get("_l", i), F.get("_l", i + 1), F.get("_l", i + 2))).alias("w")))
-    windows = hashed.select("_id", "_hash", F.explode(window).alias("_w")).select("_id", "_hash", F.col("_w.at").alias("_at"), F.col("_w.w").alias("_window")).filter("_window is not null")
+    windows = hashed.select("_id", "_hash", "_more", F.explode(window).alias("_w")).select("_id", "_hash", "_more", F.col("_w.at").alias("_at"), F.col("_w.w").alias("_window")).filter("_window is not null")
     first = windows.groupBy("_window").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     met = windows.join(first, "_window")
     later = ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_at") == F.col("_first._at")))
     # A first copy loses what is later in it; further copies of the same row lose all that repeats.
-    marks = met.groupBy("_id", "_hash").agg(F.collect_set(F.when(later, F.col("_at"))).alias("_later"), F.collect_set("_at").alias("_all"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    marks = marks.withColumnsRenamed({"_id": "_mid", "_hash": "_mhash"})
-    # The hash alone deals both sides, so that the window below finds its rows where they are.
-    key = (F.col("_hash") == F.col("_mhash")) & F.col("_id").eqNullSafe(F.col("_mid"))
-    joined = rows.join(marks, key, "left").drop("_mid", "_mhash").withColumn("_copy", nth)
+    marks = met.groupBy("_hash", "_more").agg(F.collect_set(F.when(later, F.col("_at"))).alias("_later"), F.collect_set("_at").alias("_all"))
+    nth = F.row_number().over(Window.partitionBy("_hash", "_more").orderBy(F.lit(1)))
+    # Both hashes deal both sides, so that the window finds its rows where they are: texts move once.
+    joined = rows.join(marks, ["_hash", "_more"], "left").withColumn("_copy", nth)
     covered = F.flatten(F.transform(F.when(F.col("_copy") == 1, F.col("_later")).otherwise(F.col("_all")), lambda i: F.array(i, i + 1, i + 2)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     out = joined.withColumn("_kept", F.when(F.size(covered) > 0, kept))
