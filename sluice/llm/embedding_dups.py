@@ -1,7 +1,10 @@
 """Near duplicates of vectors by cosine, with a forest of random-projection trees.
 
 Each tree cuts at the median of a random direction, with a spill: vectors whose projection lies in
-the band around the cut go to both sides.  Trees are fitted on a bounded sample, and leaves that turn
+the band around the cut go to both sides.  The band is as wide as SPREADS standard deviations of what
+a random direction makes of the difference of a pair at COSINE, whatever the node, so dense groups lose
+no more than others; a node that hardly shrinks by such a cut stays a leaf, which is compared whole.
+There are as many trees as bring the calculated loss below LOSS at the table's size.  Trees are fitted on a bounded sample, and leaves that turn
 out too large are cut further on samples of their own; every vector is then dealt to the leaves of all
 trees, and pairs are compared within leaves only, in double precision.
 
@@ -17,6 +20,7 @@ repeated rows are copies of each other; an empty table gives no rows; further co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,15 +34,34 @@ from sluice.llm.common import maybe_broadcast, need, written
 from sluice.llm.components import components
 
 COSINE = 0.95
-TREES = 6
-#: Share of a node's vectors that goes to both sides of a cut.
-SPILL = 0.12
+#: Width of the band that goes to both sides, in standard deviations of a linking pair's distance along it.
+SPREADS = 2.0
+#: Share of a node's vectors that a side of a cut may have, and directions tried for one.
+SIDE, DIRECTIONS = 0.65, 4
+#: Probability of missing a pair at a cosine of exactly COSINE, at most.
+LOSS = 1e-4
 #: Vectors that the fit looks at in each round, at most, and rounds of cutting large leaves.
 FIT_ROWS, ROUNDS = 20_000, 4
 #: Rows that a leaf should have, and rows of a block.
-LEAF_ROWS, BLOCK_ROWS = 512, 2048
+LEAF_ROWS, BLOCK_ROWS = 1024, 2048
 #: Sample vectors below which a node is not cut.
 LEAST_SAMPLE = 24
+#: Rows of a block that are compared with the others at a time.
+_STRIP = 512
+
+
+def trees_for(rows: float) -> int:
+    """Trees that together part a pair with a probability of at most LOSS.
+
+    A cut parts a pair whose distance along it, normal with deviation d, exceeds the band's SPREADS * d,
+    if the cut lies between: E max(|N| - SPREADS, 0) * d times the density there, and the density is the
+    band's share (at most 2 * SIDE - 1) over its width.
+    """
+    if rows <= LEAF_ROWS:
+        return 1
+    beyond = math.sqrt(2 / math.pi) * math.exp(-(SPREADS**2) / 2) - SPREADS * math.erfc(SPREADS / math.sqrt(2))
+    loss = beyond / SPREADS * (2 * SIDE - 1) * math.log(rows / LEAF_ROWS) / -math.log(SIDE)
+    return max(1, math.ceil(math.log(LOSS) / math.log(min(loss, 0.5))))
 
 
 @dataclass
@@ -51,6 +74,10 @@ class Forest:
     cuts: dict[int, tuple[np.ndarray, float, float, int, int]] = field(default_factory=dict)
     nodes: int = 0
 
+    @property
+    def band(self) -> float:
+        return math.sqrt(2 - 2 * COSINE) * min(1.0, SPREADS / math.sqrt(self.dim))
+
     def _new(self) -> int:
         self.nodes += 1
         return self.nodes - 1
@@ -64,18 +91,16 @@ class Forest:
                 continue
             x = sample[own]
             rng = np.random.RandomState((self.seed * 1_000_003 + node) % (1 << 32))
-            if len(x) > 1:
-                center = x.mean(0)
-                center /= max(np.linalg.norm(center), 1e-12)
-                if (x @ center).min() >= np.cos(np.arccos(COSINE) / 2):
-                    continue  # all link with all: a cut would lose links
-            direction = rng.standard_normal(self.dim)
-            direction /= np.linalg.norm(direction)
-            p = x @ direction
-            low, high = np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2])
-            left, right = own[p <= high], own[p >= low]
-            if max(len(left), len(right)) > 0.8 * len(own):
-                continue
+            for _ in range(DIRECTIONS):
+                direction = rng.standard_normal(self.dim)
+                direction /= np.linalg.norm(direction)
+                p = x @ direction
+                low, high = np.median(p) - self.band / 2, np.median(p) + self.band / 2
+                left, right = own[p <= high], own[p >= low]
+                if max(len(left), len(right)) <= SIDE * len(own):
+                    break
+            else:
+                continue  # a cut would save nothing, or lose links
             a, b = self._new(), self._new()
             self.cuts[node] = (direction, float(low), float(high), a, b)
             todo += [(a, left, n * len(left) / len(own)), (b, right, n * len(right) / len(own))]
@@ -84,6 +109,8 @@ class Forest:
         for _ in range(trees):
             self.roots.append(self._new())
             self.grow(self.roots[-1], sample, rows)
+            if self.roots[-1] not in self.cuts and rows <= 2 * LEAF_ROWS:
+                return  # one leaf has all pairs
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that each vector falls into."""
@@ -130,23 +157,28 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, copies, block = (g.column(c).to_numpy() for c in ("_rid", "_copies", "_block"))
         i, j, leaf = (g.column(c)[0].as_py() for c in ("_i", "_j", "_leaf"))
         x = _unit(g, "_v")
-        link = x @ x.T >= COSINE
+        link = np.zeros((len(x), len(x)), bool)
+        for at in range(0, len(x), _STRIP):
+            link[at : at + _STRIP] = x[at : at + _STRIP] @ x.T >= COSINE
         np.fill_diagonal(link, False)
         if i != j:
             link &= block[:, None] != block[None, :]
-        if not link.any():
+        some = np.flatnonzero(link.any(1))
+        if not len(some):
             continue
-        values, offsets = ragged(g.column("_leaves"))
-        row = np.repeat(np.arange(len(x)), np.diff(offsets))
+        if len(some) < len(x):
+            link, rid, copies = link[np.ix_(some, some)], rid[some], copies[some]
+        values, offsets = ragged(g.column("_leaves").take(pa.array(some)))
+        row = np.repeat(np.arange(len(some)), np.diff(offsets))
         before = values < leaf
-        if before.any():
-            names, cell = np.unique(values[before], return_inverse=True)
-            inside = np.zeros((len(x), len(names)), np.float32)
-            inside[row[before], cell] = 1
-            first = link & ~(inside @ inside.T > 0)
-        else:
-            first = link
-        n = first @ copies.astype(np.float64)
+        names, cell = np.unique(values[before], return_inverse=True)
+        inside = np.zeros((len(some), len(names)), np.float32)
+        inside[row[before], cell] = 1
+        n = np.zeros(len(some))
+        for at in range(0, len(some), _STRIP):
+            first = link[at : at + _STRIP] & ~(inside[at : at + _STRIP] @ inside.T > 0)
+            n[at : at + _STRIP] = first @ copies.astype(np.float64)
+        x = x[some]
         root = np.full(len(x), -1)
         for s in range(len(x)):
             if root[s] >= 0:
@@ -159,7 +191,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(n[keep].astype(np.int64)), pa.array(rid[root][keep])], names=["u", "n", "v"])
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", trees: int | None = None) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
@@ -168,7 +200,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Scaled by the largest component, so that neither tiny nor huge vectors lose their length.
     scaled = F.when(F.coalesce(plain, F.lit(False)), v)
     rows = vectors.select(F.col(id_col).alias("vec_id"), scaled.alias("_w"))
-    rows = rows.withColumn("_m", F.array_max(F.transform("_w", lambda x: F.abs(x)))).select("vec_id", F.transform("_w", lambda x: x / F.col("_m")).alias("_v"))
+    if dict(vectors.dtypes)[vector_col] == "array<float>":
+        # Floats keep their length in double precision as they are, in half the bytes.
+        rows = rows.select("vec_id", F.col("_w").cast("array<float>").alias("_v"))
+    else:
+        rows = rows.withColumn("_m", F.array_max(F.transform("_w", lambda x: F.abs(x)))).select("vec_id", F.transform("_w", lambda x: x / F.col("_m")).alias("_v"))
     rows = written(rows, "vectors")
     distinct = written(rows.filter("_v is not null").groupBy("_v").agg(F.count("*").alias("_copies"), F.min("vec_id").alias("_least")).withColumn("_rid", F.monotonically_increasing_id()), "distinct")
 
@@ -178,7 +214,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         total = own.count()
         forest = Forest(dim)
         sample = own.sample(min(1.0, FIT_ROWS / total), seed=3).select("_v").toArrow()
-        forest.plant(_unit(sample, "_v") if sample.num_rows else np.zeros((0, dim)), total, trees)
+        forest.plant(_unit(sample, "_v") if sample.num_rows else np.zeros((0, dim)), total, trees or trees_for(total))
         for _ in range(ROUNDS):
             told = spark.sparkContext.broadcast(forest)
             kind = ", ".join(f"{n} {t}" for n, t in own.dtypes)
