@@ -2,9 +2,9 @@
 
 Pairs of words are counted for toxic and ordinary texts.  Within a class, a pair's discounted count
 backs off to the word's continuation count (how many different words it follows there), and that to
-continuation counts of both classes together.  Expressions below a share of all words have no counts
-of their own: they are one rare word, so classes differ on them only through shared counts.  By that
-share a model has at most 1 / RARE words and as many pairs, whatever the input, and is broadcast.
+continuation counts of both classes together.  Words and pairs met fewer than LEAST times
+have no counts of their own, at every size of the input: such words are one rare word, so classes differ
+on them only through shared counts.  The model grows with the input; it is collected and broadcast.
 
 A text is scored whole: the log-likelihood ratio of toxic to ordinary, normalised by length, over the
 text and over its passages of PASSAGE words.  A logistic curve over these turns them into a score; it
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from sluice.llm.batches import ragged, slices
 from sluice.llm.common import maybe_broadcast, need, written
 
-#: Share of all words below which an expression is rare, and the count below which it always is.
-RARE, LEAST = 1e-6, 3
+#: Count below which an expression is rare.
+LEAST = 3
 DISCOUNT = 0.75
 PASSAGE = 8
 FIT_ROWS = 20_000
@@ -250,9 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tokens = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not (tokens[0] and tokens[1]):
         return None, base
-    least = max(LEAST, RARE * (tokens[0] + tokens[1]))
-    # At most 1 / RARE rows, as each has that share of all words.
-    vocabulary = np.sort(counts.filter(F.col("toxic") + F.col("ordinary") >= least).select("key").toArrow().column("key").to_numpy())
+    vocabulary = np.sort(counts.filter(F.col("toxic") + F.col("ordinary") >= LEAST).select("key").toArrow().column("key").to_numpy())
     n = len(vocabulary) + 2
     told = spark.sparkContext.broadcast(vocabulary)
     pairs = written(seen.mapInArrow(_pairs(told), kinds).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "pairs")
@@ -268,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     at = got.column("w").to_numpy()
     begin[at, :, 0] = np.stack([got.column(c).to_numpy() for c in ("toxic", "ordinary")], 1)
     begin[at, :, 1] = np.stack([got.column(c).to_numpy() for c in ("toxic_kinds", "ordinary_kinds")], 1)
-    kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= least).toArrow()
+    kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= LEAST).toArrow()
     model = spark.sparkContext.broadcast(Model(vocabulary, after, np.stack([kept.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin))
 
     fitting = sum(c for (part, _), c in shares.items() if part)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm.toxicity import Curve, Model, fit, score, toxicity
 
@@ -48,6 +49,20 @@ def test_held_out_labels_do_not_matter(spark, scored):
     assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in scored["out"]})
 
 
+def test_rare_expressions_count_in_large_inputs(spark):
+    """Four occurrences are enough, however many words are counted beside them."""
+    counted = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 < 2]
+    rows = [(i, "vile scoundrel") for i in counted[:4]]
+    rare = spark.createDataFrame(rows, "doc_id long, text string")
+    filler = spark.createDataFrame([(i,) for i in counted[4:104]], "doc_id long").withColumn("text", F.expr("repeat('alpha beta gamma delta ', 15000)"))
+    labels = spark.createDataFrame([(i, int(i in counted[:4])) for i in counted], "doc_id long, toxic int")
+    model = fit(rare.unionByName(filler), labels)[0].value
+    vile, scoundrel = spark.range(1).select(F.xxhash64(F.lit("vile")), F.xxhash64(F.lit("scoundrel"))).first()
+    at = {w: k for k, w in enumerate(model.vocabulary.tolist())}
+    assert vile in at and scoundrel in at
+    assert at[vile] * (len(at) + 2) + at[scoundrel] in model.keys.tolist()
+
+
 def test_probabilities_sum_to_one():
     """The model's p(word | before) sums to 1 over the vocabulary, the rare word included."""
     rng = np.random.RandomState(0)
