@@ -5,6 +5,10 @@ anchors is kept, and the gaps between them are aligned in the same way.  A gap w
 trimmed of equal ends and, if small, aligned by longest common subsequence.  Coverage is the share of
 the template's words that the alignment places.
 
+Several copies in one area leave no word unique, and anchors of one may hide another.  Where patience
+finds too little, the stretch with the longest common subsequence is therefore searched for exactly, from
+every word at which enough of the template's words follow within its reach.
+
 Only texts that hold a gate word are aligned.  A template's gate words are such that more than the
 share LESS of its places are theirs, so a text without any cannot reach the coverage; the gate loses
 nothing.  Alignment looks at the whole text around gate words, as far as a template with half as many
@@ -152,6 +156,50 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _common(masks: dict[str, int], size: int, own: list[str]) -> tuple[int, int]:
+    """Length of the longest common subsequence with a template of ``size`` words, bit-parallel, and the
+    first place in ``own`` by which it is complete."""
+    full = (1 << size) - 1
+    v, length, end = full, 0, 0
+    for k, w in enumerate(own, 1):
+        mask = masks.get(w)
+        if mask is None:
+            continue
+        u = v & mask
+        if u:
+            v = ((v + u) | (v - u)) & full
+            now = size - v.bit_count()
+            if now > length:
+                length, end = now, k
+    return length, end
+
+
+def densest(template: list[str], own: list[str], limit: int, least: float) -> tuple[int, int, int]:
+    """(matched, begin, end) of the stretch of at most ``limit`` words of ``own`` that has the longest
+    common subsequence with the template, or (0, 0, 0) if that is below ``least``."""
+    times, held, n = Counter(template), Counter(), 0
+    masks: dict[str, int] = {}
+    for k, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << k
+    best = (0, 0, 0)
+    for s in range(len(own) - 1, -1, -1):
+        w = own[s]
+        if s + limit < len(own):
+            gone = own[s + limit]
+            held[gone] -= 1
+            n -= held[gone] < times[gone]
+        n += held[w] < times[w]
+        held[w] += 1
+        # ``n`` words are common in any order, so no more are in the template's.
+        if n >= least and n > best[0] and w in masks:
+            length, end = _common(masks, len(template), own[s : s + limit])
+            if length >= least and length > best[0]:
+                best = (length, s, s + end)
+                if length == len(template):
+                    break
+    return best
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> None:
         self.coverage = coverage
@@ -171,6 +219,9 @@ class Scanner:
 
     def _find(self, own: list[str], template: list[str], begin: int, end: int) -> list[tuple[int, int, int]]:
         """(matched, begin, end) of the finds in an area; it goes on to both sides of a find."""
+        need = self.coverage * len(template)
+        if sum((Counter(template) & Counter(own[begin:end])).values()) < need:
+            return []
         pairs = patience(template, own[begin:end])
         limit, n = int(len(template) * (1 + INSERTED)) + 1, len(pairs)
         best, i = (0, 0, 0), 0
@@ -179,9 +230,13 @@ class Scanner:
                 i += 1
             if j - i + 1 > best[0]:
                 best = (j - i + 1, i, j)
-        if best[0] < self.coverage * len(template):
-            return []
-        a, b = begin + pairs[best[1]][1], begin + pairs[best[2]][1] + 1
+        if best[0] >= need:
+            a, b = begin + pairs[best[1]][1], begin + pairs[best[2]][1] + 1
+        else:
+            best = densest(template, own[begin:end], limit, need)
+            if not best[0]:
+                return []
+            a, b = begin + best[1], begin + best[2]
         least = -(-int(self.coverage * len(template)) // 1)
         found = [(best[0], a, b)]
         if a - begin >= least:

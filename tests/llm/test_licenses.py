@@ -1,6 +1,6 @@
 import random
 
-from sluice.llm.licenses import TEMPLATES, Scanner, gate_words, patience, scan_licenses, words
+from sluice.llm.licenses import TEMPLATES, Scanner, gate_words, densest, patience, scan_licenses, words
 
 
 def filler(n, seed):
@@ -49,6 +49,40 @@ def test_clean_text_has_none_and_two_are_both_found():
     assert [f[0] for f in scanner.scan(both)] == ["MIT-notice", "CC-BY-NC-4.0-notice", "MIT-notice"]
 
 
+def test_two_copies_of_every_template_are_both_found():
+    scanner = Scanner()
+    for name, template in TEMPLATES.items():
+        own, before, between, after = words(template), words(filler(40, 8)), words(filler(30, 9)), words(filler(40, 10))
+        found = scanner.scan(before + own + between + own + after)
+        assert found == [(name, 1.0, 40, 40 + len(own)), (name, 1.0, 70 + len(own), 70 + 2 * len(own))]
+        assert [f[0] for f in scanner.scan(before + own * 3 + after)] == [name] * 3
+
+
+def test_two_damaged_copies_are_both_found():
+    """Each lacks a part that the other has, so one alignment over both would take a half of each."""
+    own = words(TEMPLATES["MIT"])
+    text = words(filler(40, 8)) + own[: len(own) * 4 // 5] + words(filler(30, 9)) + own[len(own) // 5 :] + words(filler(40, 10))
+    assert [f[0] for f in Scanner().scan(text)] == ["MIT", "MIT"]
+
+
+def test_densest_against_brute_force():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        return row[-1]
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        a, b = ([rng.choice("abcdefgh") for _ in range(n)] for n in (8, 40))
+        most = max(common(a, b[s : s + 13]) for s in range(len(b)))
+        n, begin, end = densest(a, b, 13, 5)
+        assert n == (most if most >= 5 else 0)
+        assert not n or (end - begin <= 13 and common(a, b[begin:end]) == n)
+
+
 def test_table(make_docs, odd_rows):
     rows = [*odd_rows, (20, "Intro.\n" + TEMPLATES["MIT"]), (20, "Intro.\n" + TEMPLATES["MIT"]), (21, filler(50, 2) + " " + TEMPLATES["GPL-3.0-notice"])]
     out = scan_licenses(make_docs(rows)).collect()
