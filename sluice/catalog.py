@@ -812,7 +812,7 @@ def fft_features(spark, sf):
 @query()
 def image_features(spark, sf):
     pixels = F.encode(F.rpad(F.lit(""), 3 * 40 * 30, "abcdefgh"), "utf-8")
-    df = table(spark, sf, "events").filter("event_id < 200").select("event_id", F.array(F.lit(30), F.lit(40), F.lit(3)).cast("array<bigint>").alias("shape"), pixels.alias("data"))
+    df = table(spark, sf, "events").select("event_id", F.array(F.lit(30), F.lit(40), F.lit(3)).cast("array<bigint>").alias("shape"), pixels.alias("data"))
     return signal.with_image_features(df, "shape", "data").select("event_id", F.size("features").alias("n"), F.get("features", F.lit(0)).alias("width"))
 
 

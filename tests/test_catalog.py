@@ -34,3 +34,8 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_image_features_takes_all_events(spark, duck):
+    got = catalog.image_features(spark, TABLES).select("event_id").collect()
+    assert sorted(r["event_id"] for r in got) == [i for (i,) in duck.sql("SELECT event_id FROM events ORDER BY event_id").fetchall()]
