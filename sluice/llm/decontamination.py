@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma, verified by banded alignment.
 
-Items are cut into overlapping patterns of PATTERN bytes of their plain form (lower case, letters and
-digits, single spaces).  A text region within ``k`` edits of a pattern of ``m`` bytes shares at least
+Items of more than PATTERN bytes of their plain form (lower case, letters and digits, single spaces) are
+cut into overlapping patterns of PATTERN and of PART bytes; shorter ones are one pattern.  A verbatim part of 67 bytes
+of a longer item is found wherever it begins.  A text region within ``k`` edits of a pattern of ``m`` bytes shares at least
 ``m - q + 1 - k q`` of its q-grams with it, all inside ``k + 1`` diagonals.  Shared q-grams are therefore
 counted in diagonal bands of twice that width that overlap by half; bands that reach the bound are
 aligned, inside the band, and kept if they need at most ``k`` edits.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from sluice.llm.common import need
 
 Q, PATTERN, STEP = 8, 96, 48
+#: Bytes of the shorter patterns of items longer than PATTERN, and bytes from one to the next.
+PART, PART_STEP = 64, 16
 #: Edits allowed, as a share of a pattern's bytes.
 EDITS = 0.1
 LEAST_BYTES = 24
@@ -59,9 +62,9 @@ class Patterns:
         self.data, self.item, self.k = [], [], []
         for number, data in items:
             m = len(data)
-            starts = [0] if m <= PATTERN else sorted({*range(0, m - PATTERN, STEP), m - PATTERN})
-            for s in starts:
-                cut = data[s : s + PATTERN]
+            cuts = [(0, m)] if m <= PATTERN else [(s, n) for n, step in ((PATTERN, STEP), (PART, PART_STEP)) for s in sorted({*range(0, m - n, step), m - n})]
+            for s, n in cuts:
+                cut = data[s : s + n]
                 self.data.append(cut), self.item.append(number)
                 self.k.append(min(int(EDITS * len(cut)), (len(cut) - Q) // Q))
         grams, pattern, at = [], [], []

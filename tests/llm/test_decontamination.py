@@ -47,6 +47,15 @@ def test_windows_within_the_budget_are_found(seed):
             assert need <= found[0][5] <= k
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_verbatim_parts_of_67_bytes_are_found_at_every_offset(seed):
+    item = prose(60, seed).encode()
+    block = Patterns([(0, item)])
+    before, after = (prose(40, seed + n).encode() for n in (500, 600))
+    texts = [before + b" 0 " + item[s : s + 67] + b" 0 " + after for s in range(len(item) - 66)]
+    assert [f[0] for f in block.regions(texts)] == list(range(len(texts)))
+
+
 def test_several_texts_and_items(spark, make_docs, odd_rows):
     items = [(n, prose(45, n)) for n in range(6)] + [(7, "tiny"), (8, None), (9, ""), (0, prose(45, 0))]
     clean = [(100 + n, prose(300, 1000 + n)) for n in range(20)]
