@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import getpass
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-#: Rows of an Arrow batch, at most.
-BATCH_ROWS = 1000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,11 +29,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written within each open :func:`tidied` block, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and ids made in it are fixed."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables written inside, at the end, but those that the given function is told to keep."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        for df in _OPEN.pop():
+            if not any(df is k for k in kept):
+                drop_written(df)
+            elif _OPEN:
+                _OPEN[-1].append(df)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -47,11 +73,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`written`, once nothing reads it any more."""
-    root = shared_dir(df.sparkSession)
-    parents = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for parent in parents:
-        if parent.split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-            delete(df.sparkSession, parent)
+    delete(df.sparkSession, df.written_to)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -65,12 +87,11 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def need(df: DataFrame, *columns: str) -> None:
-    """Check an operator's columns, and keep Arrow batches so small that whole texts fit a worker."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """Check an operator's columns.
+
+    Whole texts go to workers in Arrow batches, which Spark bounds by bytes
+    (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set); functions take parts of them.
+    """
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {df.columns}")
-
-

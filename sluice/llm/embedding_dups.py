@@ -243,7 +243,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     count, edge = links[0], edges[0]
     for a, b in zip(links[1:], edges[1:], strict=True):
         count, edge = count.unionByName(a), edge.unionByName(b)
-    label = written(components(edge), "labels").toDF("_rid", "_c")
+    label = components(edge).toDF("_rid", "_c")
     named = distinct.join(maybe_broadcast(label), "_rid", "left").withColumn("_c", F.coalesce("_c", "_rid"))
     least = named.groupBy("_c").agg(F.min("_least").alias("_first"))
     named = named.join(least, "_c").join(maybe_broadcast(count.withColumnRenamed("u", "_rid")), "_rid", "left")
