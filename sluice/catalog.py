@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import boxes, signal, text
 from sluice.functions.expressions import Rules, compile_expression, returning
-from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, vectors
+from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vectors
 from sluice.plans.compiler import Compiler, Settings
 from sluice.plans.registry import Registry
 from sluice.sources import readers
@@ -137,7 +137,7 @@ def expr_udf(spark, sf):
 def flat_map_words(spark, sf):
     df = table(spark, sf, "documents")
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
-    return relational.flat_map(df, F.transform(words, lambda w: F.struct(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), w.alias("word"))))
+    return relational.flat_map(df, words, keep=["doc_id", "lang"], name="word")
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -165,10 +165,10 @@ def join_outer_build_right(spark, sf):
     return run(spark, operators, {"customers": lambda s: table(s, sf, "customer").withColumnRenamed("c_custkey", "k"), "orders": lambda s: table(s, sf, "orders").withColumnRenamed("o_custkey", "k")})
 
 
-@query("SELECT a.k AS k, c_custkey, s_suppkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey % 5 = 0) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
+@query("SELECT a.k AS k, c_custkey, s_suppkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_keys(spark, sf):
     key = lambda c: F.when(F.col(c) != 3, F.col(c)).alias("k")
-    a = table(spark, sf, "customer").filter("c_custkey % 5 = 0").select("c_custkey", key("c_nationkey"))
+    a = table(spark, sf, "customer").select("c_custkey", key("c_nationkey"))
     return joins.inner_build_right(a, table(spark, sf, "supplier").select("s_suppkey", key("s_nationkey")), ["k"]).select("k", "c_custkey", "s_suppkey")
 
 
@@ -199,17 +199,12 @@ for _op, _sql in (("sum", "round(sum(value) OVER w, 6)"), ("count", "count(value
 
     def _running(spark, sf, op=_op):
         df = events(spark, sf)
-        operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["user_id", "event_id"], "aggregate": {"kind": "builtin", "op": op, "field": "value"}}]
-        if op == "sum":  # as a descriptor; its rows hold the keys and the value only
-            operators[1]["fields"] = ["user_id"]
-            out = run(spark, operators, {"e": lambda s: df}, order=ARRIVAL)
-            return out.select("user_id", r6(F.col("sum(value)")).alias("value"))
-        so_far = Window.partitionBy("user_id").orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, 0)
-        value = aggregates.BUILTIN[op]("value").over(so_far)
-        return df.select("event_id", "user_id", (F.round(value, 9) if op == "avg" else value).alias("value"))
-
-    _id = "" if _op == "sum" else "event_id, "
-    query(f"{E} SELECT {_id}user_id, {_sql} AS value FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)", f"group_{_op}_running")(_running)
+        operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["user_id"], "aggregate": {"kind": "builtin", "op": op, "field": "value"}}]
+        out = run(spark, operators, {"e": lambda s: df}, order=ARRIVAL)
+        value = F.col(f"{op}(value)")
+        return out.select("user_id", (r6(value) if op == "sum" else F.round(value, 9) if op == "avg" else value).alias("value"))
+
+    query(f"{E} SELECT user_id, {_sql} AS value FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)", f"group_{_op}_running")(_running)
 
     def _final(spark, sf, op=_op):
         out = aggregates.final(table(spark, sf, "events"), ["event_type"], op, "value")
@@ -243,9 +238,9 @@ def agg_species_count_prob(spark, sf):
     return aggregates.species_counts(df, "event_type", "ms", "p", None, 5_000_000, None, ["event_id"]).drop("expected_count").withColumn("count", r6(F.col("count")))
 
 
-@query(E + " SELECT event_id, event_type AS class_id, ms AS time_ms, CAST(count(*) OVER w AS DOUBLE) AS count, CAST(max(user_id) OVER w AS INTEGER) AS expected_count FROM e WHERE user_id > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 5000000 PRECEDING AND CURRENT ROW)")
+@query(E + " SELECT event_id, event_type AS class_id, ms AS time_ms, CAST(count(*) OVER w AS DOUBLE) AS count, CAST(nullif(greatest(max(user_id) OVER w, 0), 0) AS INTEGER) AS expected_count FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 5000000 PRECEDING AND CURRENT ROW)")
 def agg_species_count_simple(spark, sf):
-    df = events(spark, sf).filter("user_id > 0").withColumn("expected", F.col("user_id").cast("int"))
+    df = events(spark, sf).withColumn("expected", F.col("user_id").cast("int"))
     return aggregates.species_counts(df, "event_type", "ms", None, "expected", 5_000_000, None, ["event_id"])
 
 
@@ -262,7 +257,9 @@ def agg_complete_by_count(spark, sf):
 @query("SELECT k[1] AS user_id, k[2] AS bucket, n FROM (SELECT [user_id, CAST(floor(value / 100) AS BIGINT)] AS k, count(*) AS n FROM events GROUP BY 1)")
 def agg_list_keys(spark, sf):
     df = table(spark, sf, "events").withColumn("k", F.array("user_id", F.floor(F.col("value") / 100)))
-    return df.groupBy("k").agg(F.count("*").alias("n")).select(F.get("k", F.lit(0)).alias("user_id"), F.get("k", F.lit(1)).alias("bucket"), "n")
+    operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["k"], "aggregate": {"kind": "builtin", "op": "count", "field": "k"}}]
+    out = run(spark, operators, {"e": lambda s: df}, running=False).withColumnRenamed("count(k)", "n")
+    return out.select(F.get("k", F.lit(0)).alias("user_id"), F.get("k", F.lit(1)).alias("bucket"), "n")
 
 
 # --- unions, top-k, chunks ---------------------------------------------------------------------
@@ -427,7 +424,7 @@ def route_half_and_half(spark, sf):
 @query()
 def route_eddies_queues(spark, sf):
     df = events(spark, sf).withColumn("tick", F.expr("ms div 86400000")).select("tick", "us", "event_id")
-    return routing.eddies(df, "tick", ARRIVAL, routing.draw(F.col("event_id")), [50, 100, 200], 1).select("event_id", F.col(routing.ROUTE).alias("route"))
+    return routing.eddies(df, "tick", "event_id", ARRIVAL, routing.draw(F.col("event_id")), [50, 100, 200], 1).select("event_id", F.col(routing.ROUTE).alias("route"))
 
 
 @query(f"SELECT event_id, CASE CAST(floor({_U} * 2) AS INTEGER) WHEN 0 THEN CASE WHEN value < 100 THEN 1 WHEN value > 400 THEN 2 ELSE 0 END ELSE CASE WHEN value > 400 THEN 2 WHEN value < 100 THEN 1 ELSE 0 END END AS route FROM events")
@@ -501,9 +498,16 @@ def bucket_group_mean(spark, sf):
     return out.select("label", "pipeline", r6(F.col("reward")).alias("reward"), r6(F.col("cost")).alias("cost"))
 
 
-@query("WITH b AS (SELECT event_type AS label, CAST(user_id % 10 AS INTEGER) AS pipeline, round(avg(value), 3) AS reward, CAST(user_id % 10 * 2 AS DOUBLE) AS cost FROM events GROUP BY ALL), n AS (SELECT *, lead(pipeline) OVER w AS p2, lead(reward) OVER w AS r2, lead(cost) OVER w AS c2 FROM b WINDOW w AS (PARTITION BY label ORDER BY pipeline)) SELECT label, pipeline AS start_pipeline, p2 AS end_pipeline, round((CASE WHEN c2 = 0 THEN r2 ELSE r2 / c2 END) - (CASE WHEN cost = 0 THEN reward ELSE reward / cost END), 6) AS score_diff, round(c2 - cost, 6) AS swap_cost, round(r2 - reward, 6) AS reward_diff FROM n WHERE p2 IS NOT NULL AND c2 >= cost AND r2 >= reward")
+@query("""
+WITH RECURSIVE b AS (SELECT event_type AS label, CAST(user_id % 10 AS INTEGER) AS pipeline, round(avg(value), 3) AS reward, CAST(user_id % 10 * 7 % 10 AS DOUBLE) AS cost FROM events GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pipeline) AS nth FROM b),
+w AS (SELECT label, nth, pipeline AS p, reward AS r, cost AS c, CAST(NULL AS INTEGER) AS a, CAST(NULL AS DOUBLE) AS ar, CAST(NULL AS DOUBLE) AS ac FROM n WHERE nth = 1
+  UNION ALL SELECT n.label, n.nth, CASE WHEN w.c > cost OR w.r <= reward THEN pipeline ELSE w.p END, CASE WHEN w.c > cost OR w.r <= reward THEN reward ELSE w.r END, CASE WHEN w.c > cost OR w.r <= reward THEN cost ELSE w.c END,
+    CASE WHEN w.c <= cost AND w.r <= reward THEN w.p END, w.r, w.c FROM w JOIN n ON n.label = w.label AND n.nth = w.nth + 1)
+SELECT label, a AS start_pipeline, p AS end_pipeline, round((CASE WHEN c = 0 THEN r ELSE r / c END) - (CASE WHEN ac = 0 THEN ar ELSE ar / ac END), 6) AS score_diff, round(c - ac, 6) AS swap_cost, round(r - ar, 6) AS reward_diff FROM w WHERE a IS NOT NULL
+""")
 def swap_list(spark, sf):
-    own = table(spark, sf, "events").groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 10).cast("int").alias("pipeline"), (F.col("user_id") % 10 * 2).cast("double").alias("cost")).agg(F.round(F.avg("value"), 3).alias("reward"))
+    own = table(spark, sf, "events").groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 10).cast("int").alias("pipeline"), (F.col("user_id") % 10 * 7 % 10).cast("double").alias("cost")).agg(F.round(F.avg("value"), 3).alias("reward"))
     out = assign.swap_table(own, "label", "pipeline", "reward", "cost")
     return out.select("label", "start_pipeline", "end_pipeline", *[r6(F.col(c)).alias(c) for c in ("score_diff", "swap_cost", "reward_diff")])
 
@@ -547,9 +551,47 @@ def assign_optimal(spark, sf):
 def route_adaptive_greedy(spark, sf):
     """Classes, assignment within the hour's budget, branches for the pipelines, and their merge."""
     routed = _adaptive(spark, sf, "greedy", 3_600_000, 12.0).withColumnRenamed("pipeline", routing.ROUTE)
-    branches = [routing.branch(routed, k).withColumn("pipeline", F.lit(k)) for k in (1, 2)]
-    shed = routing.with_defaults(routing.branch(routed, 0), {"pipeline": F.lit(0)})
-    return routing.merge(*branches, shed).select("event_id", "class", "pipeline")
+    by_branch = routing.tagged(routed, {k: {"pipeline": F.lit(k)} for k in (0, 1, 2)})
+    return by_branch.select("event_id", "class", "pipeline")
+
+
+_LOOKAHEAD = """
+, r AS (SELECT event_id, event_type, us, value, ms // {window} AS w, CASE WHEN value > 250 THEN 1 ELSE 0 END AS class,
+    count(CASE WHEN value <= 250 THEN 1 END) OVER h AS p0, count(CASE WHEN value > 250 THEN 1 END) OVER h AS p1, count(*) OVER h AS pn, min(us) OVER h AS t0, max(us) OVER h AS t1,
+    row_number() OVER (PARTITION BY event_type, ms // {window} ORDER BY us, event_id) AS nth
+  FROM e WINDOW h AS (PARTITION BY event_type ORDER BY us, event_id ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)),
+k AS (SELECT event_type, w, count(*) FILTER (WHERE class = 0) AS k0, count(*) FILTER (WHERE class = 1) AS k1, any_value(p0) FILTER (WHERE nth = 1) AS p0, any_value(p1) FILTER (WHERE nth = 1) AS p1,
+    any_value(CASE WHEN pn >= 2 AND (t1 - t0) / (pn - 1) >= 100 THEN floor({time} * 1000.0 / ((t1 - t0) / (pn - 1))) ELSE 0 END) FILTER (WHERE nth = 1) AS by_time FROM r GROUP BY ALL),
+m AS (SELECT *, CASE WHEN p0 + p1 > 0 THEN greatest(least(by_time, {cap}) - k0 - k1, 0) ELSE 0 END AS more FROM k),
+f AS (SELECT *, CASE WHEN more > 0 THEN floor(more * p0 / (p0 + p1)) ELSE 0 END AS f0, CASE WHEN more > 0 THEN floor(more * p1 / (p0 + p1)) ELSE 0 END AS f1 FROM m),
+g AS (SELECT *, f0 + CASE WHEN more > f0 + f1 AND more * p0 / (p0 + p1) - f0 >= more * p1 / (p0 + p1) - f1 THEN 1 ELSE 0 END AS more0 FROM f),
+t AS (SELECT *, k0 + more0 AS a, k1 + more - more0 AS b, floor({budget} * least(1, (k0 + k1 + more) / greatest(by_time, k0 + k1)) + 1e-9) AS money FROM g),
+u AS (SELECT *, least(a, money) AS a1, least(b, money - least(a, money)) AS b1 FROM t),
+v AS (SELECT *, least(b1, money - a1 - b1) AS b2 FROM u),
+x AS (SELECT *, least(a1, money - a1 - b1 - b2) AS a2 FROM v),
+y AS (SELECT event_id, event_type, w, class, row_number() OVER (PARTITION BY event_type, w, class ORDER BY us, event_id) AS n FROM r)
+SELECT event_id, class, CAST(CASE WHEN a + b <= 100 THEN CASE WHEN class = 0 THEN CASE WHEN n > a - a2 THEN 2 WHEN n > a - a1 THEN 1 ELSE 0 END ELSE CASE WHEN n > b - b2 THEN 2 WHEN n > b - b1 THEN 1 ELSE 0 END END
+  ELSE CASE WHEN class = 0 THEN CASE WHEN n <= a2 THEN 2 WHEN n <= a1 THEN 1 ELSE 0 END ELSE CASE WHEN n <= b2 THEN 2 WHEN n <= b1 THEN 1 ELSE 0 END END END AS INTEGER) AS pipeline
+FROM y JOIN x USING (event_type, w)
+"""
+
+
+@query(E + _LOOKAHEAD.format(window=14_400_000, rows=30, time=14_400_000, cap=60, budget=25))
+def route_lookahead_greedy(spark, sf):
+    """The whole scheduler: known classes, forecast, scaled budget, assignment, and the known rows' routes."""
+    df = events(spark, sf).withColumns({"window": F.expr("ms div 14400000"), "class": (F.col("value") > 250).cast("int")})
+    look = history.Lookahead(60, 14_400_000.0)
+    out = scheduler.lookahead_windows(df, ["event_type"], "window", "class", ARRIVAL, "us", BUCKETS, F.lit(25.0), look, 30)
+    return out.select("event_id", "class", "pipeline")
+
+
+@query(E + _LOOKAHEAD.format(window=864_000_000, rows=30, time=86_400_000, cap=400, budget=300))
+def route_lookahead_grouped(spark, sf):
+    """As above over windows of more than a hundred items, which are assigned by label."""
+    df = events(spark, sf).withColumns({"window": F.expr("ms div 864000000"), "class": (F.col("value") > 250).cast("int")})
+    look = history.Lookahead(400, 86_400_000.0)
+    out = scheduler.lookahead_windows(df, ["event_type"], "window", "class", ARRIVAL, "us", BUCKETS, F.lit(300.0), look, 30)
+    return out.select("event_id", "class", "pipeline")
 
 
 @query()
@@ -592,8 +634,7 @@ def hist_pending(spark, sf):
     df = events(spark, sf)
     now = df.agg(F.max("ms").alias("now"))
     routed = df.crossJoin(F.broadcast(now))  # one row
-    merged = df.filter("event_id % 5 <> 0")
-    out = history.pending(routed, merged, "event_id", ["user_id"], F.col("now"), "ms")
+    out = history.pending_marked(routed, F.col("event_id") % 5 != 0, ["user_id"], F.col("now"), "ms")
     return out.withColumn("mean_age", F.floor("mean_age"))
 
 
@@ -620,9 +661,8 @@ def hist_feedback_match(spark, sf):
 @query(E + ", w AS (SELECT user_id, (max(us) - min(us)) / (count(*) - 1) AS gap FROM e GROUP BY user_id HAVING count(*) > 1) SELECT user_id, CAST(least(40, floor(1.2e11 / gap)) AS INTEGER) AS window_size, round(least(1, least(40, floor(1.2e11 / gap)) / greatest(floor(1.2e11 / gap), 1)), 6) AS ratio_kept FROM w")
 def forecast_window_size(spark, sf):
     grouped = events(spark, sf).groupBy("user_id").agg(((F.max("us") - F.min("us")) / (F.count("*") - 1)).alias("gap"), F.count("*").alias("n")).filter("n > 1")
-    by_time = F.floor(F.lit(1.2e11) / F.col("gap"))
-    size = F.least(F.lit(40), by_time)
-    return grouped.select("user_id", size.cast("int").alias("window_size"), r6(F.least(F.lit(1.0), size / F.greatest(by_time, F.lit(1)))).alias("ratio_kept"))
+    size, unclipped = history.window_sizes(F.col("gap"), F.col("n"), history.Lookahead(40, 1.2e8))
+    return grouped.select("user_id", size.alias("window_size"), r6(history.kept_ratio(size, F.greatest(unclipped, F.lit(1)))).alias("ratio_kept"))
 
 
 @query("SELECT event_id, round(user_id * 0.5 * 1000.0 / 250.0, 6) AS full, round(user_id * 0.5 * 1000.0 / 250.0 * greatest(0, 1 - value / 500), 6) AS reduced FROM events")
@@ -873,8 +913,7 @@ def flagship(spark, sf):
     three equal pipelines of a user, and look the user up."""
     df = events(spark, sf).select("event_id", "user_id", "us", F.floor(F.col("ms") / 86_400_000).alias("window"), (F.col("value") > 250).cast("int").alias("class"))
     routed = assign.assign_windows(df, "window", "class", ARRIVAL, BUCKETS, F.lit(300.0), "greedy").withColumnRenamed("pipeline", routing.ROUTE)
-    branches = [routing.branch(routed, k).withColumn("pipeline", F.lit(k)) for k in (1, 2)]
-    merged = routing.merge(*branches, routing.with_defaults(routing.branch(routed, 0), {"pipeline": F.lit(0)}))
+    merged = routing.tagged(routed, {k: {"pipeline": F.lit(k)} for k in (0, 1, 2)})
     streaks = aggregates.streaks(merged, "user_id", "pipeline", ARRIVAL, 3)
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
     return joins.inner_build_right(streaks, users, ["user_id"]).select("event_id", "user_id", "pipeline", "c_name")

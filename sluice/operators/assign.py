@@ -165,10 +165,39 @@ def distribute(assignment: Assignment, classes: Iterable[int], seed: int = 0) ->
     return [pools[c].pop() for c in classes]
 
 
-def per_item_greedy(buckets: Sequence[Bucket], budget: float) -> tuple[list[int], float, float]:
-    """Greedy over single items: (pipeline of each, reward, cost)."""
-    done = greedy(list(buckets), [1] * len(buckets), budget)
-    return [next(p for p, n in own.items() if n) for own in done.counts], done.reward, done.cost
+def item_swaps(bins: Sequence[Bucket]) -> list[Swap]:
+    """Swaps of single items: pipelines by reward, without those dearer than one after them, in neighbouring steps."""
+    out = []
+    for n, b in enumerate(bins):
+        steps: list[int] = []
+        for p in sorted(range(len(b.valid)), key=lambda p: b.rewards[p]):
+            while steps and b.costs[steps[-1]] > b.costs[p]:
+                steps.pop()
+            steps.append(p)
+        for i, j in zip(steps, steps[1:], strict=False):
+            gain = score(b.rewards[j], b.costs[j]) - score(b.rewards[i], b.costs[i])
+            out.append(Swap(n, b.valid[i], b.valid[j], gain, b.costs[j] - b.costs[i], b.rewards[j] - b.rewards[i]))
+    return sorted(out, key=lambda s: (not math.isnan(s.score), 0 if math.isnan(s.score) else s.score))
+
+
+def per_item_greedy(bins: Sequence[Bucket], budget: float) -> tuple[list[int], float, float]:
+    """Greedy over single items: (pipeline of each, reward, cost).
+
+    Of swaps with equal gains that of the last item comes first.
+    """
+    at, left = [b.valid[0] for b in bins], budget
+    ranked = [s for s in reversed(item_swaps(bins)) if not math.isnan(s.score)]
+    again = True
+    while again and left > 0:
+        again = False
+        for s in ranked:
+            if s.cost <= left and at[s.bucket] == s.start:
+                at[s.bucket] = s.end
+                left -= s.cost
+                again = True
+                break
+    chosen = [(b, b.valid.index(p)) for b, p in zip(bins, at, strict=True)]
+    return at, sum(b.rewards[p] for b, p in chosen), sum(b.costs[p] for b, p in chosen)
 
 
 # --- as DataFrames ---------------------------------------------------------------------------
@@ -181,24 +210,53 @@ def group_means(rows: DataFrame, label: str, rewards: str, costs: str) -> DataFr
 
 
 def swap_table(buckets: DataFrame, label: str, pipeline: str, reward: str, cost: str) -> DataFrame:
-    """Swaps between neighbouring pipelines whose cost and reward do not fall."""
-    own = Window.partitionBy(label).orderBy(pipeline)
+    """The swaps of each label's pipelines, taken in order: a dearer start gives way to its cheaper
+    successor, and a worse end is passed over until a better one comes.
+
+    A label has few pipelines, so each is one array that a fold walks along.
+    """
     gain = lambda r, c: F.when(c == 0, r).otherwise(r / F.abs(F.when(c != 0, c)))
-    end = {k: F.lead(k).over(own) for k in (pipeline, reward, cost)}
-    out = buckets.select(label, F.col(pipeline).alias("start_pipeline"), end[pipeline].alias("end_pipeline"), F.col(reward).alias("_r"), F.col(cost).alias("_c"), end[reward].alias("_r2"), end[cost].alias("_c2"))
-    out = out.filter("end_pipeline is not null and _c2 >= _c and _r2 >= _r")
-    return out.select(label, "start_pipeline", "end_pipeline", (gain(F.col("_r2"), F.col("_c2")) - gain(F.col("_r"), F.col("_c"))).alias("score_diff"), (F.col("_c2") - F.col("_c")).alias("swap_cost"), (F.col("_r2") - F.col("_r")).alias("reward_diff"))
+    one = F.struct(F.col(pipeline).alias("p"), F.col(reward).cast("double").alias("r"), F.col(cost).cast("double").alias("c"))
+    rows = buckets.groupBy(label).agg(F.array_sort(F.collect_list(one)).alias("_b"))
+    kind = dict(buckets.dtypes)[pipeline]
+    step = f"struct<p:{kind},r:double,c:double>"
+    start = F.struct(F.get("_b", F.lit(0)).cast(step).alias("at"), F.array().cast(f"array<struct<a:{step},b:{step}>>").alias("out"))
+
+    def walk(state: Column, b: Column) -> Column:
+        a = state["at"]
+        cheaper, better = a["c"] > b["c"], a["r"] <= b["r"]
+        return F.struct(F.when(cheaper | better, b.cast(step)).otherwise(a).alias("at"), F.when(~cheaper & better, F.concat(state["out"], F.array(F.struct(a.alias("a"), b.cast(step).alias("b"))))).otherwise(state["out"]).alias("out"))
+
+    out = rows.select(label, F.explode(F.aggregate(F.slice("_b", 2, 1 << 30), start, walk, lambda s: s["out"])).alias("_s"))
+    a, b = F.col("_s.a"), F.col("_s.b")
+    return out.select(label, a["p"].alias("start_pipeline"), b["p"].alias("end_pipeline"), (gain(b["r"], b["c"]) - gain(a["r"], a["c"])).alias("score_diff"), (b["c"] - a["c"]).alias("swap_cost"), (b["r"] - a["r"]).alias("reward_diff"))
+
+
+def _ranked(df: DataFrame, window: str, class_col: str, order: list[str], classes: int) -> DataFrame:
+    """Rows with ``_c``, their class if there is such a bucket, and their rank ``_nth`` within it."""
+    known = F.col(class_col).cast("int")
+    df = df.withColumn("_c", F.when(known.between(0, classes - 1), known))
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(window, "_c").orderBy(*order)) - 1)
+
+
+def _given(ranked: DataFrame, window: str, spans: DataFrame) -> DataFrame:
+    """Rows with the pipeline of the span that holds their rank; those without a span are dropped to pipeline 0."""
+    on = F.col(window).eqNullSafe(F.col("_w")) & (F.col("_c") == F.col("_class")) & (F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_to"))
+    out = ranked.join(spans.withColumnRenamed("pipeline", "_p"), on, "left").withColumn("pipeline", F.coalesce("_p", F.lit(0)))
+    return out.drop("_w", "_class", "_from", "_to", "_nth", "_c", "_p")
 
 
 def assign_windows(df: DataFrame, window: str, class_col: str, order: list[str], buckets: Sequence[Bucket], budget: Column, strategy: str = "greedy") -> DataFrame:
     """``df`` with ``pipeline``: each window's items assigned within the window's budget.
 
     Only counts per window and class are gathered; the assignment of a window is made from them, and
-    rows take their pipeline by rank within their class, dearer pipelines to earlier rows.
+    rows take their pipeline by rank within their class, dearer pipelines to earlier rows.  Rows whose
+    class is null or has no bucket take no part and get pipeline 0; null windows are one window.
     """
     held = list(buckets)
     solve = {"greedy": greedy, "optimal": optimal_or_start}[strategy]
-    counts = df.groupBy(window, class_col).agg(F.count("*").alias("_n"), F.max(budget).alias("_budget"))
+    ranked = _ranked(df, window, class_col, order, len(held))
+    counts = ranked.filter("_c is not null").groupBy(window, "_c").agg(F.count("*").alias("_n"), F.max(budget).alias("_budget"))
     kind = dict(df.dtypes)[window]
 
     def solved(frames):
@@ -210,7 +268,7 @@ def assign_windows(df: DataFrame, window: str, class_col: str, order: list[str],
                 items = [0] * len(held)
                 for c in own:
                     items[c["class"]] = c["n"]
-                done = solve(held, items, money)
+                done = solve(held, items, 0.0 if money != money else money)
                 for c, given in enumerate(done.counts):
                     first = 0
                     for p, n in sorted(given.items(), reverse=True):
@@ -219,9 +277,6 @@ def assign_windows(df: DataFrame, window: str, class_col: str, order: list[str],
                             first += n
             yield pd.DataFrame(out, columns=["_w", "_class", "pipeline", "_from", "_to"])
 
-    per_window = counts.groupBy(window).agg(F.collect_list(F.struct(F.col(class_col).cast("int").alias("class"), F.col("_n").cast("int").alias("n"))).alias("_counts"), F.max("_budget").alias("_b"))
+    per_window = counts.groupBy(window).agg(F.collect_list(F.struct(F.col("_c").alias("class"), F.col("_n").cast("int").alias("n"))).alias("_counts"), F.max("_budget").cast("double").alias("_b"))
     spans = per_window.mapInPandas(solved, f"_w {kind}, _class int, pipeline int, _from long, _to long")
-    nth = F.row_number().over(Window.partitionBy(window, class_col).orderBy(*order)) - 1
-    ranked = df.withColumn("_nth", nth)
-    on = (F.col(window) == F.col("_w")) & (F.col(class_col) == F.col("_class")) & (F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_to"))
-    return ranked.join(spans, on).drop("_w", "_class", "_from", "_to", "_nth")
+    return _given(ranked, window, spans)

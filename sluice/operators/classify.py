@@ -74,6 +74,38 @@ class Preclassifier:
         return df.join(F.broadcast(table), F.col(class_col) == F.col("_class"), "left").drop("_class")
 
 
+    def bucketed_by_id(self, df: DataFrame, id_col: str) -> DataFrame:
+        """Rows with the bucket whose label equals ``id_col``; nulls without one.  The first of equal labels counts."""
+        first: dict = {}
+        for c, b in enumerate(self.buckets):
+            if b.id is not None:
+                first.setdefault(str(b.id), (str(b.id), c, b.valid, b.rewards, b.costs))
+        table = df.sparkSession.createDataFrame(list(first.values()), "_label string, class int, valid array<int>, rewards array<double>, costs array<double>")
+        return df.join(F.broadcast(table), F.col(id_col).cast("string") == F.col("_label"), "left").drop("_label")
+
+
+#: Rewards of the language models' answers (cheapest first), for texts found hard and easy (fixed values).
+LLM_REWARDS = ((0.704, 0.856), (0.814, 0.860), (0.814, 0.893))
+
+
+def llm_buckets(costs: list[float]) -> list[Bucket]:
+    """Eight buckets: bit k (the first one highest) says that model k finds the text easy.  Pipeline 0 drops."""
+    n = len(LLM_REWARDS)
+    return [Bucket([0.0, *(LLM_REWARDS[k][c >> (n - 1 - k) & 1] for k in range(n))], [0.0, *costs], f"{c:0{n}b}") for c in range(1 << n)]
+
+
+def llm_bucket(df: DataFrame, features: Column, confidence: list[dict], costs: list[dict]) -> DataFrame:
+    """``df`` with the class, rewards and predicted costs of its text.
+
+    ``confidence`` and ``costs`` hold a linear form for each model over the features; a bit is set if
+    the logistic probability is above one half.
+    """
+    table = F.array(*[F.array(*[F.lit(r) for r in b.rewards]) for b in llm_buckets([0.0] * len(LLM_REWARDS))])
+    out = df.withColumn("class", n_way(features, confidence))
+    price = F.array(F.lit(0.0), *[linear(features, m["weights"], m["intercept"]) for m in costs])
+    return out.withColumns({"rewards": F.get(table, F.col("class")), "costs": price})
+
+
 def classify(kind: str, spec: dict, features: Column) -> Column:
     if kind.lower() == "static":
         return F.lit(int(spec.get("class", spec.get("num_class", 0))))

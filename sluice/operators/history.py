@@ -69,6 +69,12 @@ def pending(routed: DataFrame, merged: DataFrame, id_col: str, keys: list[str],
     return open_.groupBy(*keys).agg(F.count("*").alias("pending"), F.avg(age).alias("mean_age"), F.max(age).alias("max_age"))
 
 
+def pending_marked(routed: DataFrame, done: Column, keys: list[str], now: Column, created: str) -> DataFrame:
+    """As :func:`pending`, where the rows themselves say whether they have an outcome: no join."""
+    age = now - F.col(created)
+    return routed.filter(~done).groupBy(*keys).agg(F.count("*").alias("pending"), F.avg(age).alias("mean_age"), F.max(age).alias("max_age"))
+
+
 def stale_cleanup(routed: DataFrame, id_col: str, created: str, now: Column, limit: int, include: bool = True) -> tuple[DataFrame, DataFrame]:
     """(still pending, purged as pipeline 0 with the limit as elapsed time); without ``include`` none are kept as past."""
     old = now - F.col(created) > limit
@@ -104,6 +110,22 @@ def window_size(lookahead: Lookahead, interval_us: float | None, history: int) -
     return by_time if lookahead.count is None else min(by_time, lookahead.count)
 
 
+def window_sizes(interval_us: Column, history: Column, lookahead: Lookahead) -> tuple[Column, Column]:
+    """As :func:`window_size` for a column of intervals: (items in the window, items without the cap)."""
+    if lookahead.time_ms is None:
+        if lookahead.count is None:
+            raise CompileError("a lookahead needs a count or a time")
+        return F.lit(lookahead.count), F.lit(lookahead.count)
+    known = (history >= 2) & interval_us.isNotNull() & (interval_us >= 100)
+    by_time = F.when(known, F.floor(F.lit(lookahead.time_ms * 1000) / F.when(known, interval_us))).otherwise(0).cast("int")
+    return by_time if lookahead.count is None else F.least(F.lit(lookahead.count), by_time), by_time
+
+
+def kept_ratio(returned: Column, unclipped: Column) -> Column:
+    """As :func:`ratio_kept` for columns."""
+    return F.when(unclipped > 0, F.least(F.lit(1.0), returned / F.when(unclipped > 0, unclipped))).otherwise(1.0)
+
+
 def ratio_kept(returned: int, unclipped: int) -> float:
     """The share of a window that its cap kept; it scales the budget."""
     return min(1.0, returned / unclipped) if unclipped > 0 else 1.0

@@ -41,14 +41,18 @@ def derive(df: DataFrame, name: str, expression: dict | Column, registry: Regist
     return df.withColumn(name, expression)
 
 
-def flat_map(df: DataFrame, rows: Column | Callable, schema: str | T.StructType | None = None, on_error: str = "skip") -> DataFrame:
+def flat_map(df: DataFrame, rows: Column | Callable, schema: str | T.StructType | None = None, on_error: str = "skip", keep: list[str] | None = None, name: str | None = None) -> DataFrame:
     """Each row to any number of rows.
 
-    A Column holds an array of structs and stays native.  A function takes a dict and gives dicts; it
+    A Column holds an array of structs, or with ``name`` of the values of that field, and stays native;
+    fields in ``keep`` come along once for each value.  A function takes a dict and gives dicts; it
     runs over Arrow batches, and a row on which it raises is skipped (``on_error="raise"``: it fails).
     """
     if isinstance(rows, Column):
-        return df.select("*", F.explode(rows).alias("_out")).select("_out.*")
+        kept = [F.col(f"`{c}`") for c in keep or []]
+        if name is not None:
+            return df.select(*kept, F.explode(rows).alias(name))
+        return df.select(*kept, F.explode(rows).alias("_out")).select(*kept, "_out.*")
 
     names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
 
@@ -91,11 +95,22 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, nth).filter(F.col(rank) <= k)
 
 
-def repeat(df: DataFrame, cycles: int, cycle: str = "cycle") -> DataFrame:
-    """Each row once a cycle.  Endless repetition exists in streams only."""
+def repeat(df: DataFrame, cycles: int, cycle: str = "cycle", order: list[str] | None = None, total: int | None = None) -> DataFrame:
+    """Each row once a cycle, at most ``total`` rows in order of cycle and ``order``.  Endless repetition exists in streams only."""
     if cycles < 0:
         raise CompileError("cycles must not be negative")
-    return df.withColumn(cycle, F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)) if cycles else F.array().cast("array<int>")))
+    out = df.withColumn(cycle, F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)) if cycles else F.array().cast("array<int>")))
+    if total is None:
+        return out
+    if not order:
+        raise CompileError("a total needs an order of arrival")
+    return positions(out, [cycle, *order], "_position").filter(F.col("_position") < total).drop("_position")
+
+
+def log_output(df: DataFrame, order: list[str], max_items: int | None = None, name: str = "output_number") -> DataFrame:
+    """Output rows numbered from 1 in an order; it stops at ``max_items``."""
+    numbered = positions(df, order, name).withColumn(name, F.col(name) + 1)
+    return numbered if max_items is None else numbered.filter(F.col(name) <= max_items)
 
 
 def positions(df: DataFrame, order: list[str], name: str = "position", buckets: int = 64) -> DataFrame:
@@ -128,8 +143,11 @@ def chunk_by_time(df: DataFrame, keys: list[str], time_ms: str, size: int, timeo
     """Chunks that end at ``size`` rows, or ``timeout_ms`` after their first row.
 
     The end of a chunk depends on where it began, so arrivals are folded in order; each key's rows are
-    read once, in Arrow batches.
+    read once, in Arrow batches.  Without keys all rows would be one task's, so keys are required; a
+    whole stream is chunked by a column of time buckets, which end chunks.
     """
+    if not keys:
+        raise CompileError("chunks by time need keys, or a bucket of time as one")
     kind = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(frames):
@@ -140,7 +158,7 @@ def chunk_by_time(df: DataFrame, keys: list[str], time_ms: str, size: int, timeo
             if not len(frame):
                 continue
             times, out = frame[time_ms].to_numpy(), np.empty(len(frame), np.int64)
-            groups = frame[keys].apply(tuple, axis=1).tolist() if keys else [()] * len(frame)
+            groups = list(frame[keys].itertuples(index=False, name=None))
             for i, (t, g) in enumerate(zip(times, groups, strict=True)):
                 if state is None or state[0] != g:
                     state = [g, 0, t, 0]
@@ -150,5 +168,4 @@ def chunk_by_time(df: DataFrame, keys: list[str], time_ms: str, size: int, timeo
                 out[i] = state[1]
             yield frame.assign(**{name: out})
 
-    dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, time_ms).mapInPandas(run, kind)
+    return df.repartition(*keys).sortWithinPartitions(*keys, time_ms).mapInPandas(run, kind)

@@ -44,6 +44,23 @@ def merge(*branches: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
 
 
+def tagged(routed: DataFrame, values: dict[int, dict[str, Column]]) -> DataFrame:
+    """Branches that only set values, merged again: one pass over the routed rows, however many branches.
+
+    ``values`` names the branches that are kept and what each sets; fields that a branch does not set
+    keep their value, or are null if the rows lack them.
+    """
+    kept = routed.filter(F.col(ROUTE).isin(*values))
+    made = {}
+    for name in dict.fromkeys(n for own in values.values() for n in own):
+        value = F.col(f"`{name}`") if name in routed.columns else F.lit(None)
+        for k, own in values.items():
+            if name in own:
+                value = F.when(F.col(ROUTE) == k, own[name]).otherwise(value)
+        made[name] = value
+    return kept.withColumns(made).drop(ROUTE)
+
+
 def expire(df: DataFrame, created: str, now: Column, max_age: int) -> tuple[DataFrame, DataFrame]:
     """(rows of at most that age, older ones, which go to the backup)."""
     old = now - F.col(created) > max_age
@@ -103,27 +120,42 @@ def weighted(draw_: Column, weights: list[Column]) -> Column:
     return out.otherwise(len(weights))
 
 
-def eddies(df: DataFrame, tick: str, order: list[str], draw_: Column, capacities: list[int], drained: int) -> DataFrame:
+def eddies(df: DataFrame, tick: str, id_col: str, order: list[str], draw_: Column, capacities: list[int], drained: int) -> DataFrame:
     """Queue-weighted routing: the freer a pipe, the likelier.
 
     A pipe's length within a tick is what was assigned before in that tick less ``drained`` for each
-    earlier row; as a row's route feeds the next weights, a tick is folded in order by native array
-    functions, and ticks are independent.
+    earlier row.  As a row's route feeds the next weights, rows are folded in order: ticks are dealt to
+    tasks and sorted there, ids and draws go through Arrow batches, and only the pipes' lengths are held.
+    Routes meet their rows by ``id_col``, which must tell rows apart; null ids are lost.
     """
-    n = len(capacities)
-    held = df.withColumn("_draw", draw_).groupBy(tick).agg(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], "_draw", F.struct(*df.columns).alias("_row")))).alias("_rows"))
-    start = F.struct(F.array(*[F.lit(0.0)] * n).alias("len"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        length = F.transform(state["len"], lambda v: F.greatest(v - drained, F.lit(0.0)))
-        free = [F.greatest(1.0 - F.get(length, F.lit(i)) / c, F.lit(0.0)) for i, c in enumerate(capacities)]
-        pipe = weighted(row["_draw"], free)
-        grown = F.transform(length, lambda v, i: F.when(i == pipe - 1, v + 1).otherwise(v))
-        return F.struct(grown.alias("len"), F.concat(state["out"], F.array(pipe.cast("int"))).alias("out"))
-
-    routes = F.aggregate("_rows", start, step, lambda s: s["out"])
-    pairs = F.arrays_zip(F.transform("_rows", lambda r: r["_row"]).alias("row"), routes.alias("pipe"))
-    return held.select(F.explode(pairs).alias("_p")).select("_p.row.*", F.col("_p.pipe").alias(ROUTE))
+    slim = df.select(F.col(tick).alias("_tick"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(id_col).alias("_id"), draw_.cast("double").alias("_draw"))
+    dealt = slim.repartition("_tick").sortWithinPartitions("_tick", *[f"_o{i}" for i in range(len(order))]).select(F.xxhash64("_tick").alias("_t"), "_id", "_draw")
+
+    def run(frames):
+        import pandas as pd
+
+        tick_now, length = None, [0.0] * len(capacities)
+        for frame in frames:
+            out = []
+            for t, u in zip(frame["_t"], frame["_draw"], strict=True):
+                if t != tick_now:
+                    tick_now, length = t, [0.0] * len(capacities)
+                length = [max(v - drained, 0.0) for v in length]
+                free = [max(1.0 - v / c, 0.0) for v, c in zip(length, capacities, strict=True)]
+                pipe, so_far, total = 0, 0.0, sum(free)
+                if total > 0:
+                    pipe = len(free)
+                    for k, w in enumerate(free, 1):
+                        so_far += w
+                        if u * total < so_far:
+                            pipe = k
+                            break
+                    length[pipe - 1] += 1
+                out.append(pipe)
+            yield pd.DataFrame({"_id": frame["_id"], ROUTE: out})
+
+    routes = dealt.mapInPandas(run, f"_id {dict(df.dtypes)[id_col]}, {ROUTE} int")
+    return df.join(routes.withColumnRenamed("_id", id_col), id_col).select(*df.columns, ROUTE)
 
 
 def random_order(draw_: Column, accepts: list[Column]) -> Column:
@@ -150,5 +182,32 @@ def cost_share_weights(recent_costs: list[Column], floor: float = 0.00045) -> li
     return [1 - c / total for c in costs]
 
 
+def static_with_overflow(df: DataFrame, k: int, age_ms: Column, deadline_ms: int, tick: str, order: list[str], capacity: int) -> DataFrame:
+    """Pipe ``k`` for rows in time, as far as it has room in their tick; too old rows and the others drop."""
+    aged = df.withColumn("_pipe", too_old(age_ms, deadline_ms, F.lit(k)))
+    return overflow(aged, "_pipe", tick, order, capacity).drop("_pipe")
+
+
+def noop_counter(df: DataFrame, name: str = "rows"):
+    """The same rows, and an observation that holds their count after an action."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def blocking_noop(df: DataFrame, seconds: float) -> DataFrame:
+    """The same rows, each held back for a fixed time."""
+
+    def run(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(seconds * batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 def on_merge(df: DataFrame, callback: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     return callback(df) if callback else df

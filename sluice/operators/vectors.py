@@ -1,18 +1,17 @@
 """Nearest-neighbour joins: exact, in double precision, with matrices over Arrow batches.
 
-The index side is taken in blocks of bounded size, each broadcast in turn; a lookup row keeps its best
-``k`` of each block, and these are merged.  The lookup side is never moved or crossed with the index.
+Both sides are dealt to blocks of bounded size, and each pair of blocks is compared by a task of its own;
+a lookup vector keeps its best ``k`` of each block of the index, and these are merged.  Neither side goes
+through the driver.  Equal lookup vectors are searched for once, and rows meet their result by the vector
+itself, so nothing depends on row numbers that a repeated task might give anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sluice.errors import CompileError
@@ -26,10 +25,9 @@ def _matrix(column) -> np.ndarray:
 
 
 def _valid(v, dim: int) -> bool:
-    try:
-        a = np.asarray(v, np.float64)
-    except (TypeError, ValueError):
+    if v is None or any(c is None for c in v):
         return False
+    a = np.asarray(v, np.float64)
     return a.shape == (dim,) and bool(np.isfinite(a).all())
 
 
@@ -41,61 +39,62 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise CompileError(f"unknown metric {metric!r}")
 
 
-def _blocks(index: DataFrame, id_col: str, vector_col: str, rows: int):
-    """Blocks of the index, collected one after the other."""
-    total = index.count()
-    n = max(1, -(-total // rows))
-    for k in range(n):
-        part = index.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull())
-        if n > 1:
-            part = part.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield part.orderBy("i").toPandas()
-
-
-def nearest(lookup: DataFrame, index: DataFrame, k: int, id_col: str, vector_col: str, lookup_vector: str, metric: str = "euclidean", normalise: bool = True, unit_index: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``lookup`` with ``_near``: its ``k`` nearest as structs (distance, id), nearest first, ties to the lower id.
+def nearest(lookup: DataFrame, index: DataFrame, k: int, id_col: str, vector_col: str, lookup_vector: str, metric: str = "euclidean", normalise: bool = True, unit_index: float | None = None, block_rows: int = BLOCK_ROWS, carry: str | None = None) -> DataFrame:
+    """``lookup`` with ``_near``: its ``k`` nearest as structs (distance, id, carried), nearest first, ties to the lower id.
 
     ``normalise`` scales lookup vectors to length 1.  ``unit_index`` leaves out index rows whose length
-    differs from 1 by more.  Null and invalid lookup vectors have a null ``_near``.
+    differs from 1 by more.  ``carry`` names a column of the index that comes along.  Null lookup vectors,
+    those with null or non-finite components, and those of a length that no index vector has, have a null
+    ``_near``; without any index rows it is empty.  Index rows with a null or non-finite vector are left out.
     """
     kind = index.schema[id_col].dataType.simpleString()
-    found, names = lookup, []
-    for n, block in enumerate(_blocks(index, id_col, vector_col, block_rows)):
-        x, ids = _matrix(block["v"]), block["i"].to_numpy()
-        if unit_index is not None and len(x):
-            keep = np.abs(1 - np.linalg.norm(x, axis=1)) <= unit_index
-            x, ids = x[keep], ids[keep]
-        told = lookup.sparkSession.sparkContext.broadcast((x, ids))
-        names.append(f"_near_{n}")
-        out = T.StructType([*found.schema.fields, T.StructField(names[-1], T._parse_datatype_string(f"array<struct<distance:double,id:{kind}>>"))])
-        found = found.mapInArrow(_search(told, lookup_vector, names[-1], k, metric, normalise, to_arrow_type(index.schema[id_col].dataType)), out)
-    merged = F.array_sort(F.concat(*names)) if len(names) > 1 else F.col(names[0])
-    return found.withColumn("_near", F.slice(merged, 1, k)).drop(*names)
-
-
-def _search(told, column: str, name: str, k: int, metric: str, normalise: bool, id_type: pa.DataType):
-    """Batches with the ``k`` nearest rows of a block of the index."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, ids = told.value
-        plain = [i.item() if hasattr(i, "item") else i for i in ids]
-        for batch in batches:
-            given = batch.column(column).to_pylist()
-            near: list = [None if v is None or len(x) and not _valid(v, x.shape[1]) else [] for v in given]
-            rows = [i for i, v in enumerate(near) if v is not None and len(x)]
+    carried = F.col(f"`{carry}`") if carry else F.lit(None).cast("string")
+    held = index.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{vector_col}`").alias("v"), carried.alias("c")).filter(F.col("v").isNotNull())
+    kept = held.schema["c"].dataType.simpleString()
+    asked = lookup.select(F.col(f"`{lookup_vector}`").alias("_q")).filter(F.col("_q").isNotNull()).distinct()
+    blocks, parts = (max(1, -(-df.count() // block_rows)) for df in (held, asked))
+    dealt = held.withColumns({"_b": F.pmod(F.xxhash64("i"), F.lit(blocks)), "_l": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+    told = asked.withColumns({"_l": F.pmod(F.xxhash64("_q"), F.lit(parts)), "_b": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    near = f"array<struct<distance:double,id:{kind},carried:{kept}>>"
+    search = _search(k, metric, normalise, unit_index, [to_arrow_type(held.schema[c].dataType) for c in ("i", "c")], to_arrow_type(asked.schema["_q"].dataType))
+    found = dealt.groupBy("_b", "_l").cogroup(told.groupBy("_b", "_l")).applyInArrow(search, f"_q {asked.schema['_q'].dataType.simpleString()}, _n {near}")
+    if blocks > 1:
+        found = found.groupBy("_q").agg(F.array_sort(F.flatten(F.collect_list("_n"))).alias("_n"))
+    return lookup.join(found, lookup[lookup_vector] == found["_q"], "left").withColumn("_near", F.slice("_n", 1, k)).drop("_q", "_n")
+
+
+def _search(k: int, metric: str, normalise: bool, unit_index: float | None, kinds: list[pa.DataType], asked: pa.DataType):
+    """The ``k`` nearest rows of a block of the index for the vectors of a block of lookups."""
+    near_type = pa.list_(pa.struct([("distance", pa.float64()), ("id", kinds[0]), ("carried", kinds[1])]))
+
+    def run(index: pa.Table, lookup: pa.Table) -> pa.Table:
+        ids, carried, given = index.column("i").to_pylist(), index.column("c").to_pylist(), lookup.column("_q").to_pylist()
+        vectors = index.column("v").to_pylist()
+        sizes = {len(v) for v in vectors}
+        out, near = [], []
+        for dim in sizes or {None}:
+            own = sorted((i for i, v in enumerate(vectors) if _valid(v, dim)), key=lambda i: ids[i])
+            x = _matrix([vectors[i] for i in own])
+            if unit_index is not None and len(x):
+                keep = np.flatnonzero(np.abs(1 - np.linalg.norm(x, axis=1)) <= unit_index)
+                x, own = x[keep], [own[i] for i in keep]
+            rows = [v for v in given if _valid(v, len(v) if dim is None else dim)]
             for at in range(0, len(rows), 256):
-                own = rows[at : at + 256]
-                q = _matrix([given[r] for r in own])
+                part = rows[at : at + 256]
+                out += part
+                if not len(x):
+                    near += [[] for _ in part]
+                    continue
+                q = _matrix(part)
                 if normalise:
                     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                for r, d in zip(own, distances(q, x, metric), strict=True):
+                for d in distances(q, x, metric):
                     best = np.argpartition(d, k - 1)[:k] if k < len(d) else np.arange(len(d))
-                    # Ties at the last place go to the lower id, as ids are in order.
+                    # Ties at the last place go to the lower id, as rows are in order of id.
                     best = np.flatnonzero(d <= d[best].max())
                     best = best[np.lexsort((best, d[best]))][:k]
-                    near[r] = [{"distance": float(d[b]), "id": plain[b]} for b in best]
-            kind = pa.list_(pa.struct([("distance", pa.float64()), ("id", id_type)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, kind)], names=[*batch.schema.names, name])
+                    near.append([{"distance": float(d[b]), "id": ids[own[b]], "carried": carried[own[b]]} for b in best])
+        return pa.table([pa.array(out, asked), pa.array(near, near_type)], names=["_q", "_n"])
 
     return run
 
@@ -111,19 +110,14 @@ def vector_join(lookup: DataFrame, index: DataFrame, join_kind: str = "inner", t
         raise CompileError(f"unknown vector join {join_kind!r}")
     if join_kind == "outer_right":
         topk = keep_n_matches = 1
-    found = nearest(lookup, index, topk, id_col, vector_col, lookup_vector, metric, normalise)
+    found = nearest(lookup, index, topk, id_col, vector_col, lookup_vector, metric, normalise, carry=passage_col)
     kept = F.slice(F.filter("_near", lambda m: m["distance"] < F.lit(float(distance_threshold))), 1, keep_n_matches)
     kept = F.when(F.size(kept) > 0, kept) if join_kind == "outer_right" else kept
     out = found.withColumn("_kept", kept)
-    out = out.withColumns({"match_ids": F.transform("_kept", lambda m: m["id"].cast("string")), "match_distances": F.transform("_kept", lambda m: m["distance"])})
-    if passage_col is None:
-        return out.drop("_near", "_kept")
-    # Passages are met by id, a row for each match, and listed again in their order.
-    keyed = out.withColumn("_row", F.monotonically_increasing_id())
-    matched = keyed.select("_row", F.posexplode("_kept").alias("_at", "_m")).join(index.select(F.col(id_col).alias("_id"), F.col(passage_col).alias("_p")), F.col("_m.id") == F.col("_id"))
-    listed = matched.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_p"))), lambda s: s["_p"]).alias("_found"))
-    passages = F.when(F.col("_kept").isNotNull(), F.coalesce("_found", F.array().cast("array<string>")))
-    return keyed.join(listed, "_row", "left").withColumn("passages", passages).drop("_near", "_kept", "_row", "_found")
+    made = {"match_ids": F.transform("_kept", lambda m: m["id"].cast("string")), "match_distances": F.transform("_kept", lambda m: m["distance"])}
+    if passage_col is not None:
+        made["passages"] = F.transform("_kept", lambda m: m["carried"])
+    return out.withColumns(made).drop("_near", "_kept")
 
 
 #: Thresholds of the in-memory lookups by size of the model (fixed values).

@@ -113,7 +113,11 @@ def sequences(spark: SparkSession, path: str, labels_path: str, per_sequence: in
 
 
 def images(spark: SparkSession, folder: str, index: DataFrame | None = None, pattern: str = "*") -> DataFrame:
-    """Image files with their pixels, shape and sizes; an index (img_id, img_path, ...) picks and names them."""
+    """Image files with their pixels, shape and sizes; an index (img_id, img_path, ...) picks and names them.
+
+    Paths of the index are relative to the folder, or end in a path below it; they are met by equality on
+    whole parts of the path, before any file's contents are joined or decoded.
+    """
     from sluice.functions.images import decode
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
@@ -133,7 +137,15 @@ def images(spark: SparkSession, folder: str, index: DataFrame | None = None, pat
 
     df = files.select(F.col("path").alias("img_path"), "content")
     if index is not None:
-        df = df.join(index.withColumnRenamed("img_path", "_name"), F.endswith("img_path", F.col("_name"))).drop("_name")
+        parts = lambda c: F.regexp_replace(c, "^(\\./|/)+", "")
+        wanted = index.select(*[F.col(f"`{c}`") for c in index.columns if c != "img_path"], parts(F.col("img_path")).alias("_name")).withColumn("_parts", F.size(F.split("_name", "/")))
+        # The last parts of a file's path, as many as the names of the index have.
+        own = F.split("img_path", "/")
+        depths = [r["_parts"] for r in wanted.select("_parts").distinct().collect()]
+        tails = F.array(*[F.array_join(F.slice(own, -d, d), "/") for d in depths]) if depths else F.array().cast("array<string>")
+        paths = df.select("img_path").withColumn("_name", F.explode(F.array_distinct(F.filter(F.when(F.size(own) >= max(depths, default=0), tails), lambda t: t != ""))))
+        named = paths.join(wanted.drop("_parts"), "_name").drop("_name")
+        df = df.join(named, "img_path")
     df = df.withColumn("image", pixels("content")).drop("content").withColumn("shape", F.col("image.shape"))
     h, w = F.get("shape", F.lit(0)), F.get("shape", F.lit(1))
     return df.withColumns({"image_shape": F.col("shape"), "original_width": w.cast("int"), "original_height": h.cast("int"), "original_width_float": w.cast("double"), "original_height_float": h.cast("double"), "original_area_float": (w * h).cast("double"), "original_hw_ratio_float": h / F.when(w != 0, w)})

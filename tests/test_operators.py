@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sluice.errors import CompileError
 from sluice.functions import boxes, images, signal, text
-from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, vectors
+from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vectors
 from sluice.operators.classify import Bucket
+from sluice.operators.history import Lookahead
 from sluice.sources import readers
 
 
@@ -83,6 +84,83 @@ def test_windows_keep_their_budget(spark):
     assert [(r["s"], r["n"]) for r in spent] == [(7, 20)] * 3
 
 
+def test_swap_table_walks_over_bad_pipelines(spark):
+    rows_ = [("a", p, float(r), float(c)) for p, (r, c) in enumerate([(0, 0), (5, 1), (4, 2), (9, 3)])]
+    rows_ += [("b", p, float(r), float(c)) for p, (r, c) in enumerate([(5, 3), (1, 1), (9, 6)])] + [("c", 0, 1.0, 1.0)]
+    out = assign.swap_table(spark.createDataFrame(rows_, "l string, p int, r double, c double"), "l", "p", "r", "c")
+    assert rows(out.select("l", "start_pipeline", "end_pipeline")) == [("a", 0, 1), ("a", 1, 3), ("b", 1, 2)]
+    rng = random.Random(5)
+    many = [(str(k), [(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randrange(1, 7))]) for k in range(40)]
+    df = spark.createDataFrame([(k, p, float(r), float(c)) for k, own in many for p, (r, c) in enumerate(own)], "l string, p int, r double, c double")
+    got = rows(assign.swap_table(df, "l", "p", "r", "c").select("l", "start_pipeline", "end_pipeline", "swap_cost"))
+    want = [(k, s.start, s.end, float(s.cost)) for k, own in many for s in assign.swaps([Bucket([float(r) for r, _ in own], [float(c) for _, c in own])])]
+    assert got == sorted(want)
+
+
+def test_windows_with_unknown_classes(spark):
+    df = spark.createDataFrame([(0, None, 0), (1, 5, 0), (2, -1, 0), (3, 1, 0), (4, 0, None), (5, None, None)], "i int, c int, w int")
+    got = {r["i"]: r["pipeline"] for r in assign.assign_windows(df, "w", "c", ["i"], [P1, P2], F.lit(9.0)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 2, 4: 2, 5: 0}
+    assert assign.assign_windows(df.limit(0), "w", "c", ["i"], [P1, P2], F.lit(9.0)).count() == 0
+
+
+def test_single_items_leave_dear_pipelines_out():
+    bins = [Bucket([0.0, 9.0, 5.0], [0.0, 2.0, 3.0]), Bucket([0.0, 9.0, 5.0], [0.0, 2.0, 3.0]), Bucket([0.0, 4.0], [0.0, 1.0])]
+    assert [(s.bucket, s.start, s.end) for s in assign.item_swaps(bins[:1])] == [(0, 0, 1)]
+    assert assign.per_item_greedy(bins, 3.0) == ([0, 1, 1], 13.0, 3.0)
+    assert assign.per_item_greedy(bins, 0.0)[0] == [0, 0, 0] and assign.per_item_greedy([], 5.0) == ([], 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_scheduler_keeps_its_budget(seed):
+    rng = random.Random(seed)
+    buckets = [Bucket([0.0, *sorted(rng.uniform(0, 9) for _ in range(2))], [0.0, *sorted(rng.uniform(0, 4) for _ in range(2))], k) for k in range(3)]
+    known, past = [rng.randrange(3) for _ in range(rng.randrange(1, 30))], {0: 3, 1: 0, 2: 4}
+    for strategy in ("greedy", "optimal"):
+        for look in (Lookahead(count=len(known)), Lookahead(count=len(known) + 8), Lookahead(time_ms=4.0), Lookahead(count=5, time_ms=40.0)):
+            routes = scheduler.schedule(known, buckets, past, look, 1000.0, 20, 12.0, strategy)
+            assert len(routes) == len(known) and sum(buckets[c].costs[p] for c, p in zip(known, routes, strict=True)) <= 12 + 1e-6
+    assert scheduler.capped(Lookahead(time_ms=9.0), "optimal") == Lookahead(10, 9.0) and scheduler.capped(Lookahead(time_ms=9.0), "greedy").count is None
+    # An adjuster that makes everything but dropping too dear.
+    nothing = lambda bins: [Bucket(b.rewards, [0.0] + [99.0] * (len(b.costs) - 1), b.id) for b in bins]
+    assert set(scheduler.schedule(known, buckets, past, Lookahead(count=5), 1000.0, 20, 12.0, adjust=nothing)) == {0}
+
+
+def test_scheduler_scales_the_budget_by_the_share_kept():
+    look = Lookahead(count=4, time_ms=8.0)
+    assert scheduler.schedule([0] * 4, [P1], {0: 1}, look, 1000.0, 5, 4.0) == [0, 0, 1, 1]
+    assert scheduler.schedule([0] * 4, [P1], {0: 1}, Lookahead(count=4), 1000.0, 5, 4.0) == [1, 1, 1, 1]
+
+
+def test_language_model_buckets(spark):
+    assert [b.id for b in classify.llm_buckets([1.0, 2.0, 3.0])] == ["000", "001", "010", "011", "100", "101", "110", "111"]
+    assert classify.llm_buckets([1.0, 2.0, 3.0])[5].rewards == [0.0, 0.856, 0.814, 0.893]
+    df = spark.createDataFrame([([1.0, -1.0],), ([-1.0, 1.0],)], "x array<double>")
+    form = lambda *w: {"weights": list(w), "intercept": 0.0}
+    got = classify.llm_bucket(df, F.col("x"), [form(1, 0), form(0, 1), form(2, 1)], [form(1, 1), form(3, 0), form(0, 2)]).collect()
+    assert [(r["class"], list(r["costs"])) for r in got] == [(5, [0.0, 0.0, 3.0, -2.0]), (2, [0.0, 0.0, -3.0, 2.0])]
+    assert list(got[1]["rewards"]) == [0.0, 0.704, 0.860, 0.814]
+    pre = classify.Preclassifier("static", {}, [Bucket([1.0], [2.0], "a"), Bucket([3.0], [4.0], "b")])
+    ids = spark.createDataFrame([("b",), ("z",), (None,)], "label string")
+    assert rows(pre.bucketed_by_id(ids, "label").select("label", "class", F.get("costs", F.lit(0)))) == sorted([("b", 1, 4.0), ("z", None, None), (None, None, None)], key=str)
+
+
+def test_static_routes_drop_old_rows_first_and_then_those_without_room(spark):
+    df = spark.createDataFrame([(i, 0, 999 if i % 2 else 5) for i in range(10)], "i int, tick int, age int")
+    out = routing.static_with_overflow(df, 2, F.col("age"), 100, "tick", ["i"], 3)
+    assert {r["i"]: r["__route"] for r in out.collect()} == {i: 2 if i in (0, 2, 4) else 0 for i in range(10)}
+    same, seen = routing.noop_counter(df)
+    assert same.count() == 10 and seen.get["n"] == 10
+    assert routing.blocking_noop(df, 0.001).count() == 10
+
+
+def test_outputs_stop_at_a_count(spark):
+    df = spark.range(50).select((49 - F.col("id")).alias("v"))
+    assert rows(relational.log_output(df, ["v"], 3)) == [(0, 1), (1, 2), (2, 3)]
+    assert relational.log_output(df, ["v"]).count() == 50
+    assert rows(relational.repeat(df, 3, order=["v"], total=52).groupBy("cycle").count()) == [(0, 50), (1, 2)]
+
+
 # --- history, forecast, budgets ------------------------------------------------------------------
 
 
@@ -145,14 +223,14 @@ def test_pd_control_follows_the_fold(spark):
 
 def test_eddies_prefer_free_pipes(spark):
     df = spark.range(300).select(F.lit(1).alias("tick"), F.col("id"))
-    out = routing.eddies(df, "tick", ["id"], routing.draw(F.col("id")), [10, 1000], 0)
+    out = routing.eddies(df, "tick", "id", ["id"], routing.draw(F.col("id")), [10, 1000], 0)
     counts = {r["__route"]: r["count"] for r in out.groupBy("__route").count().collect()}
     assert counts[2] > 200 and counts[1] <= 10 and sum(counts.values()) == 300
 
 
 def test_full_pipes_drop(spark):
     df = spark.range(20).select(F.lit(1).alias("tick"), F.col("id"))
-    out = routing.eddies(df, "tick", ["id"], routing.draw(F.col("id")), [3, 4], 0)
+    out = routing.eddies(df, "tick", "id", ["id"], routing.draw(F.col("id")), [3, 4], 0)
     assert {r["__route"]: r["count"] for r in out.groupBy("__route").count().collect()} == {0: 13, 1: 3, 2: 4}
 
 
@@ -229,6 +307,8 @@ def test_flat_map_skips_failing_rows(spark):
 def test_chunks(spark):
     df = spark.createDataFrame([(t,) for t in (0, 1, 2, 3, 4)], "t long")
     assert [n for _, n in rows(relational.chunk_by_count(df, [], ["t"], 3).groupBy("chunk").count())] == [3, 2]
+    with pytest.raises(CompileError):
+        relational.chunk_by_time(df, [], "t", 3, 100)
     timed = spark.createDataFrame([(1, t) for t in (0, 10, 200, 205, 206, 500)], "k int, t long")
     assert [r["chunk"] for r in relational.chunk_by_time(timed, ["k"], "t", 3, 100).orderBy("t").collect()] == [0, 0, 1, 1, 1, 2]
     assert relational.chunk_by_time(timed.limit(0), ["k"], "t", 3, 100).count() == 0
@@ -263,6 +343,10 @@ def test_vector_blocks_agree(spark):
     assert pick(one) == pick(many) and pick(one)[98] is None and pick(one)[99] is None
     with pytest.raises(CompileError):
         vectors.vector_join(look, index, "left")
+    empty = vectors.vector_join(look, index.limit(0), "inner", id_col="id", vector_col="v").collect()
+    assert [r["match_ids"] for r in sorted(empty, key=lambda r: r["q"])] == [[]] * 10 + [None, []]
+    told = vectors.vector_join(look, index.withColumn("passage", F.concat(F.lit("p"), "id")), "inner", 3, 3, id_col="id", vector_col="v", passage_col="passage").collect()
+    assert all(r["passages"] == (None if r["match_ids"] is None else ["p" + m for m in r["match_ids"]]) for r in told) and len(told) == 12
 
 
 def test_lookup_rejects_and_leaves_out_long_vectors(spark):
@@ -379,7 +463,13 @@ def test_images(spark, tmp_path):
         assert images.blur(np.full((8, 8, 3), 50, np.uint8), 2, method).tolist() == np.full((8, 8, 3), 50).tolist()
     (tmp_path / "a.ppm").write_bytes(images.encode_ppm(image))
     (tmp_path / "b.ppm").write_bytes(b"no image")
-    got = {r["img_path"][-5:]: r for r in readers.images(spark, str(tmp_path)).collect()}
+    for name in ("1.ppm", "11.ppm", "sub/1.ppm"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(images.encode_ppm(image))
+    index = spark.createDataFrame([(1, "1.ppm"), (11, "11.ppm"), (21, "./sub/1.ppm"), (3, "none.ppm")], "img_id int, img_path string")
+    named = readers.images(spark, str(tmp_path), index, "*.ppm").select("img_id", "img_path").collect()
+    assert sorted((r["img_id"], r["img_path"].rpartition(tmp_path.name)[2]) for r in named) == [(1, "/1.ppm"), (1, "/sub/1.ppm"), (11, "/11.ppm"), (21, "/sub/1.ppm")]
+    got = {r["img_path"].rpartition(tmp_path.name + "/")[2]: r for r in readers.images(spark, str(tmp_path)).collect()}
     assert got["a.ppm"]["original_width"] == 30 and bytes(got["a.ppm"]["image"]["data"]) == image.tobytes() and got["b.ppm"]["shape"] is None
 
 
