@@ -262,6 +262,64 @@ def agg_list_keys(spark, sf):
     return out.select(F.get("k", F.lit(0)).alias("user_id"), F.get("k", F.lit(1)).alias("bucket"), "n")
 
 
+@query("SELECT user_id, round(sum(value * value), 4) AS squares, count(*) AS n FROM events GROUP BY user_id")
+def agg_custom(spark, sf):
+    """An aggregate by name, as a descriptor's user-defined one."""
+    registry = Registry()
+    squares = lambda df, keys, order: aggregates.custom(df, keys, lambda g: g.iloc[:1][keys].assign(squares=(g["value"] ** 2).sum(), n=len(g)), "user_id bigint, squares double, n bigint")
+    registry.add("aggregate", "squares", squares)
+    operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["user_id"], "aggregate": {"kind": "udf", "name": "squares"}}]
+    out = run(spark, operators, {"e": lambda s: table(s, sf, "events").select("user_id", "value")}, registry=registry)
+    return out.select("user_id", F.round("squares", 4).alias("squares"), "n")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 AND c_acctbal > 0")
+def filters_by_name(spark, sf):
+    """A filter and a residual join predicate by name."""
+    registry = Registry()
+    registry.add("filter", "dear", lambda df: F.col("o_totalprice") > 200000)
+    registry.add("join_filter", "solvent", lambda a, b: F.col("r.c_acctbal") > 0)
+    operators = [
+        {"kind": "udf_source", "name": "orders"},
+        {"kind": "udf_source", "name": "customers"},
+        {"kind": "filter", "source": 0, "predicate": {"kind": "udf", "name": "dear", "args": []}},
+        {"kind": "join", "left": 2, "right": 1, "predicate": {"kind": "udf", "name": "solvent", "args": []}, "join_info": {"kind": "inner_build_right", "fields": ["k"]}},
+        {"kind": "project", "source": 3, "fields": ["o_orderkey", "c_name"]},
+    ]
+    sources = {"orders": lambda s: table(s, sf, "orders").withColumnRenamed("o_custkey", "k"), "customers": lambda s: table(s, sf, "customer").withColumnRenamed("c_custkey", "k")}
+    return run(spark, operators, sources, registry=registry, inner_predicate=True)
+
+
+@query(E + " SELECT a.event_id AS event_id, b.event_id AS other_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'click' AND abs(a.us - b.us) <= 1800000000")
+def join_eviction(spark, sf):
+    """A join of two streams whose rows leave when the other side is half an hour further."""
+    registry = Registry()
+    registry.add("join_evict", "half_hour", 1_800_000_000)
+    same = binary("=", field("user_id"), field("other_user"))
+    operators = [
+        {"kind": "udf_source", "name": "a"},
+        {"kind": "udf_source", "name": "b"},
+        {"kind": "join", "left": 0, "right": 1, "predicate": same, "join_info": {"kind": "double_stream", "eviction_policy": {"kind": "udf", "name": "half_hour", "args": []}}},
+        {"kind": "project", "source": 2, "fields": ["event_id", "other_id"]},
+    ]
+    df = events(spark, sf)
+    a = df.filter("event_type = 'error'").select("event_id", "user_id", "us")
+    b = df.filter("event_type = 'click'").select(F.col("event_id").alias("other_id"), F.col("user_id").alias("other_user"), "us")
+    return run(spark, operators, {"a": lambda s: a, "b": lambda s: b}, registry=registry, event_time="us")
+
+
+@query(E + " SELECT event_id, row_number() OVER (ORDER BY us, event_id) AS output_number FROM e QUALIFY row_number() OVER (ORDER BY us, event_id) <= 500")
+def output_log(spark, sf):
+    """Outputs numbered in order of arrival, until the five-hundredth (a limit that is the feature)."""
+    return relational.log_output(events(spark, sf).select("us", "event_id"), ARRIVAL, 500).select("event_id", "output_number")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5")
+def take_and_skip(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", "p_retailprice").withColumn("minus", -F.col("p_retailprice"))
+    return relational.take(df, ["minus", "p_partkey"], 20, 5).drop("minus")
+
+
 # --- unions, top-k, chunks ---------------------------------------------------------------------
 
 
@@ -374,6 +432,20 @@ def route_backup_defaults(spark, sf):
     return _router(spark, sf, binary("%", field("event_id"), lit("int", 4)), backup)
 
 
+@query(E + ", x AS (SELECT event_id, row_number() OVER (PARTITION BY ms // 86400000 ORDER BY us, event_id) AS nth FROM e WHERE event_id % 3 = 0) SELECT event_id FROM x WHERE nth <= 20")
+def route_custom_backup(spark, sf):
+    """Shed rows go to a channel of their own, which holds twenty in a day."""
+    operators = [
+        {"kind": "udf_source", "name": "e"},
+        {"kind": "channel_router", "source": 0, "route_expression": binary("%", field("event_id"), lit("int", 3)), "routes": [2], "backup_route": {"kind": "custom", "max_capacity": 20, "spout_position": 3}},
+        {"kind": "channel_spout", "source": 1, "timeout": 10},
+        {"kind": "channel_spout", "source": 1, "timeout": 10},
+        {"kind": "project", "source": 3, "fields": ["event_id"]},
+    ]
+    df = events(spark, sf).withColumn("tick", F.expr("ms div 86400000"))
+    return run(spark, operators, {"e": lambda s: df}, order=ARRIVAL, tick="tick")
+
+
 @query(E + ", n AS (SELECT event_id, CAST(event_id % 2 + 1 AS INTEGER) AS pipe, ms // 3600000 AS tick, us FROM e) SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY pipe, tick ORDER BY us, event_id) <= 4 THEN pipe ELSE 0 END AS route FROM n")
 def route_capacity_overflow(spark, sf):
     df = events(spark, sf).withColumns({"pipe": (F.col("event_id") % 2 + 1).cast("int"), "tick": F.expr("ms div 3600000")})
@@ -421,7 +493,15 @@ def route_half_and_half(spark, sf):
     return table(spark, sf, "events").select("event_id", routing.half_and_half(routing.draw(F.col("event_id")), F.col("value") < 300, F.col("value") > 200).alias("route"))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT event_id, epoch_us(ts) // 1000 // 86400000 AS tick, row_number() OVER (PARTITION BY epoch_us(ts) // 1000 // 86400000 ORDER BY ts, event_id) AS nth, ((event_id * 7919 + 104729) % 100003) / CAST(100003 AS DOUBLE) AS u FROM events),
+r AS (SELECT tick, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS l1, CAST(0 AS DOUBLE) AS l2, CAST(0 AS DOUBLE) AS l3, 0 AS pipe FROM (SELECT DISTINCT tick FROM n)
+  UNION ALL SELECT tick, nth, event_id, g1 + CASE WHEN pipe = 1 THEN 1 ELSE 0 END, g2 + CASE WHEN pipe = 2 THEN 1 ELSE 0 END, g3 + CASE WHEN pipe = 3 THEN 1 ELSE 0 END, pipe FROM (
+    SELECT *, CASE WHEN f1 + f2 + f3 <= 0 THEN 0 WHEN u * (f1 + f2 + f3) < f1 THEN 1 WHEN u * (f1 + f2 + f3) < f1 + f2 THEN 2 ELSE 3 END AS pipe FROM (
+      SELECT *, greatest(1 - g1 / 50, 0) AS f1, greatest(1 - g2 / 100, 0) AS f2, greatest(1 - g3 / 200, 0) AS f3 FROM (
+        SELECT n.tick AS tick, n.nth AS nth, n.event_id AS event_id, n.u AS u, greatest(l1 - 1, 0) AS g1, greatest(l2 - 1, 0) AS g2, greatest(l3 - 1, 0) AS g3 FROM r JOIN n ON n.tick = r.tick AND n.nth = r.nth + 1))))
+SELECT event_id, CAST(pipe AS INTEGER) AS route FROM r WHERE nth > 0
+""")
 def route_eddies_queues(spark, sf):
     df = events(spark, sf).withColumn("tick", F.expr("ms div 86400000")).select("tick", "us", "event_id")
     return routing.eddies(df, "tick", "event_id", ARRIVAL, routing.draw(F.col("event_id")), [50, 100, 200], 1).select("event_id", F.col(routing.ROUTE).alias("route"))
@@ -491,6 +571,24 @@ def bucket_lookup_with_drop(spark, sf):
     return pre.bucketed(df, "class").select("event_id", "class", F.size("valid").alias("n_pipelines"), F.get("costs", F.lit(0)).alias("first_cost"), F.array_max("rewards").alias("best_reward"))
 
 
+@query("SELECT event_id, 7 AS class FROM events")
+def preclass_static(spark, sf):
+    return _featured(spark, sf).select("event_id", classify.classify("static", {"class": 7}, F.col("x")).alias("class"))
+
+
+@query("SELECT event_id, event_type = 'click' AS found, CASE WHEN event_type = 'click' THEN CAST(0.5 AS DOUBLE) END AS reward FROM events")
+def bucket_lookup_by_id(spark, sf):
+    pre = classify.Preclassifier("static", {}, [classify.Bucket([0.25], [1.0], "other"), classify.Bucket([0.5], [1.0], "click")])
+    return pre.bucketed_by_id(table(spark, sf, "events"), "event_type").select("event_id", F.col("class").isNotNull().alias("found"), F.get("rewards", F.lit(0)).alias("reward"))
+
+
+@query("WITH b AS (SELECT event_id, value / 100 AS x, user_id / CAST(50 AS DOUBLE) AS y FROM events) SELECT event_id, 4 * CASE WHEN x > 2 THEN 1 ELSE 0 END + 2 * CASE WHEN y > 1 THEN 1 ELSE 0 END + CASE WHEN x > y THEN 1 ELSE 0 END AS class, CASE WHEN x > y THEN CAST(0.893 AS DOUBLE) ELSE CAST(0.814 AS DOUBLE) END AS best, round(x * 0.5 + y * 0.25 + 1, 6) AS cost FROM b")
+def llm_bucket(spark, sf):
+    form = lambda x, y, b: {"weights": [x, y], "intercept": b}
+    out = classify.llm_bucket(_featured(spark, sf), F.col("x"), [form(1.0, 0.0, -2.0), form(0.0, 1.0, -1.0), form(1.0, -1.0, 0.0)], [form(0.1, 0.0, 0.0), form(0.2, 0.0, 0.0), form(0.5, 0.25, 1.0)])
+    return out.select("event_id", "class", F.get("rewards", F.lit(3)).alias("best"), r6(F.get("costs", F.lit(3))).alias("cost"))
+
+
 @query("SELECT event_type AS label, 0 AS pipeline, round(avg(value), 6) AS reward, round(avg(user_id), 6) AS cost FROM events GROUP BY 1 UNION ALL SELECT event_type, 1, round(avg(value * 2), 6), round(avg(user_id + 1), 6) FROM events GROUP BY 1")
 def bucket_group_mean(spark, sf):
     df = table(spark, sf, "events").select(F.col("event_type").alias("label"), F.array("value", F.col("value") * 2).alias("r"), F.array(F.col("user_id").cast("double"), (F.col("user_id") + 1).cast("double")).alias("c"))
@@ -541,7 +639,11 @@ def assign_greedy(spark, sf):
     return _adaptive(spark, sf, "greedy", 86_400_000, 300.0).select("event_id", "class", "pipeline")
 
 
-@query()
+# With rising prices for ever smaller gains the optimum takes gains in order: 14, 12, then 4, 3.
+_OPTIMAL = _ASSIGN.replace("least(b1, left_over) AS b2 FROM h", "least(a1, left_over) AS a2 FROM h").replace("least(a1, left_over - b2) AS a2 FROM k", "least(b1, left_over - a2) AS b2 FROM k")
+
+
+@query(_OPTIMAL.format(window=600_000, budget=5))
 def assign_optimal(spark, sf):
     out = _adaptive(spark, sf, "optimal", 600_000, 5.0)
     return out.select("event_id", "class", "pipeline")
@@ -594,7 +696,7 @@ def route_lookahead_grouped(spark, sf):
     return out.select("event_id", "class", "pipeline")
 
 
-@query()
+@query('SELECT epoch_us(ts) // 1000 // 1200000 AS "window", count(*) AS n, least(2 * count(*), 8) AS spent FROM events GROUP BY 1')
 def route_adaptive_optimal(spark, sf):
     routed = _adaptive(spark, sf, "optimal", 1_200_000, 8.0)
     return routed.groupBy("window").agg(F.count("*").alias("n"), F.sum("pipeline").alias("spent"))
@@ -682,7 +784,12 @@ def budget_v3(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(budget.v3(F.lit(1000.0), F.col("user_id").cast("double"), F.col("value") - 250, F.lit(250.0))).alias("budget"))
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT event_id, user_id, value, row_number() OVER o AS nth, value - lag(value) OVER o AS d FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, nth, event_id, value, CAST(0 AS DOUBLE) AS ema FROM d WHERE nth = 1
+  UNION ALL SELECT d.user_id, d.nth, d.event_id, d.value, r.ema * (1 - 0.1::DOUBLE) + d.d * 0.1::DOUBLE FROM r JOIN d ON d.user_id = r.user_id AND d.nth = r.nth + 1)
+SELECT event_id, round(greatest(1000 * (1 - 1.05::DOUBLE * value / 500) * least(1.05::DOUBLE, 1 - ema / 500), 0), 6) AS budget FROM r
+""")
 def budget_pd(spark, sf):
     df = events(spark, sf).withColumns({"L": F.lit(1000.0), "D": F.lit(500.0)})
     return budget.pd_control(df, ["user_id"], ARRIVAL, "value", "L", "D").select("event_id", r6(F.col("budget")).alias("budget"))
@@ -820,9 +927,11 @@ def box_iou(spark, sf):
     return _boxed(spark, sf).select("event_id", r6(boxes.iou(F.col("a"), F.col("b"))).alias("iou"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN (100 - user_id % 100) / (100.0 + user_id % 100) <= 0.5 THEN '0,2,1' ELSE '0,2' END AS kept FROM events")
 def nms(spark, sf):
-    df = _boxed(spark, sf).select("event_id", F.array("a", "b", "a").alias("boxes"), F.array(F.lit(0.9), F.lit(0.8), F.lit(0.85)).alias("scores"))
+    x, y, off = F.col("value").cast("int"), (F.col("user_id") * 3).cast("int"), (F.col("user_id") % 100).cast("int")
+    made = F.array(F.array(x, y, x + 100, y + 50), F.array(x + off, y, x + off + 100, y + 50), F.array(x, y + 45, x + 100, y + 95))
+    df = table(spark, sf, "events").select("event_id", made.alias("boxes"), F.array(F.lit(0.9), F.lit(0.8), F.lit(0.85)).alias("scores"))
     return boxes.nms(df, "boxes", "scores", 0.5).select("event_id", F.concat_ws(",", F.transform("kept", lambda k: k.cast("string"))).alias("kept"))
 
 
@@ -849,11 +958,13 @@ def fft_features(spark, sf):
     return out.select("vec_id", F.size("f").alias("n"), F.aggregate(F.slice("f", 1, 5), F.lit(0.0), lambda a, v: a + v).alias("first_histogram"))
 
 
-@query()
+@query("SELECT event_id, CAST(12 + event_id % 9 AS DOUBLE) AS width, CAST(10 + event_id % 7 AS DOUBLE) AS height FROM events")
 def image_features(spark, sf):
-    pixels = F.encode(F.rpad(F.lit(""), 3 * 40 * 30, "abcdefgh"), "utf-8")
-    df = table(spark, sf, "events").select("event_id", F.array(F.lit(30), F.lit(40), F.lit(3)).cast("array<bigint>").alias("shape"), pixels.alias("data"))
-    return signal.with_image_features(df, "shape", "data").select("event_id", F.size("features").alias("n"), F.get("features", F.lit(0)).alias("width"))
+    h, w = (10 + F.col("event_id") % 7).cast("int"), (12 + F.col("event_id") % 9).cast("int")
+    pixels = F.encode(F.rpad(F.lit(""), h * w * 3, F.concat(F.col("event_id").cast("string"), F.lit("aZ~"))), "utf-8")
+    # Many small images a task: dealt out, for a small table's file would be one task.
+    df = table(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism, "event_id").select("event_id", F.array(h, w, F.lit(3)).cast("array<bigint>").alias("shape"), pixels.alias("data"))
+    return signal.with_image_features(df, "shape", "data").select("event_id", F.get("features", F.lit(0)).cast("double").alias("width"), F.get("features", F.lit(1)).cast("double").alias("height"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: CAST(embedding[CAST(i AS INTEGER) + 1] AS DOUBLE) * (i - 32) / 32.0)), 3) AS y FROM embeddings")
@@ -884,6 +995,22 @@ def python_udf_error_drop(spark, sf):
     return models.inline_python(df, lambda u: 100 // int(u), ["user_id"], "share bigint").select("event_id", "share")
 
 
+@query("SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS name, user_id + 1 AS next FROM events")
+def python_udf_codecs(spark, sf):
+    """An inline function and a worker behind encoders and decoders of their own."""
+    registry = Registry()
+    registry.add("python_encode", "packed", lambda user: ({"user": int(user)},))
+    registry.add("inline_python", "named", (lambda packed: {"name": f"u{packed['user']}"}, ["string"]))
+    registry.add("python_decode", "unpacked", lambda got: [got["name"]])
+    registry.add("python_encode", "id_only", lambda row: int(row["name"][1:]))
+    registry.add("python_worker", "plus_one", ("event_id bigint, name string, next bigint", lambda user: user + 1))
+    registry.add("python_decode", "with_row", lambda row, value: {"event_id": row["event_id"], "name": row["name"], "next": value})
+    registry.add("python_shutdown", "nothing", lambda: None)
+    inline = {"kind": "inline_python_script", "source": 0, "scripts_dir_path": ".", "script_name": "named", "function_name": "named", "encode_fn": {"kind": "custom", "function_name": "packed", "fields": ["user_id"]}, "decode_fn": {"kind": "custom", "function_name": "unpacked", "output_fields": ["name"]}}
+    worker = {"kind": "python_udf", "source": 1, "script_name": "plus_one", "script_path": "", "encode_fn": "id_only", "decode_fn": "with_row", "shutdown_fn": "nothing"}
+    return run(spark, [{"kind": "udf_source", "name": "e"}, inline, worker], {"e": lambda s: table(s, sf, "events").select("event_id", "user_id")}, registry=registry)
+
+
 def _double(frames):
     for frame in frames:
         yield frame.assign(value=frame["value"] * 2)

@@ -47,15 +47,31 @@ def outer_build_right(left: DataFrame, right: DataFrame, fields: list[str], pred
     return left.alias("l").join(right.alias("r"), on, "left").select(*_both(left, right))
 
 
-def double_stream(left: DataFrame, right: DataFrame, predicate: Column | Callable[[DataFrame, DataFrame], Column], fields: list[str] | None = None) -> DataFrame:
+def double_stream(left: DataFrame, right: DataFrame, predicate: Column | Callable[[DataFrame, DataFrame], Column], fields: list[str] | None = None, within: tuple[str, float] | None = None) -> DataFrame:
     """A theta join of two streams, complete: every pair that meets the predicate, the left row winning.
 
-    Give the equality part as ``fields``, so pairs are looked for within keys only.
+    Give the equality part as ``fields``, so pairs are looked for within keys only.  ``within`` names a time
+    of both sides and how far apart two rows may be before one has left: rows are then looked for in bins
+    of time.
     """
     on = predicate(left.alias("l"), right.alias("r")) if callable(predicate) else predicate
     if fields:
         on = _keys(left, right, fields) & on
-    return left.alias("l").join(right.alias("r"), on, "inner").select(*_both(left, right))
+    if within is None:
+        return left.alias("l").join(right.alias("r"), on, "inner").select(*_both(left, right))
+    time, bound = within
+    a, b = _binned(left, right, time, time, bound, bound, None)
+    near = F.col(f"r.`{time}`").between(F.col(f"l.`{time}`") - bound, F.col(f"l.`{time}`") + bound)
+    on = on & (F.col("l._bin") == F.col("r._bin")) & near
+    return a.alias("l").join(b.alias("r"), on, "inner").select(*_both(left, right))
+
+
+def _binned(left: DataFrame, right: DataFrame, left_time: str, right_time: str, before: float, after: float, bin_size: float | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_bin``: a left row once in each bin that its range of time touches."""
+    size = bin_size or max(before + after, 1)
+    times = F.col(f"`{left_time}`")
+    bins = F.sequence(F.floor((times - before) / size), F.floor((times + after) / size))
+    return left.withColumn("_bin", F.explode(bins)), right.withColumn("_bin", F.floor(F.col(f"`{right_time}`") / size))
 
 
 def range_join(left: DataFrame, right: DataFrame, fields: list[str], left_time: str, right_time: str, before: float, after: float, bin_size: float | None = None) -> DataFrame:
@@ -64,11 +80,7 @@ def range_join(left: DataFrame, right: DataFrame, fields: list[str], left_time:
     Both sides are dealt to bins of time; a left row goes to each bin that its range touches, so the
     equality join on (keys, bin) spreads a hot key over its bins.
     """
-    size = bin_size or max(before + after, 1)
-    times = F.col(f"`{left_time}`")
-    bins = F.sequence(F.floor((times - before) / size), F.floor((times + after) / size))
-    a = left.withColumn("_bin", F.explode(bins))
-    b = right.withColumn("_bin", F.floor(F.col(f"`{right_time}`") / size))
+    a, b = _binned(left, right, left_time, right_time, before, after, bin_size)
     near = F.col(f"r.`{right_time}`").between(F.col(f"l.`{left_time}`") - before, F.col(f"l.`{left_time}`") + after)
     on = _keys(left, right, fields) & (F.col("l._bin") == F.col("r._bin")) & near
     return a.alias("l").join(b.alias("r"), on, "inner").select(*_both(left, right))

@@ -61,9 +61,51 @@ def inline_python(df: DataFrame, function: Callable, args: list[str], outputs: s
     return called.withColumns({n: F.col(f"_call.out.`{n}`") for n in fields.names}).drop("_call")
 
 
-def remote_python(df: DataFrame, worker: Callable, schema: str | T.StructType) -> DataFrame:
-    """A worker over pandas batches in Spark's own Python processes; a failed task is run again by Spark."""
-    return df.mapInPandas(worker, schema)
+def coded(function: Callable, encode: Callable | None = None, decode: Callable | None = None) -> Callable:
+    """``function`` behind its own codec: ``encode`` makes its arguments of the fields' values, ``decode``
+    the output fields' values of what it returns."""
+
+    def call(*values):
+        args = values if encode is None else encode(*values)
+        got = function(*(args if isinstance(args, (list, tuple)) else (args,)))
+        return got if decode is None else decode(got)
+
+    return call
+
+
+def remote_python(df: DataFrame, worker: Callable, schema: str | T.StructType, encode: Callable | None = None, decode: Callable | None = None, shutdown: Callable | None = None) -> DataFrame:
+    """A worker over pandas batches in Spark's own Python processes; a failed task is run again by Spark.
+
+    With a codec the worker takes and gives single values: ``encode(row)`` makes its argument, ``decode(row,
+    value)`` the output row, and a row that either rejects is dropped.  ``shutdown()`` runs when a task's
+    rows are through.
+    """
+    if encode is None and decode is None and shutdown is None:
+        return df.mapInPandas(worker, schema)
+    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
+
+    def run(frames):
+        import pandas as pd
+
+        def rows():
+            for frame in frames:
+                out = []
+                for row in frame.to_dict("records"):
+                    try:
+                        value = worker(row if encode is None else encode(row))
+                        made = value if decode is None else decode(row, value)
+                        out.append([made[n] for n in names])
+                    except Exception:
+                        continue
+                yield pd.DataFrame(out, columns=names)
+
+        try:
+            yield from worker(frames) if encode is None and decode is None else rows()
+        finally:
+            if shutdown is not None:
+                shutdown()
+
+    return df.mapInPandas(run, schema)
 
 
 @lru_cache(maxsize=8)

@@ -73,6 +73,14 @@ def overflow(df: DataFrame, pipe: str, tick: str, order: list[str], capacity: in
     return df.withColumn(ROUTE, F.when(nth <= capacity, F.col(pipe)).otherwise(0))
 
 
+def within_capacity(df: DataFrame, tick: str, order: list[str], capacity: int) -> DataFrame:
+    """The rows of a channel that it has room for within a tick; later ones are lost."""
+    if not order:
+        raise CompileError("a channel's capacity needs an order of arrival")
+    nth = F.row_number().over(Window.partitionBy(tick).orderBy(*order))
+    return df.withColumn("_nth", nth).filter(F.col("_nth") <= capacity).drop("_nth")
+
+
 def dedup_feedback(df: DataFrame, id_col: str, pipeline: str) -> DataFrame:
     """One outcome for each routed id and pipeline."""
     return df.dropDuplicates([id_col, pipeline])

@@ -24,6 +24,9 @@ class Settings:
     order: list[str] = field(default_factory=list)
     now: str | None = None
     created: str = "time_created"
+    #: Column of ticks, within which capacities of extra channels hold, and of event times, for evictions.
+    tick: str | None = None
+    event_time: str | None = None
     running: bool = True
     rules: Rules = Rules()
     #: Inner hash joins by key take no further predicate.
@@ -90,9 +93,19 @@ class Compiler:
         if kind == "outer_build_right":
             return joins.outer_build_right(left, right, info["fields"], self._predicate(op["predicate"], left, right))
         if kind == "double_stream":
-            return joins.double_stream(left, right, self._predicate(op["predicate"], left, right))
+            return joins.double_stream(left, right, self._predicate(op["predicate"], left, right), within=self._eviction(info.get("eviction_policy")))
         raise CompileError(f"unknown join {kind!r}")
 
+    def _eviction(self, policy: dict | None) -> tuple[str, float] | None:
+        """What a named eviction policy leaves to be joined: a bound on the distance of event times."""
+        if policy is None:
+            return None
+        if policy.get("kind") != "udf":
+            raise CompileError("an eviction policy must be a named function")
+        if self.settings.event_time is None:
+            raise CompileError("an eviction policy needs a column of event times")
+        return self.settings.event_time, self.registry.find("join_evict", policy["name"])
+
     def _group_by(self, op: Operator, frames: dict, query: Query) -> DataFrame:
         df, aggregate = frames[op["source"]], op["aggregate"]
         for f in op["fields"]:
@@ -143,7 +156,11 @@ class Compiler:
         if op.id not in router["routes"]:
             backup = router.get("backup_route") or {}
             if backup.get("kind") == "custom" and backup.get("spout_position") == op.id:
-                return routing.branch(frames[router.id], 0)
+                extra = routing.branch(frames[router.id], 0)
+                room = backup.get("max_capacity")
+                if room is None or self.settings.tick is None:
+                    return extra
+                return routing.within_capacity(extra, self.settings.tick, self.settings.order, int(room))
             raise CompileError(f"router {router.id} does not route here")
         return self._aged(routing.branch(frames[router.id], router["routes"].index(op.id) + 1), op.get("max_age_ns"))[0]
 
@@ -179,13 +196,17 @@ class Compiler:
     def _udf(self, op: Operator, frames: dict, query: Query) -> DataFrame:
         return self.registry.find("flat_map", op["name"])(frames[op["source"]])
 
+    def _codec(self, kind: str, name: str | None) -> Callable | None:
+        return self.registry.find(kind, name) if name and self.registry.has(kind, name) else None
+
     def _python_udf(self, op: Operator, frames: dict, query: Query) -> DataFrame:
         worker: tuple[str, Callable] = self.registry.find("python_worker", op["script_name"])
-        return models.remote_python(frames[op["source"]], worker[1], worker[0])
+        codec = [self._codec(f"python_{k}", op.get(f"{k}_fn")) for k in ("encode", "decode", "shutdown")]
+        return models.remote_python(frames[op["source"]], worker[1], worker[0], *codec)
 
     def _inline_python_script(self, op: Operator, frames: dict, query: Query) -> DataFrame:
-        fields = op["encode_fn"]["fields"]
-        outputs = op["decode_fn"]["output_fields"]
+        encode, decode = op["encode_fn"], op["decode_fn"]
+        outputs = decode["output_fields"]
         if self.registry.has("inline_python", op["function_name"]):
             function, kinds = self.registry.find("inline_python", op["function_name"])
         else:
@@ -193,7 +214,9 @@ class Compiler:
         kinds = kinds or getattr(function, "types", None)
         if kinds is None or len(kinds) != len(outputs):
             raise CompileError(f"{op['function_name']!r} needs a type for each of {outputs}")
-        return models.inline_python(frames[op["source"]], function, fields, ", ".join(f"`{n}` {k}" for n, k in zip(outputs, kinds, strict=True)))
+        codec = [self.registry.find(k, c["function_name"]) if c.get("kind") == "custom" else None for k, c in (("python_encode", encode), ("python_decode", decode))]
+        called = models.coded(function, *codec) if any(codec) else function
+        return models.inline_python(frames[op["source"]], called, encode["fields"], ", ".join(f"`{n}` {k}" for n, k in zip(outputs, kinds, strict=True)))
 
     def _onnx_inference(self, op: Operator, frames: dict, query: Query) -> DataFrame:
         path = op["model_path"]

@@ -25,9 +25,9 @@ KINDS = {
     "flat_map": "DataFrame -> DataFrame",
     "python_worker": "(schema, function over pandas batches)",
     "inline_python": "(function of values, types of results)",
-    "python_encode": "row -> arguments",
-    "python_decode": "value -> fields",
-    "python_shutdown": "nothing",
+    "python_encode": "values (inline) or row (worker) -> arguments",
+    "python_decode": "value (inline) or row and value (worker) -> fields",
+    "python_shutdown": "() -> nothing, when a task's rows are through",
     "model": "path of a model or a function of arrays",
 }
 
