@@ -39,3 +39,18 @@ def test_entry(spark):
 def test_image_features_takes_all_events(spark, duck):
     got = catalog.image_features(spark, TABLES).select("event_id").collect()
     assert sorted(r["event_id"] for r in got) == [i for (i,) in duck.sql("SELECT event_id FROM events ORDER BY event_id").fetchall()]
+
+
+def test_the_engine_does_without_modules_that_only_the_training_data_queries_need(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "public_tokenizers" or name.startswith("sluice.llm") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(f"No module named {name!r}", name="public_tokenizers")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    with pytest.warns(UserWarning, match="public_tokenizers"):
+        assert set(__spark_entry__.queries()) == set(catalog.QUERIES)
