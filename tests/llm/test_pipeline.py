@@ -1,6 +1,12 @@
 import random
+import re
 
+import numpy as np
+import public_tokenizers
 import pytest
+import test_line_dedup
+import test_near_dups
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
@@ -67,11 +73,43 @@ def test_stages_take_effect(spark, tables):
         docs = spark.read.parquet(path)
 
 
-def test_run(spark, tables):
+def plain(text):
+    return " ".join(re.sub("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", (text or "").lower()).split())
+
+
+def test_run_against_brute_force(spark, tables):
+    """What the toxicity stage keeps, taken through plain Python, is what the pipeline packs."""
     sf = tables[0]
-    out = corpus_pipeline.run(spark, sf)
-    assert {"doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns)
-    assert out.count() > 300
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    lines = test_line_dedup.brute([(i, t) for i, t in kept.items() if t is not None]) | {i: None for i, t in kept.items() if t is None}
+    groups = test_near_dups.brute(list(lines.items()))
+    firsts = {i: t for i, t in lines.items() if groups[i][1] == i}
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {i: t for i, t in firsts.items() if not any(item in plain(t) for item in items)}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in clean.items()}
+    got, used = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["start"] == len(got.setdefault(r["doc_id"], [])) and r["length"] == len(ids)
+        got[r["doc_id"]] += ids
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for own in used.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_on_odd_rows(spark, make_docs, odd_rows, tmp_path, empty):
+    rows = [] if empty else [*odd_rows, (7, "the same words in each of two rows"), (8, "the same words in each of two rows")]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).filter("piece = 0").collect()
+    texts = {t for _, t in rows if t and t.split()}
+    # Of rows with equal words one stays; rows without words are no copies of each other.
+    assert len(out) == len(texts) + sum(not (t and t.split()) for _, t in rows)
+    assert 8 not in {r["doc_id"] for r in out}
 
 
 def test_registered(spark):
