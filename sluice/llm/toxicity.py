@@ -3,8 +3,9 @@
 Pairs of words are counted for toxic and ordinary texts.  Within a class, a pair's discounted count
 backs off to the word's continuation count (how many different words it follows there), and that to
 continuation counts of both classes together.  Words and pairs met fewer than LEAST times
-have no counts of their own, at every size of the input: such words are one rare word, so classes differ
-on them only through shared counts.  The model grows with the input; it is collected and broadcast.
+have no counts of their own, at every size of the input: such words are one rare word, and the mass of
+such pairs goes to the back-off, so that chances sum to 1.  The model grows with the input; it is
+collected and broadcast as ratios, 12 bytes a pair.
 
 A text is scored whole: the log-likelihood ratio of toxic to ordinary, normalised by length, over the
 text and over its passages of PASSAGE words.  A logistic curve over these turns them into a score; it
@@ -127,41 +128,71 @@ def _pairs(told):
 
 
 class Model:
-    """Word and pair tables of both classes (0 toxic, 1 ordinary)."""
+    """The log-likelihood ratio of toxic (0) to ordinary (1) of each word after each word.
+
+    Of a pair with counts of its own the ratio is held; any other pair's is that of the mass which its
+    first word leaves to the back-off, plus that of its second word.
+    """
 
     def __init__(self, vocabulary: np.ndarray, after: np.ndarray, pairs: np.ndarray, begin: np.ndarray) -> None:
-        """``after``: per word and class, distinct words before it.  ``begin``: per word, class: its
-        pairs' count and distinct words after it.  ``pairs``: kept (key, toxic, ordinary)."""
-        self.vocabulary, n = vocabulary, len(vocabulary) + 2
+        """``after``: per word and class, distinct words before it.  ``begin``: per word and class, the
+        count of all its pairs.  ``pairs``: those with counts of their own (key, toxic, ordinary)."""
+        n = len(vocabulary) + 2
+        self.vocabulary, self.word_chance = vocabulary, self._words(after)
+        order = np.argsort(pairs[:, 0])
+        pairs = pairs[order]
+        self.keys = np.ascontiguousarray(pairs[:, 0])
+        # What pairs with counts of their own take is discounted; all else is left to the back-off, so
+        # that the chances after a word sum to 1 however many pairs have no counts.
+        taken = np.zeros((n, 2))
+        parts = [slice(i, i + _HELD) for i in range(0, len(pairs), _HELD)]
+        for part in parts:
+            for c in (0, 1):
+                taken[:, c] += np.bincount(self.keys[part] // n, self._taken(pairs[part], begin, n)[:, c], n)
+        self.back_chance = np.where(begin > 0, np.maximum(1 - taken, 1e-9), 1.0)
+        ratio = np.empty(len(pairs), np.float32)
+        for part in parts:
+            before, number = np.divmod(self.keys[part], n)
+            p = self._taken(pairs[part], begin, n) + self.back_chance[before] * self.word_chance[number]
+            ratio[part] = np.log(p[:, 0]) - np.log(p[:, 1])
+        self.pair = ratio
+        self.word, self.back = ((np.log(t[:, 0]) - np.log(t[:, 1])).astype(np.float32) for t in (self.word_chance, self.back_chance))
+
+    @staticmethod
+    def _words(after: np.ndarray) -> np.ndarray:
+        """Chance of each word by class: its discounted continuation count, and its share of both classes'."""
+        n = len(after)
         shared = (after.sum(1) + 0.5) / (after.sum() + 0.5 * n)
-        self.word = np.empty((n, 2))
+        out = np.empty((n, 2))
         for c in (0, 1):
-            total = max(after[:, c].sum(), 1)
-            kinds = (after[:, c] > 0).sum()
+            total, kinds = max(after[:, c].sum(), 1), (after[:, c] > 0).sum()
             left = DISCOUNT * kinds / total if kinds else 1.0
-            self.word[:, c] = np.maximum(after[:, c] - DISCOUNT, 0) / total + left * shared
-        count, kinds = begin[:, :, 0], begin[:, :, 1]
-        self.word = self.word.astype(np.float32)
-        self.back = np.where(count > 0, DISCOUNT * kinds / np.maximum(count, 1), 1.0).astype(np.float32)
-        order = np.argsort(pairs[:, 0])
-        self.keys = pairs[order, 0]
-        before = self.keys // n
-        self.pair = (np.maximum(pairs[order, 1:] - DISCOUNT, 0) / np.maximum(count[before], 1)).astype(np.float32)
+            out[:, c] = np.maximum(after[:, c] - DISCOUNT, 0) / total + left * shared
+        return out
+
+    @staticmethod
+    def _taken(pairs: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+        return np.maximum(pairs[:, 1:] - DISCOUNT, 0) / np.maximum(begin[pairs[:, 0] // n], 1)
+
+    def __getstate__(self) -> dict:
+        # Workers need ratios only.
+        return {k: v for k, v in self.__dict__.items() if not k.endswith("_chance")}
 
     def ratios(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary) + 2
         number = _numbered(words, self.vocabulary)
         before = _follows(number, offsets, n - 1)
-        p = self.back[before] * self.word[number]
+        out = self.back[before] + self.word[number]
         if len(self.keys):
             key = before * n + number
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
-            p[hit] += self.pair[at[hit]]
-        return np.log(p[:, 0].astype(np.float64)) - np.log(p[:, 1])
+            out[hit] = self.pair[at[hit]]
+        return out.astype(np.float64)
 
     def features(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: mean ratio, that of the best passage, of the best three, and log length."""
+        """Per text: mean ratio, that of the best PASSAGE words in a row, of the best three of the passages
+        that it falls into, and log length."""
         parts = [self._features(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, _WORDS)]
         return np.concatenate([np.zeros((0, 4)), *parts])
 
@@ -177,7 +208,12 @@ class Model:
         first = np.r_[0, np.cumsum(passages)]
         starts = np.repeat(offsets[:-1][some] - first[:-1] * PASSAGE, passages) + np.arange(first[-1]) * PASSAGE
         mean = np.add.reduceat(r, starts) / PASSAGE
-        out[some, 1] = np.maximum.reduceat(mean, first[:-1])
+        begin, end = np.repeat(offsets[:-1][some], n[some]), np.repeat(offsets[1:][some], n[some])
+        place = np.arange(len(r))
+        sums = np.r_[0.0, np.cumsum(r)]
+        run = sums[np.minimum(place + PASSAGE, end)] - sums[place]
+        run[(place + PASSAGE > end) & (place > begin)] = -np.inf
+        out[some, 1] = np.maximum.reduceat(run, offsets[:-1][some]) / PASSAGE
         text = np.repeat(np.arange(len(some)), passages)
         order = np.lexsort((-mean, text))
         rank = np.arange(first[-1]) - first[text]
@@ -256,18 +292,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = written(seen.mapInArrow(_pairs(told), kinds).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "pairs")
     told.destroy()
     word = F.pmod("key", F.lit(n)).alias("w")
-    met = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds")
-
-    after = np.zeros((n, 2))
-    got = pairs.groupBy(word).agg(met("toxic"), met("ordinary")).toArrow()
-    after[got.column("w").to_numpy()] = np.stack([got.column(c).to_numpy() for c in ("toxic_kinds", "ordinary_kinds")], 1)
-    begin = np.zeros((n, 2, 2))
-    got = pairs.withColumn("w", F.expr(f"key div {n}")).groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), met("toxic"), met("ordinary")).toArrow()
-    at = got.column("w").to_numpy()
-    begin[at, :, 0] = np.stack([got.column(c).to_numpy() for c in ("toxic", "ordinary")], 1)
-    begin[at, :, 1] = np.stack([got.column(c).to_numpy() for c in ("toxic_kinds", "ordinary_kinds")], 1)
+    met = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+
+    def gathered(rows: DataFrame) -> np.ndarray:
+        """Two figures of each word, as an array over the vocabulary."""
+        out, got = np.zeros((n, 2)), rows.toArrow()
+        out[got.column("w").to_numpy()] = np.stack([got.column(c).to_numpy() for c in ("toxic", "ordinary")], 1)
+        return out
+
+    after = gathered(pairs.groupBy(word).agg(met("toxic"), met("ordinary")))
+    begin = gathered(pairs.withColumn("w", F.expr(f"key div {n}")).groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= LEAST).toArrow()
     model = spark.sparkContext.broadcast(Model(vocabulary, after, np.stack([kept.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin))
+    del kept
 
     fitting = sum(c for (part, _), c in shares.items() if part)
     rest = labelled.filter("_part = 3")

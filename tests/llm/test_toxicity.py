@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm.toxicity import Curve, Model, fit, score, toxicity
+from sluice.llm.toxicity import DISCOUNT, Curve, Model, fit, score, toxicity
 
 BAD = ["vile", "scoundrel", "wretch", "fool"]
 
@@ -63,20 +63,35 @@ def test_rare_expressions_count_in_large_inputs(spark):
     assert at[vile] * (len(at) + 2) + at[scoundrel] in model.keys.tolist()
 
 
-def test_probabilities_sum_to_one():
-    """The model's p(word | before) sums to 1 over the vocabulary, the rare word included."""
+@pytest.mark.parametrize("least", [0, 2, 4, 99])
+def test_probabilities_sum_to_one(least):
+    """p(word | before) sums to 1 over the vocabulary, the rare word included, and without counts of rare pairs."""
     rng = np.random.RandomState(0)
     n = 8
     counts = rng.poisson(1.5, (n, n, 2)).astype(float)
     counts[:, n - 1] = 0  # nothing is followed by the start
     after = (counts > 0).sum(0).astype(float)
-    begin = np.stack([counts.sum(1), (counts > 0).sum(1)], -1).reshape(n, 2, 2)
-    keys = [(h * n + w, *counts[h, w]) for h in range(n) for w in range(n) if counts[h, w].any()]
-    model = Model(np.arange(n - 2, dtype=np.int64), after, np.array(keys, np.int64), begin)
-    p = model.back[:, None, :] * model.word[None, :, :]
-    for (key, _, _), pair in zip(sorted(keys), model.pair, strict=True):
-        p[key // n, key % n] += pair
+    kept = [(h, w) for h in range(n) for w in range(n) if counts[h, w].sum() >= max(least, 1)]
+    keys = [(h * n + w, *counts[h, w]) for h, w in reversed(kept)]
+    model = Model(np.arange(n - 2, dtype=np.int64), after, np.array(keys, np.int64).reshape(-1, 3), counts.sum(1))
+    p = model.back_chance[:, None, :] * model.word_chance[None, :, :]
+    for h, w in kept:
+        p[h, w] += np.maximum(counts[h, w] - DISCOUNT, 0) / np.maximum(counts[h].sum(0), 1)
     assert np.allclose(p.sum(1), 1.0)
+    words = rng.randint(0, n, 200)
+    words[words >= n - 2] = 99  # a rare word
+    before = np.r_[n - 1, np.minimum(words[:-1], n - 2)]
+    chance = p[before, np.minimum(words, n - 2)]
+    assert np.allclose(model.ratios(words, np.array([0, 200])), np.log(chance[:, 0] / chance[:, 1]), atol=1e-5)
+
+
+def test_best_passage_is_found_wherever_it_begins():
+    model = Model(np.array([1, 2], np.int64), np.array([[1.0, 9.0], [9.0, 1.0], [1.0, 1.0], [0.0, 0.0]]), np.zeros((0, 3), np.int64), np.zeros((4, 2)))
+    ratio = dict(zip((1, 2), model.ratios(np.array([1, 2]), np.array([0, 1, 2])), strict=True))
+    texts = [[1] * k + [2] * 8 + [1] * (30 - k) for k in range(31)] + [[2, 1, 2], [], [2] * 8]
+    got = model.features(np.concatenate(texts).astype(np.int64), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got[:31, 1], ratio[2]) and np.allclose(got[33, 1], ratio[2])
+    assert np.isclose(got[31, 1], (2 * ratio[2] + ratio[1]) / 8) and not got[32].any()
 
 
 def test_curve_learns_a_line():
