@@ -4,8 +4,10 @@ Pairs of words are counted for toxic and ordinary texts.  Within a class, a pair
 backs off to the word's continuation count (how many different words it follows there), and that to
 continuation counts of both classes together.  Words and pairs met fewer than LEAST times
 have no counts of their own, at every size of the input: such words are one rare word, and the mass of
-such pairs goes to the back-off, so that chances sum to 1.  The model grows with the input; it is
-collected and broadcast as ratios, 12 bytes a pair.
+such pairs goes to the back-off, so that chances sum to 1.  The model grows with the input.  Its pairs
+are broadcast as ratios, 12 bytes each, in blocks of at most BLOCK_PAIRS: with several blocks texts carry
+the ratios of their words from one pass to the next, and neither the driver nor a worker ever holds more
+than a block.  Scores are the same however many there are.
 
 A text is scored whole: the log-likelihood ratio of toxic to ordinary, normalised by length, over the
 text and over its passages of PASSAGE words.  A logistic curve over these turns them into a score; it
@@ -21,7 +23,7 @@ labels of both classes every score is the smoothed share of toxic labels; an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.batches import ragged, slices
-from sluice.llm.common import maybe_broadcast, need, written
+from sluice.llm.common import drop_written, maybe_broadcast, need, written
 
 #: Count below which an expression is rare.
 LEAST = 3
@@ -39,6 +41,8 @@ PASSAGE = 8
 FIT_ROWS = 20_000
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
+#: Pairs of the model that are collected and broadcast at a time.
+BLOCK_PAIRS = 16_000_000
 #: Labels up to which the labels' side is broadcast.
 BROADCAST_LABELS = 1_000_000
 #: Counts that a worker holds before it gives them out, and words that it scores at a time.
@@ -134,9 +138,10 @@ class Model:
     first word leaves to the back-off, plus that of its second word.
     """
 
-    def __init__(self, vocabulary: np.ndarray, after: np.ndarray, pairs: np.ndarray, begin: np.ndarray) -> None:
+    def __init__(self, vocabulary: np.ndarray, after: np.ndarray, pairs: np.ndarray, begin: np.ndarray, taken: np.ndarray | None = None) -> None:
         """``after``: per word and class, distinct words before it.  ``begin``: per word and class, the
-        count of all its pairs.  ``pairs``: those with counts of their own (key, toxic, ordinary)."""
+        count of all its pairs.  ``pairs``: those with counts of their own (key, toxic, ordinary), or a
+        block of them; then ``taken`` says what all of them take of each word's mass."""
         n = len(vocabulary) + 2
         self.vocabulary, self.word_chance = vocabulary, self._words(after)
         order = np.argsort(pairs[:, 0])
@@ -144,11 +149,12 @@ class Model:
         self.keys = np.ascontiguousarray(pairs[:, 0])
         # What pairs with counts of their own take is discounted; all else is left to the back-off, so
         # that the chances after a word sum to 1 however many pairs have no counts.
-        taken = np.zeros((n, 2))
         parts = [slice(i, i + _HELD) for i in range(0, len(pairs), _HELD)]
-        for part in parts:
-            for c in (0, 1):
-                taken[:, c] += np.bincount(self.keys[part] // n, self._taken(pairs[part], begin, n)[:, c], n)
+        if taken is None:
+            taken = np.zeros((n, 2))
+            for part in parts:
+                for c in (0, 1):
+                    taken[:, c] += np.bincount(self.keys[part] // n, self._taken(pairs[part], begin, n)[:, c], n)
         self.back_chance = np.where(begin > 0, np.maximum(1 - taken, 1e-9), 1.0)
         ratio = np.empty(len(pairs), np.float32)
         for part in parts:
@@ -178,50 +184,56 @@ class Model:
         # Workers need ratios only.
         return {k: v for k, v in self.__dict__.items() if not k.endswith("_chance")}
 
-    def ratios(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def ratios(self, words: np.ndarray, offsets: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """The ratio of each word; ``given`` by other blocks' pairs, only those of its own pairs are put in."""
         n = len(self.vocabulary) + 2
         number = _numbered(words, self.vocabulary)
         before = _follows(number, offsets, n - 1)
-        out = self.back[before] + self.word[number]
+        out = self.back[before] + self.word[number] if given is None else given.copy()
         if len(self.keys):
             key = before * n + number
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             out[hit] = self.pair[at[hit]]
-        return out.astype(np.float64)
+        return out
 
     def features(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: mean ratio, that of the best PASSAGE words in a row, of the best three of the passages
-        that it falls into, and log length."""
-        parts = [self._features(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, _WORDS)]
-        return np.concatenate([np.zeros((0, 4)), *parts])
-
-    def _features(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n, out = np.diff(offsets), np.zeros((len(offsets) - 1, 4))
-        out[:, 3] = np.log1p(n)
-        some = np.flatnonzero(n)
-        if not len(some):
-            return out
-        r = self.ratios(words, offsets)
-        out[some, 0] = np.add.reduceat(r, offsets[:-1][some]) / n[some]
-        passages = -(-n[some] // PASSAGE)
-        first = np.r_[0, np.cumsum(passages)]
-        starts = np.repeat(offsets[:-1][some] - first[:-1] * PASSAGE, passages) + np.arange(first[-1]) * PASSAGE
-        mean = np.add.reduceat(r, starts) / PASSAGE
-        begin, end = np.repeat(offsets[:-1][some], n[some]), np.repeat(offsets[1:][some], n[some])
-        place = np.arange(len(r))
-        sums = np.r_[0.0, np.cumsum(r)]
-        run = sums[np.minimum(place + PASSAGE, end)] - sums[place]
-        run[(place + PASSAGE > end) & (place > begin)] = -np.inf
-        out[some, 1] = np.maximum.reduceat(run, offsets[:-1][some]) / PASSAGE
-        text = np.repeat(np.arange(len(some)), passages)
-        order = np.lexsort((-mean, text))
-        rank = np.arange(first[-1]) - first[text]
-        top = rank < 3
-        sums = np.zeros(len(some))
-        np.add.at(sums, text[top], mean[order][top])
-        out[some, 2] = sums / 3
+        return features(lambda w, o, _: self.ratios(w, o), words, offsets)
+
+
+def features(ratios: Callable, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per text: mean ratio, that of the best PASSAGE words in a row, of the best three of the passages
+    that it falls into, and log length."""
+    parts = [_features(ratios, words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], int(offsets[a])) for a, b in slices(offsets, _WORDS)]
+    return np.concatenate([np.zeros((0, 4)), *parts])
+
+
+def _features(ratios: Callable, words: np.ndarray, offsets: np.ndarray, at: int) -> np.ndarray:
+    n, out = np.diff(offsets), np.zeros((len(offsets) - 1, 4))
+    out[:, 3] = np.log1p(n)
+    some = np.flatnonzero(n)
+    if not len(some):
         return out
+    r = ratios(words, offsets, at).astype(np.float64)
+    out[some, 0] = np.add.reduceat(r, offsets[:-1][some]) / n[some]
+    passages = -(-n[some] // PASSAGE)
+    first = np.r_[0, np.cumsum(passages)]
+    starts = np.repeat(offsets[:-1][some] - first[:-1] * PASSAGE, passages) + np.arange(first[-1]) * PASSAGE
+    mean = np.add.reduceat(r, starts) / PASSAGE
+    begin, end = np.repeat(offsets[:-1][some], n[some]), np.repeat(offsets[1:][some], n[some])
+    place = np.arange(len(r))
+    sums = np.r_[0.0, np.cumsum(r)]
+    run = sums[np.minimum(place + PASSAGE, end)] - sums[place]
+    run[(place + PASSAGE > end) & (place > begin)] = -np.inf
+    out[some, 1] = np.maximum.reduceat(run, offsets[:-1][some]) / PASSAGE
+    text = np.repeat(np.arange(len(some)), passages)
+    order = np.lexsort((-mean, text))
+    rank = np.arange(first[-1]) - first[text]
+    top = rank < 3
+    sums = np.zeros(len(some))
+    np.add.at(sums, text[top], mean[order][top])
+    out[some, 2] = sums / 3
+    return out
 
 
 class Curve:
@@ -244,30 +256,76 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _featured(told):
+class Blocks:
+    """A model in several blocks, each collected and broadcast for a pass of its own over the texts."""
+
+    def __init__(self, n: int, block: Callable[[int], Broadcast]) -> None:
+        self.n, self.block = n, block
+
+    def rated(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (_words, ...) with ``_ratios``, filled in block by block."""
+        rows = rows.withColumn("_ratios", F.lit(None).cast("array<float>"))
+        kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+        before = None
+        for k in range(self.n):
+            told = self.block(k)
+            rows = written(rows.mapInArrow(_rated(told, k == 0), kinds), "rated")
+            told.destroy()
+            if before is not None:
+                drop_written(before)
+            before = rows
+        return rows
+
+
+def _rated(told: Broadcast, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = told.value.features(*ragged(batch.column("_words")))
-            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), *(pa.array(x[:, k]) for k in range(4))], names=["toxic", "a", "b", "c", "d"])
+            words, offsets = ragged(batch.column("_words"))
+            given = None if first else ragged(batch.column("_ratios"))[0]
+            out = [told.value.ratios(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None if first else given[offsets[a] : offsets[b]]) for a, b in slices(offsets, _WORDS)]
+            rated = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.float32), *out]), pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "_ratios"), rated], names=[*(n for n in batch.schema.names if n != "_ratios"), "_ratios"])
 
     return run
 
 
-def _scored(fitted):
-    told, curve = fitted
+def _mapped(rows: DataFrame, model: Broadcast | Blocks, made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``made(batch, features)`` over ``rows`` with their words."""
+    told = None if isinstance(model, Blocks) else model
+    if told is None:
+        rows = model.rated(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = isinstance(curve, float)
-            score = np.full(batch.num_rows, curve) if flat else curve(told.value.features(*ragged(batch.column("_words"))))
-            names = [n for n in batch.schema.names if n != "_words"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+            words, offsets = ragged(batch.column("_words"))
+            if told is None:
+                held = ragged(batch.column("_ratios"))[0]
+                x = features(lambda w, o, at: held[at : at + len(w)], words, offsets)
+            else:
+                x = told.value.features(words, offsets)
+            yield made(batch, x)
 
-    return run
+    return rows.mapInArrow(run, schema)
+
+
+def _featured(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("_toxic"), *(pa.array(x[:, k]) for k in range(4))], names=["toxic", "a", "b", "c", "d"])
+
+
+def _scored(rows: DataFrame, fitted: tuple, name: str) -> DataFrame:
+    """Rows ``name, score`` of rows with ``name`` and their words."""
+    model, curve = fitted
+    if isinstance(curve, float):
+        return rows.select(name, F.lit(curve).alias("score"))
 
+    def made(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(name), pa.array(curve(x))], names=[name, "score"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Broadcast | None, Curve | float]:
-    """The model, broadcast, and the curve; without both classes in both parts, a constant."""
+    return _mapped(rows, model, made, f"`{name}` {dict(rows.dtypes)[name]}, score double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Broadcast | Blocks | None, Curve | float]:
+    """The model, broadcast or in blocks, and the curve; without both classes in both parts, a constant."""
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
     spark = docs.sparkSession
@@ -302,26 +360,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     after = gathered(pairs.groupBy(word).agg(met("toxic"), met("ordinary")))
     begin = gathered(pairs.withColumn("w", F.expr(f"key div {n}")).groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= LEAST).toArrow()
-    model = spark.sparkContext.broadcast(Model(vocabulary, after, np.stack([kept.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin))
-    del kept
+    kept = pairs.filter(F.col("toxic") + F.col("ordinary") >= LEAST).select("key", F.col("toxic").cast("int").alias("toxic"), F.col("ordinary").cast("int").alias("ordinary"))
+    blocks = max(1, -(-kept.count() // BLOCK_PAIRS))
+    less = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(c)
+    taken = gathered(kept.withColumn("w", F.expr(f"key div {n}")).groupBy("w").agg(less("toxic"), less("ordinary"))) / np.maximum(begin, 1)
+
+    def block(k: int) -> Broadcast:
+        own = (kept if blocks == 1 else kept.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)).toArrow()
+        return spark.sparkContext.broadcast(Model(vocabulary, after, np.stack([own.column(c).to_numpy() for c in ("key", "toxic", "ordinary")], 1), begin, taken))
+
+    model = block(0) if blocks == 1 else Blocks(blocks, block)
 
     fitting = sum(c for (part, _), c in shares.items() if part)
     rest = labelled.filter("_part = 3")
     if fitting > FIT_ROWS:
         rest = rest.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 20)) < int((1 << 20) * FIT_ROWS / fitting))
-    got = rest.select(words_of(F.col("_text")).alias("_words"), "_toxic").mapInArrow(_featured(model), "toxic int, a double, b double, c double, d double").toArrow()
+    got = _mapped(rest.select(words_of(F.col("_text")).alias("_words"), "_toxic"), model, _featured, "toxic int, a double, b double, c double, d double").toArrow()
     y = got.column("toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return model, base
     return model, Curve(np.stack([got.column(c).to_numpy() for c in "abcd"], 1), y)
 
 
-def score(docs: DataFrame, fitted: tuple[Broadcast | None, Curve | float], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[Broadcast | Blocks | None, Curve | float], text_col: str = "text") -> DataFrame:
     """Rows ``_row, score`` for every row of ``docs``; ``_row`` holds its own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(words_of(F.col(text_col)).alias("_words"), row.alias("_row"))
-    return rows.mapInArrow(_scored(fitted), f"_row {dict(rows.dtypes)['_row']}, score double")
+    return _scored(rows, fitted, "_row")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,4 +400,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def _slim(docs: DataFrame, fitted, id_col: str, text_col: str) -> DataFrame:
     """As :func:`score`, carrying only the id."""
     rows = docs.select(words_of(F.col(text_col)).alias("_words"), F.col(id_col).alias("doc_id"))
-    return rows.mapInArrow(_scored(fitted), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    return _scored(rows, fitted, "doc_id")

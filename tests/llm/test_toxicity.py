@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.llm import toxicity as toxicity_module
 from sluice.llm.toxicity import DISCOUNT, Curve, Model, fit, score, toxicity
 
 BAD = ["vile", "scoundrel", "wretch", "fool"]
@@ -49,6 +50,16 @@ def test_held_out_labels_do_not_matter(spark, scored):
     assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in scored["out"]})
 
 
+def test_blocks_of_the_model_give_the_same_scores(spark, scored, monkeypatch):
+    monkeypatch.setattr(toxicity_module, "BLOCK_PAIRS", 500)
+    rows, labels = corpus(900)
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fit(docs, labelled)[0].n > 2
+    again = {r["doc_id"]: r["score"] for r in toxicity(docs, labelled).collect()}
+    assert again == pytest.approx({r["doc_id"]: r["score"] for r in scored["out"]}, abs=1e-9)
+
+
 def test_rare_expressions_count_in_large_inputs(spark):
     """Four occurrences are enough, however many words are counted beside them."""
     counted = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 < 2]
