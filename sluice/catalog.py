@@ -657,6 +657,19 @@ def route_adaptive_greedy(spark, sf):
     return by_branch.select("event_id", "class", "pipeline")
 
 
+_SCALED = "floor(CASE WHEN a + b <= 60 THEN 300 WHEN (a + b - 60) / 250.0 <= 0.1 THEN 300 * (1 - (a + b - 60) / 250.0) WHEN (a + b - 60) / 250.0 <= 1 THEN 300 * (1 - sqrt((a + b - 60) / 250.0)) ELSE 0 END + 1e-9)"
+
+
+@query(_ASSIGN.format(window=43_200_000, budget=_SCALED))
+def route_controlled_budget(spark, sf):
+    """Windows whose budget a controller cuts as their backlog grows."""
+    df = events(spark, sf).select("event_id", "us", F.floor(F.col("ms") / 43_200_000).alias("window"), (F.col("value") > 250).cast("int").alias("class"))
+    backlog = F.count("*").over(Window.partitionBy("window")) - 60
+    money = budget.for_window(budget.options(budget_version=2, large_excess="sqrt", penalty="linear_mean"), F.lit(300.0), F.lit(250.0), backlog)
+    held = df.withColumn("money", money)
+    return assign.assign_windows(held, "window", "class", ARRIVAL, BUCKETS, F.col("money")).select("event_id", "class", "pipeline")
+
+
 _LOOKAHEAD = """
 , r AS (SELECT event_id, event_type, us, value, ms // {window} AS w, CASE WHEN value > 250 THEN 1 ELSE 0 END AS class,
     count(CASE WHEN value <= 250 THEN 1 END) OVER h AS p0, count(CASE WHEN value > 250 THEN 1 END) OVER h AS p1, count(*) OVER h AS pn, min(us) OVER h AS t0, max(us) OVER h AS t1,

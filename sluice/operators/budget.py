@@ -69,6 +69,29 @@ def penalty(strategy: str, linear_mean: Column, linear_max: Column, prop_mean: C
     return found[strategy]
 
 
+def for_window(opts: Options, lookahead: Column, deadline: Column, growth: Column | None = None, age: Column | None = None, items: Column | None = None, per_item: Column | None = None, overage: Column | None = None, controlled: Column | None = None) -> Column:
+    """The budget of a window by the options' version and settings.
+
+    1 takes items and their price, 2 the growth of latency, 3 also the mean pending age.  The penalty
+    ``pd_mean`` with version 2 or 3 takes a budget that :func:`pd_control` has made, if one is given;
+    other penalties than ``none`` take the growth.
+    """
+    if opts.budget_version == 1:
+        if items is None or per_item is None:
+            raise CompileError("budget version 1 needs items and their price")
+        return v1(items, per_item, lookahead, deadline, overage)
+    if opts.penalty == "pd_mean" and controlled is not None:
+        return controlled
+    grown = F.lit(0.0) if opts.penalty in ("none", "legacy") or growth is None else growth
+    if opts.budget_version == 2:
+        return v2(lookahead, grown, deadline, opts.large_excess)
+    if opts.budget_version == 3:
+        if age is None:
+            raise CompileError("budget version 3 needs the mean pending age")
+        return v3(lookahead, age, grown, deadline, opts.leniency_cap)
+    raise CompileError(f"unknown budget version {opts.budget_version!r}")
+
+
 def pd_control(df: DataFrame, keys: list[str], order: list[str], age: str, lookahead: str, deadline: str, opts: Options = Options({}), name: str = "budget", frame: int = 200) -> DataFrame:
     """Proportional to the mean pending age, and to an exponential mean of its growth.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluice.errors import CompileError
+from sluice.operators.history import Lookahead
 
 
 def files(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
@@ -137,14 +138,17 @@ def streaks(df: DataFrame, key: str, label: str, order: str, length: int = 3) ->
 
 
 class BudgetRouter(StatefulProcessor):
-    """Adaptive greedy routing of a stream: a router's micro-batch is one scheduling window.
+    """Adaptive routing of a stream: a router's micro-batch is one scheduling window.
 
-    State: the classes of recent rows, for the forecast, and money or time spent.  Rows take their
-    class's assigned pipelines in order of arrival, dearer ones first.
+    State: the classes of recent rows, from which the window's further items are forecast, and money or
+    time spent.  Rows whose class is null or has no bucket get route 0 and cost nothing.
     """
 
-    def __init__(self, buckets: list, class_col: str, order: str, id_col: str, key: str, per_item: float, history: int = 100) -> None:
+    def __init__(self, buckets: list, class_col: str, order: str, id_col: str, key: str, per_item: float, history: int = 100, lookahead: Lookahead | None = None, strategy: str = "greedy") -> None:
+        if lookahead is not None and lookahead.time_ms is not None:
+            raise CompileError("a stream looks ahead by a count of items")
         self.buckets, self.class_col, self.order, self.id_col, self.key, self.per_item, self.history = buckets, class_col, order, id_col, key, per_item, history
+        self.lookahead, self.strategy = lookahead, strategy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.spent = handle.getValueState("spent", "items bigint, cost double")
@@ -153,26 +157,29 @@ class BudgetRouter(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
 
-        from sluice.operators.assign import greedy
+        from sluice.operators.scheduler import schedule
 
         frame = _frame(rows, [self.key, self.order, self.id_col, self.class_col], self.order)
         items, cost = self.spent.get() if self.spent.exists() else (0, 0.0)
-        classes = [int(c) for c in frame[self.class_col]]
-        budget = (items + len(classes)) * self.per_item - cost
-        counts = [classes.count(c) for c in range(len(self.buckets))]
-        done = greedy(self.buckets, counts, max(budget, 0.0))
-        left = [sorted((p for p, n in own.items() for _ in range(n))) for own in done.counts]
-        routes = [left[c].pop() for c in classes]
-        self.spent.update((items + len(classes), cost + done.cost))
         held = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        given = [int(c) if c is not None and c == c and 0 <= c < len(self.buckets) else None for c in frame[self.class_col]]
+        classes = [c for c in given if c is not None]
+        budget = max((items + len(classes)) * self.per_item - cost, 0.0)
+        look = Lookahead(max(self.lookahead.count if self.lookahead else 0, len(classes)))
+        past = {c: held.count(c) for c in range(len(self.buckets))}
+        routes = schedule(classes, self.buckets, past, look, None, len(held), budget, self.strategy)
+        cost += sum(b.costs[b.valid.index(p)] for b, p in zip((self.buckets[c] for c in classes), routes, strict=True))
+        self.spent.update((items + len(classes), cost))
         self.recent.put([(c,) for c in [*held, *classes][-self.history :]])
-        yield pd.DataFrame({self.key: [key[0]] * len(routes), self.id_col: frame[self.id_col].to_numpy(), self.class_col: classes, "__route": routes})
+        left = iter(routes)
+        yield pd.DataFrame({self.key: [key[0]] * len(given), self.id_col: frame[self.id_col].to_numpy(), self.class_col: pd.array(given, "Int32"), "__route": [0 if c is None else next(left) for c in given]})
 
     def close(self) -> None:
         pass
 
 
-def budget_route(df: DataFrame, router_key: str, buckets: list, class_col: str, order: str, id_col: str, per_item: float) -> DataFrame:
+def budget_route(df: DataFrame, router_key: str, buckets: list, class_col: str, order: str, id_col: str, per_item: float, lookahead: Lookahead | None = None, strategy: str = "greedy") -> DataFrame:
     kinds = dict(df.dtypes)
     schema = f"{router_key} {kinds[router_key]}, {id_col} {kinds[id_col]}, {class_col} int, __route int"
-    return df.select(router_key, order, id_col, class_col).groupBy(router_key).transformWithStateInPandas(BudgetRouter(buckets, class_col, order, id_col, router_key, per_item), schema, "Append", "None")
+    router = BudgetRouter(buckets, class_col, order, id_col, router_key, per_item, lookahead=lookahead, strategy=strategy)
+    return df.select(router_key, order, id_col, class_col).groupBy(router_key).transformWithStateInPandas(router, schema, "Append", "None")

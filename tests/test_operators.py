@@ -205,6 +205,18 @@ def test_budgets(spark):
             bad()
 
 
+def test_window_budgets_follow_the_options(spark):
+    df = spark.createDataFrame([(100.0, 200.0, 50.0, 10.0)], "l double, d double, growth double, age double")
+    of = lambda **o: df.select(budget.for_window(budget.options(**o), F.col("l"), F.col("d"), F.col("growth"), F.col("age"), F.lit(4), F.lit(2.0)).alias("b")).first()["b"]
+    assert of(budget_version=1) == 4 * 2 * 100 / 200
+    assert of(budget_version=2, penalty="linear_max") == 100 * (1 - 0.25) and of(budget_version=2, penalty="none") == 100
+    assert of(budget_version=2, penalty="linear_max", large_excess="sqrt") == 100 * (1 - 0.25**0.5)
+    assert of(budget_version=3, penalty="prop_mean") == 100 * (1 - 10 / 200) * 0.75
+    with pytest.raises(CompileError):
+        of(budget_version=4)
+    assert df.select(budget.for_window(budget.options(), F.col("l"), F.col("d"), controlled=F.lit(7.0)).alias("b")).first()["b"] == 7
+
+
 def test_pd_control_follows_the_fold(spark):
     ages = [10.0, 20.0, 15.0, 40.0, 80.0]
     df = spark.createDataFrame([(0, i, a, 100.0, 200.0) for i, a in enumerate(ages)], "k int, t int, age double, L double, D double")

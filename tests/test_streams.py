@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sluice import catalog
 from sluice.errors import CompileError
 from sluice.operators import aggregates, routing
+from sluice.operators.history import Lookahead
 from sluice.streaming import streams
 from tests.conftest import TABLES
 
@@ -82,6 +83,19 @@ def test_budget_router_keeps_its_budget(feed):
     assert 0.4 * n <= sum(r[3] for r in got) <= 0.5 * n
 
 
+def test_budget_router_looks_ahead_and_drops_unknown_classes(feed):
+    """Money kept back for forecast items is not spent on known ones; null classes take no part."""
+    table, stream = feed
+    classes = F.when(F.col("event_id") % 10 != 0, (F.col("value") > 250).cast("int"))
+    df = stream().select((F.col("user_id") % 2).alias("router"), "us", "event_id", classes.alias("class"))
+    got = collect(streams.budget_route(df, "router", catalog.BUCKETS, "class", "us", "event_id", 0.5, Lookahead(100_000)), "looking")
+    assert len(got) == table.count() and all(r[3] == 0 for r in got if r[2] is None)
+    known = sum(r[2] is not None for r in got)
+    assert 0 < sum(r[3] for r in got) <= 0.5 * known
+    with pytest.raises(CompileError):
+        streams.budget_route(df, "router", catalog.BUCKETS, "class", "us", "event_id", 0.5, Lookahead(None, 5.0))
+
+
 def test_sinks_and_late_rows(spark, feed, tmp_path):
     _, stream = feed
     seen = []
