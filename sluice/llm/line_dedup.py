@@ -1,6 +1,6 @@
 """Line dedup: windows of three consecutive lines that repeat anywhere lose their later occurrences.
 
-Only DataFrame operations are used.  A window is a hash of its lines; its first occurrence is the one
+Only DataFrame operations are used.  A window is two hashes of its lines; its first occurrence is the one
 first in order of (id, text hash, copy, place).  The positions that later occurrences cover are merged
 and their lines dropped; a line so dropped always stands at an earlier place that is kept.  Windows of
 blank lines only do not count.  Texts themselves are moved once, to meet their covered positions.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import need
+from sluice.llm.common import need, written
 
 LINES = 3
 
@@ -33,13 +33,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(f"_row.`{text_col}`")
     lines = F.split(text, "\n")
     # Rows equal in all columns share their key, 96 bits of hashes.
-    hashed = rows.select("_id", "_hash", "_more", F.transform(lines, lambda s: F.xxhash64(F.trim(s))).alias("_l"), F.transform(lines, lambda s: F.trim(s) == "").alias("_blank"))
+    # A line is known by two unlike hashes, 96 bits, so that no two lines of a large corpus are mistaken.
+    hashed = rows.select("_id", "_hash", "_more", F.transform(lines, lambda s: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.hash(F.trim(s)).alias("k"))).alias("_l"), F.transform(lines, lambda s: F.trim(s) == "").alias("_blank"))
     hashed = hashed.filter(F.size("_l") >= LINES)
     place = F.sequence(F.lit(0), F.size("_l") - LINES)
-    window = F.transform(place, lambda i: F.struct(i.alias("at"), F.when(F.get("_blank", i) & F.get("_blank", i + 1) & F.get("_blank", i + 2), None).otherwise(F.xxhash64(F.get("_l", i), F.get("_l", i + 1), F.get("_l", i + 2))).alias("w")))
-    windows = hashed.select("_id", "_hash", "_more", F.explode(window).alias("_w")).select("_id", "_hash", "_more", F.col("_w.at").alias("_at"), F.col("_w.w").alias("_window")).filter("_window is not null")
-    first = windows.groupBy("_window").agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    met = windows.join(first, "_window")
+    of = lambda name, i: [F.get("_l", i + n)[name] for n in range(LINES)]
+    blank = lambda i: F.get("_blank", i) & F.get("_blank", i + 1) & F.get("_blank", i + 2)
+    window = F.transform(place, lambda i: F.struct(i.alias("at"), F.when(~blank(i), F.xxhash64(*of("h", i))).alias("w"), F.xxhash64(*of("k", i)).alias("c")))
+    windows = hashed.select("_id", "_hash", "_more", F.explode(window).alias("_w")).select("_id", "_hash", "_more", F.col("_w.at").alias("_at"), F.col("_w.w").alias("_window"), F.col("_w.c").alias("_check")).filter("_window is not null")
+    same = ["_window", "_check"]
+    first = windows.groupBy(*same).agg(F.min(F.struct("_id", "_hash", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Written before the join: between two plain shuffles a very common window may be split over tasks.
+    met = windows.join(written(first, "windows"), same)
     later = ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_hash") == F.col("_first._hash")) & (F.col("_at") == F.col("_first._at")))
     # A first copy loses what is later in it; further copies of the same row lose all that repeats.
     marks = met.groupBy("_hash", "_more").agg(F.collect_set(F.when(later, F.col("_at"))).alias("_later"), F.collect_set("_at").alias("_all"))

@@ -60,3 +60,29 @@ def test_whole_groups_of_copies(make_docs):
     for t in got.values():
         counts[t] += 1
     assert counts == {text: 1, "": 199}
+
+
+def test_a_very_common_window_is_split_over_tasks(spark, make_docs):
+    """Its rows meet its first occurrence in a join that Spark may split; results do not change."""
+    rows = [(k, f"own {k}\nthe same\nthree\nlines\nlast {k}\nand {k}") for k in range(3000)]
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = dedup_lines(make_docs(rows).repartition(6))
+        kept = [r["doc_id"] for r in out.select("_row.doc_id", "text").collect() if "the same" in r["text"]]
+        df = out.select("n_removed")
+        removed = [r["n_removed"] for r in df.collect()]
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == [0] and sorted(removed) == [0] + [3] * 2999
