@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +39,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 MANIFEST = "file string, records long, bytes long"
 RECORDS = "kind string, file string, start long, end long, reason string, record_type string, source_id string, uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
+#: Tasks that read archives at most; each takes its share of them one after the other.
+READERS = 20_000
 _READ = 1 << 20
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -56,16 +59,39 @@ def _line(value: object) -> str:
     return json.dumps(value, ensure_ascii=True)
 
 
-def record(record_type: str, source_id: object, uri: str | None, payload: bytes, refers_to: object, stamp: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record.  A revisit holds the HTTP head only; digest and length are of the full payload."""
+def _record_id(source_id: object, record_type: str, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{_line(source_id)} {record_type} {payload_digest}')}>"
+
+
+def _uri(uri: str | None) -> str:
+    """An address fit for a header line: white space, controls and what is not ASCII are percent-encoded."""
+    return quote(uri or "", safe="!#$%&'()*+,/:;=?@[]~")
+
+
+def _whole(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(record_type: str, source_id: object, uri: str | None, payload: bytes, refers_to: object, stamp: str = "1970-01-01T00:00:00Z", refers_uri: str | None = None) -> bytes:
+    """One WARC record.  A revisit holds the HTTP head only; digest and length are of the full payload.
+
+    Standard headers say what other readers need; X- headers keep ids, lengths and the address as given.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if record_type == "revisit" else head + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{_line(source_id)} {record_type} {_sha1(payload)}")
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {stamp}", f"WARC-Target-URI: {_line(uri or '')}", f"WARC-Payload-Digest: {_sha1(payload)}", f"WARC-Block-Digest: {_sha1(block)}", f"X-Payload-Length: {len(payload)}", f"X-Source-ID: {_line(source_id)}"]
+    digest = _sha1(payload)
+    lines = [f"WARC-Type: {record_type}", f"WARC-Record-ID: {_record_id(source_id, record_type, digest)}", f"WARC-Date: {stamp}", f"WARC-Target-URI: {_uri(uri)}", f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {_sha1(block)}", f"X-Payload-Length: {len(payload)}", f"X-Source-ID: {_line(source_id)}"]
+    if _uri(uri) != (uri or ""):
+        lines.append(f"X-Target-URI: {_line(uri)}")
     if record_type == "revisit":
-        lines += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Source-ID: {_line(refers_to)}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, 'response', digest)}", f"WARC-Refers-To-Target-URI: {_uri(refers_uri)}", f"WARC-Refers-To-Date: {stamp}", f"X-Refers-To-Source-ID: {_line(refers_to)}"]
+    return _whole([*lines, "Content-Type: application/http; msgtype=response"], block)
+
+
+def archive_info(name: str, stamp: str = "1970-01-01T00:00:00Z") -> bytes:
+    """The record that an archive begins with."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: sluice\r\n"
+    return _whole(["WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(name, 'warcinfo', '')}", f"WARC-Date: {stamp}", f"WARC-Filename: {_uri(name)}", f"WARC-Block-Digest: {_sha1(block)}", "Content-Type: application/warc-fields"], block)
 
 
 def _gzip(data: bytes) -> bytes:
@@ -142,11 +168,12 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
             raise Damage("payload digest is not base32") from None
     size = fields.get("x-payload-length", "")
     try:
-        named = {k: json.loads(fields[k]) if k in fields else None for k in ("x-source-id", "warc-target-uri", "x-refers-to-source-id")}
+        named = {k: json.loads(fields[k]) if k in fields else None for k in ("x-source-id", "x-target-uri", "x-refers-to-source-id")}
     except ValueError:
-        named = {k: fields.get(k) for k in ("x-source-id", "warc-target-uri", "x-refers-to-source-id")}
+        named = {k: fields.get(k) for k in ("x-source-id", "x-target-uri", "x-refers-to-source-id")}
+    named["x-target-uri"] = named["x-target-uri"] if "x-target-uri" in fields else fields.get("warc-target-uri")
     text = lambda v: None if v is None else str(v)
-    return {"record_type": kind, "source_id": text(named["x-source-id"]), "uri": text(named["warc-target-uri"]), "payload_bytes": len(payload) if payload is not None else int(size) if size.isdigit() else None, "payload_digest": told, "refers_to": text(named["x-refers-to-source-id"]), "payload": payload}
+    return {"record_type": kind, "source_id": text(named["x-source-id"]), "uri": text(named["x-target-uri"]), "payload_bytes": len(payload) if payload is not None else int(size) if size.isdigit() else None, "payload_digest": told, "refers_to": text(named["x-refers-to-source-id"]), "payload": payload}
 
 
 def _one(file: _File, start: int) -> tuple[dict, int]:
@@ -201,7 +228,7 @@ def salvage(handle, size: int) -> Iterator[dict]:
     while at < size:
         try:
             found, end = _one(file, at)
-            yield {"kind": "record", "start": at, "end": end, "reason": None} | found
+            yield {"kind": "info" if found["record_type"] == "warcinfo" else "record", "start": at, "end": end, "reason": None} | found
             at = end
             continue
         except Damage as e:
@@ -237,9 +264,13 @@ def _write(folder: str, limit: int):
                 if out is None or made[-1][2] >= limit:
                     if out is not None:
                         out.close()
-                    made.append([f"{folder}/{attempt}-{len(made):04d}.warc.gz", 0, 0])
-                    out = fs.open_output_stream(f"{path}/{attempt}-{len(made) - 1:04d}.warc.gz", compression=None)
-                data = _gzip(record(row["record_type"], row["source_id"], row["uri"], row["payload"] or b"", row["refers_to"]))
+                    name = f"{attempt}-{len(made):04d}.warc.gz"
+                    made.append([f"{folder}/{name}", 0, 0])
+                    out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    info = _gzip(archive_info(name))
+                    out.write(info)
+                    made[-1][2] += len(info)
+                data = _gzip(record(row["record_type"], row["source_id"], row["uri"], row["payload"] or b"", row["refers_to"], refers_uri=row["refers_uri"]))
                 out.write(data)
                 made[-1][1] += 1
                 made[-1][2] += len(data)
@@ -258,10 +289,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("uri"), F.encode(text, "utf-8").alias("payload"))
     rows = rows.withColumn("_digest", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
-    groups = written(rows.filter("_digest is not null").groupBy("_digest").agg(F.max("source_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "copies")
+    groups = written(rows.filter("_digest is not null").groupBy("_digest").agg(F.max("source_id").alias("_first"), F.max_by("uri", "source_id").alias("_first_uri"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "copies")
     typed = rows.join(maybe_broadcast(groups), "_digest", "left")
     again = F.col("_first").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("_first"))
-    typed = typed.select(F.when(again, "revisit").otherwise("response").alias("record_type"), "source_id", "uri", "payload", F.when(again, F.col("_first")).alias("refers_to"))
+    typed = typed.select(F.when(again, "revisit").otherwise("response").alias("record_type"), "source_id", "uri", "payload", F.when(again, F.col("_first")).alias("refers_to"), F.when(again, F.col("_first_uri")).alias("refers_uri"))
     return written(typed.mapInArrow(_write(folder, archive_bytes), MANIFEST), "manifest")
 
 
@@ -288,8 +319,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield block(rows)
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """Records and gaps of the archives named by the column ``file``; see ``kind`` and ``reason``."""
+def read_archives(files: DataFrame, info: bool = False) -> DataFrame:
+    """Records and gaps of the archives named by the column ``file``; see ``kind`` and ``reason``.
+
+    Archives are dealt out by their number, a task for each up to READERS tasks.  ``info``: also the
+    records that tell of the archives themselves.
+    """
     need(files, "file")
     paths = files.select("file").filter("file is not null")
-    return paths.repartition("file").mapInArrow(_read, RECORDS)
+    found = paths.repartition(max(1, min(paths.count(), READERS))).mapInArrow(_read, RECORDS)
+    return found if info else found.filter("kind <> 'info'")

@@ -88,3 +88,48 @@ def test_archives_turn_over_and_empty_table(spark):
     manifest = write_archives(pages(spark, [(k, "u", "y" * 50) for k in range(40)]), archive_bytes=3000)
     assert manifest.count() > 4 and read_archives(manifest).count() == 40
     assert read_archives(write_archives(pages(spark, []))).count() == 0
+
+
+def test_other_readers_can_follow_revisits(spark, tmp_path):
+    """Standard headers only: a revisit names the record and address that it repeats, and each archive itself."""
+    rows = [(1, "http://h/a b", "z" * 2000), (9, "http://h/é", "z" * 2000), (3, "http://h/c", "small")]
+    manifest = write_archives(pages(spark, rows), folder=tmp_path.as_uri())
+    heads = {}
+    for file in tmp_path.iterdir():
+        for part in gzip.decompress(file.read_bytes()).split(b"WARC/1.1\r\n")[1:]:
+            fields = dict(line.split(": ", 1) for line in part.split(b"\r\n\r\n")[0].decode("ascii").split("\r\n"))
+            heads[fields["WARC-Record-ID"]] = fields
+    kinds = sorted(f["WARC-Type"] for f in heads.values())
+    assert kinds == ["response", "response", "revisit", *["warcinfo"] * manifest.count()]
+    revisit = next(f for f in heads.values() if f["WARC-Type"] == "revisit")
+    first = heads[revisit["WARC-Refers-To"]]
+    assert revisit["WARC-Target-URI"] == "http://h/a%20b" and first["WARC-Target-URI"] == revisit["WARC-Refers-To-Target-URI"] == "http://h/%C3%A9"
+    assert first["WARC-Payload-Digest"] == revisit["WARC-Payload-Digest"]
+    assert read_archives(manifest, info=True).filter("kind = 'info'").count() == manifest.count()
+
+
+def test_damaged_archives_of_a_table(spark, tmp_path):
+    """Bytes of written archives are damaged; all other records come back, and the gaps are told."""
+    rows = [(k, f"http://h/{k}", f"page {k} " * 40) for k in range(60)]
+    write_archives(pages(spark, rows), folder=tmp_path.as_uri(), archive_bytes=2000)
+    files = sorted(tmp_path.iterdir())
+    assert len(files) > 3
+    for n, file in enumerate(files):
+        data = bytearray(file.read_bytes())
+        if n % 2:
+            data[len(data) // 2] ^= 0xFF
+        file.write_bytes(bytes(data) + (b"noise" if n % 3 == 0 else b""))
+    found = read_archives(spark.createDataFrame([(f.as_uri(),) for f in files] + [(None,)], "file string")).collect()
+    good = {int(r["source_id"]) for r in found if r["kind"] == "record"}
+    gaps = [r for r in found if r["kind"] == "gap"]
+    assert len(good) >= 60 - len(files) // 2 and all(r["reason"] and r["end"] > r["start"] for r in gaps)
+    assert {r["file"] for r in gaps} == {f.as_uri() for n, f in enumerate(files) if n % 2 or n % 3 == 0}
+
+
+def test_clashing_columns_and_a_very_long_page(spark):
+    long = "wide page " * 2_000_000
+    df = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, None, None)], "page_id long, url string, html string")
+    for name in ("payload", "_digest", "_first", "refers_to", "uri", "source_id", "record_type", "file"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    got = {r["source_id"]: (r["record_type"], r["payload_bytes"]) for r in read_archives(write_archives(df)).select("source_id", "record_type", "payload_bytes").collect()}
+    assert got == {"1": ("revisit", len(long)), "2": ("response", len(long)), "3": ("response", 0)}
