@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows of small, fixed-width records up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
@@ -87,11 +90,14 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def need(df: DataFrame, *columns: str) -> None:
-    """Check an operator's columns.
+    """Check an operator's columns, and keep Arrow batches of whole texts small.
 
-    Whole texts go to workers in Arrow batches, which Spark bounds by bytes
-    (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set); functions take parts of them.
+    Batches are bounded by bytes: the session's bound is lowered to BATCH_BYTES if it is higher, which
+    changes memory and no result.  A single longer text is a batch of its own.
     """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {df.columns}")
