@@ -140,6 +140,15 @@ class Encoder:
         return [len(b) // 4 for b in self.blobs(texts)]
 
 
+@lru_cache(maxsize=8)
+def free_of_spaces(path: str) -> bool:
+    """Whether counts of a file's tokenizer do not depend on which ASCII white space parts a text's chunks."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        return splits_at_spaces(json.load(f))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it lives as long as the worker."""
