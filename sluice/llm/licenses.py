@@ -9,6 +9,9 @@ Several copies in one area leave no word unique, and anchors of one may hide ano
 finds too little, the stretch with the longest common subsequence is therefore searched for exactly, from
 every word at which enough of the template's words follow within its reach.
 
+Templates that are much alike name the words that tell them apart (versions, BY, NC, the license's own
+name); a stretch whose alignment lacks one of them is no find, however much of the rest it covers.
+
 Only texts that hold a gate word are aligned.  A template's gate words are such that more than the
 share LESS of its places are theirs, so a text without any cannot reach the coverage; the gate loses
 nothing.  Alignment looks at the whole text around gate words, as far as a template with half as many
@@ -57,9 +60,38 @@ SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
 that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
 conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
-list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
@@ -68,12 +100,45 @@ governing permissions and limitations under the License.""",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
 General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
 later version.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+later version.""",
+    "LGPL-3.0-header": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.""",
     "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+}
+
+#: Words that tell a template from others like it, some with others in their place; a find without each of
+#: them is none (fixed values).
+REQUIRED = {
+    "BSD-3-Clause": "neither|endorse|promote|derived",
+    "GPL-3.0-header": "gnu 3",
+    "GPL-2.0-header": "gnu 2",
+    "LGPL-3.0-header": "lesser 3",
+    "AGPL-3.0-header": "affero 3",
+    "MPL-2.0-header": "mozilla",
+    "Apache-2.0-header": "apache 2 0",
+    "MIT-notice": "mit",
+    "Apache-2.0-notice": "apache 2 0",
+    "GPL-3.0-notice": "gnu 3",
+    "GPL-2.0-notice": "gnu 2",
+    "CC-BY-NC-4.0-notice": "cc by nc 4",
+    "CC-BY-4.0-notice": "cc by 4",
+    "CC-BY-SA-4.0-notice": "cc by sa 4",
+    "BSD-3-Clause-notice": "bsd 3",
 }
 
 #: Words too common to open the gate (fixed values).
@@ -201,8 +266,9 @@ def densest(template: list[str], own: list[str], limit: int, least: float) -> tu
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> None:
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE, required: dict[str, str] | None = None) -> None:
         self.coverage = coverage
+        self.required = {k: [set(w.split("|")) for w in t.split()] for k, t in (REQUIRED if required is None else required).items()}
         self.templates = {k: words(t) for k, t in (templates or TEMPLATES).items()}
         self.gates = {k: gate_words(t, 1 - coverage) for k, t in self.templates.items()}
         self.gate = frozenset().union(*self.gates.values())
@@ -217,8 +283,19 @@ class Scanner:
                 out.append([a, b])
         return [(a, b) for a, b in out]
 
-    def _find(self, own: list[str], template: list[str], begin: int, end: int) -> list[tuple[int, int, int]]:
+    def _told(self, name: str, template: list[str], own: list[str]) -> bool:
+        """Whether a stretch holds, in its place, each word that tells the template from others."""
+        wanted = self.required.get(name)
+        if not wanted:
+            return True
+        if any(w.isdisjoint(own) for w in wanted):
+            return False
+        held = {template[i] for i, _ in _subsequence(template, own)}
+        return not any(w.isdisjoint(held) for w in wanted)
+
+    def _find(self, own: list[str], name: str, begin: int, end: int) -> list[tuple[int, int, int]]:
         """(matched, begin, end) of the finds in an area; it goes on to both sides of a find."""
+        template = self.templates[name]
         need = self.coverage * len(template)
         if sum((Counter(template) & Counter(own[begin:end])).values()) < need:
             return []
@@ -238,11 +315,11 @@ class Scanner:
                 return []
             a, b = begin + best[1], begin + best[2]
         least = -(-int(self.coverage * len(template)) // 1)
-        found = [(best[0], a, b)]
+        found = [(best[0], a, b)] if self._told(name, template, own[a:b]) else []
         if a - begin >= least:
-            found += self._find(own, template, begin, a)
+            found += self._find(own, name, begin, a)
         if end - b >= least:
-            found += self._find(own, template, b, end)
+            found += self._find(own, name, b, end)
         return found
 
     def scan(self, own: list[str]) -> list[tuple[str, float, int, int]]:
@@ -257,7 +334,7 @@ class Scanner:
             for a, b in self._areas(places, reach, len(own)):
                 # Areas of many copies are cut with an overlap that holds a whole find.
                 for s in range(a, b, 4 * reach):
-                    found += [(n, n / len(template), name, x, y) for n, x, y in self._find(own, template, s, min(b, s + 6 * reach))]
+                    found += [(n, n / len(template), name, x, y) for n, x, y in self._find(own, name, s, min(b, s + 6 * reach))]
         taken, out = [], []
         for _, share, name, x, y in sorted(set(found), key=lambda f: (-f[0], -f[1], f[2], f[3])):
             if all(y <= p or x >= q for p, q in taken):

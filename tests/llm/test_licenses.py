@@ -88,3 +88,32 @@ def test_table(make_docs, odd_rows):
     out = scan_licenses(make_docs(rows)).collect()
     assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in out) == [(20, "MIT", 1.0), (20, "MIT", 1.0), (21, "GPL-3.0-notice", 1.0)]
     assert scan_licenses(make_docs([])).count() == 0
+
+
+def test_near_misses_are_not_named_after_what_they_resemble():
+    scanner = Scanner()
+    near = {
+        "Released under the BSD License.": [],
+        "Released under the Apache License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0-notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0-notice"],
+        "Licensed under CC BY-ND 3.0.": [],
+    }
+    for text, want in near.items():
+        assert [f[0] for f in scanner.scan(words(filler(40, 1) + " " + text + " " + filler(40, 2)))] == want, text
+    both = words("Licensed under the Apache License, Version 1.1. Licensed under the Apache License, Version 2.0.")
+    assert [f[0] for f in scanner.scan(both)] == ["Apache-2.0-notice"]
+
+
+def test_ten_copies_of_every_template_are_all_found():
+    scanner = Scanner()
+    for name, template in TEMPLATES.items():
+        own = words(template)
+        text = words(filler(40, 8))
+        for k in range(10):
+            text += own + words(filler(15 + k, 20 + k))
+        assert [f[0] for f in scanner.scan(text)] == [name] * 10, name
