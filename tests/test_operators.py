@@ -333,6 +333,15 @@ def test_positions_and_repeats(spark):
     assert relational.take(df, ["v"], 2, 3).collect()[0]["v"] == 3
 
 
+def test_positions_are_gapless_beyond_the_sample_of_the_ranges(spark):
+    df = spark.range(0, 60000, 1, 3).select("id", F.expr("timestamp_micros((id * 7919 % 60000) div 7 * 1000003)").alias("at"), F.expr("cast(if(id % 5 = 0, null, id % 5) as string)").alias("s"))
+    for order in (["at", "id"], ["s", "at", "id"]):
+        placed = relational.positions(df, order, buckets=8).orderBy(*order)
+        assert placed.columns == ["id", "at", "s", "position"]
+        assert [r["position"] for r in placed.select("position").collect()] == list(range(60000))
+    assert relational.positions(df.limit(0), ["at"]).count() == 0
+
+
 def test_range_join_matches_theta(spark):
     rng = random.Random(1)
     a = spark.createDataFrame([(i, rng.randrange(3), rng.randrange(-200, 200)) for i in range(80)], "i int, k int, t long")
