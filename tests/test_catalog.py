@@ -31,6 +31,18 @@ def test_query(spark, duck, name):
     assert got == sorted(map(repr, duck.sql(f"SELECT {listed} FROM ({catalog.SQL[name]})").fetchall()))
 
 
+def test_float_division_rounds_as_its_sql_does(spark, tmp_path):
+    values = [24.5662825, 9.2976335, 250.00000000001017, 249.9999999492797, 250.0, -7.5, -1e-7, -0.0, 0.0, 185.22, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    rows = [(i, i % 2, v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("expr_float_div", "expr_ternary"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        listed = ", ".join(df.columns)
+        assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, con.sql(f"SELECT {listed} FROM ({catalog.SQL[name]})").fetchall()))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
