@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sluice import catalog
 from sluice.errors import CompileError
 from sluice.functions import boxes, images, signal, text
 from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vectors
@@ -255,6 +257,26 @@ def test_reroute_options(spark):
     assert one(routing.reroute_zero(F.lit(0), "ignore", F.lit(0.9), 2)) == 0
 
 
+def test_money_guard_spends_a_budget_to_the_cent(spark):
+    costs = {1: [0.7] * 2857 + [0.1, 0.01], 2: [None, 1e18, -1e18, 1e-13, 2000.0, float("inf"), 1.0], 3: [None, None], 4: [1.0, float("nan"), 5000.0]}
+    df = spark.createDataFrame([(k, i, v) for k, own in costs.items() for i, v in enumerate(own)], "k int, i int, v double")
+    so_far = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    spent = df.withColumn("spent", routing.spent(F.col("v"), so_far))
+    out = spent.withColumn("route", routing.money_guard(F.col("spent"), F.lit(2000), 2)).orderBy("k", "i").collect()
+    assert [r["route"] for r in out if r["k"] == 1] == [2] * 2858 + [0]
+    assert [r["spent"] for r in out if r["k"] == 1][-2:] == [2000.0, 2000.01]
+    assert [r["spent"] for r in out if r["k"] == 2] == [None, 1e18, 0.0, 1e-13, 2000.0 + 1e-13, float("inf"), float("inf")]
+    assert [r["route"] for r in out if r["k"] != 1] == [2, 0, 2, 2, 2, 0, 0, 2, 2, 2, 2, 2]
+    assert [r["spent"] for r in out if r["k"] == 3] == [None, None]
+
+
+def test_route_money_guard_is_exact(spark, tmp_path):
+    rows = [(i, 1704067200 + i, 5, v) for i, v in enumerate([0.7] * 2857 + [0.1, 0.01])]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
+    df.select("event_id", "user_id", F.lit("click").alias("event_type"), "value", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), F.lit("").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["event_id"] for r in catalog.route_money_guard(spark, str(tmp_path)).filter("route = 0").collect()] == [2858]
+
+
 # --- preclassifiers ----------------------------------------------------------------------------
 
 
