@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontamination, embedding_dups, licenses, line_dedup, near_dups, packing, sharding, token_counts, toxicity, warc
+from sluice.llm import decontamination, divergence, embedding_dups, licenses, line_dedup, near_dups, packing, sharding, token_counts, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -93,6 +93,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+SQL_DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+o AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(found) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(found)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) AS m, CAST(sum(n) OVER (PARTITION BY lang, term) AS HUGEINT) AS all_n, CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) AS all_m, count(*) OVER (PARTITION BY lang, source) AS terms FROM v),
+f AS (SELECT lang, source, term, n, CAST(1 + 1000000000::HUGEINT * (n + 5) // (m + 5 * terms) AS BIGINT) AS p, CAST(1 + 1000000000::HUGEINT * (all_n + 5) // (all_m + 5 * terms) AS BIGINT) AS q FROM s),
+e AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dups": op2_embedding_dups,
@@ -104,6 +123,7 @@ QUERIES = {
     "op8_near_dups": op8_near_dups,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES = {"op1_line_dedup": SQL_LINE_DEDUP, "op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC}
+ORACLES = {"op1_line_dedup": SQL_LINE_DEDUP, "op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC, "op11_source_divergence": SQL_DIVERGENCE}
