@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontamination, divergence, embedding_dups, licenses, line_dedup, near_dups, packing, sharding, token_counts, toxicity, warc
+from sluice.llm import centroids, decontamination, divergence, embedding_dups, licenses, line_dedup, near_dups, packing, sharding, token_counts, topk, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -112,6 +112,41 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELE
 """
 
 
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+_WHOLE = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SQL_TOP_K = f"""
+WITH e AS (SELECT *, row_number() OVER () AS r FROM ({_WHOLE})),
+p AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.v) = len(b.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+_ASSIGNED = """
+d{0} AS (SELECT r, vec_id, e.v, c, CAST(list_sum(list_transform(list_zip(e.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM e, c{0} k),
+a{0} AS MATERIALIZED (SELECT * FROM d{0} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+_MOVED = """,
+s{0} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) g(i) GROUP BY c, i),
+m{0} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{0} GROUP BY c),
+c{1} AS MATERIALIZED (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{0} k LEFT JOIN m{0} m ON k.c = m.c),"""
+SQL_CENTROIDS = (
+    f"WITH e AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM ({_WHOLE}) WHERE len(v) = 64),"
+    + "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM e QUALIFY c < 16),"
+    + "".join(_ASSIGNED.format(t) + (_MOVED.format(t, t + 1) if t < 3 else "") for t in range(4))
+    + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 k USING (c)
+"""
+)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dups": op2_embedding_dups,
@@ -124,6 +159,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_top_k_search": op12_top_k_search,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLES = {"op1_line_dedup": SQL_LINE_DEDUP, "op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC, "op11_source_divergence": SQL_DIVERGENCE}
+ORACLES = {"op1_line_dedup": SQL_LINE_DEDUP, "op2_embedding_dups": SQL_EMBEDDING_DUPS, "op5_warc": SQL_WARC, "op11_source_divergence": SQL_DIVERGENCE, "op12_top_k_search": SQL_TOP_K, "op13_centroids": SQL_CENTROIDS}
