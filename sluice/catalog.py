@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import boxes, signal, text
-from sluice.functions.expressions import Rules, compile_expression, returning
+from sluice.functions.expressions import Rules, compile_expression, returning, rounded
 from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vectors
 from sluice.plans.compiler import Compiler, Settings
 from sluice.plans.registry import Registry
@@ -48,15 +48,7 @@ ARRIVAL = ["us", "event_id"]
 
 
 def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
-def sql_r6(c: Column) -> Column:
-    """Six places as the SQL's ``round`` makes them: scaled as a double, halves away from zero, zeros keep their sign."""
-    scaled = c * 1e6
-    near = F.rint(scaled)
-    made = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / 1e6
-    return F.when(F.abs(made) < float("inf"), made).otherwise(c)
+    return rounded(c, 6)
 
 
 def field(name: str) -> dict:
@@ -96,7 +88,7 @@ def filter_derive_project(spark, sf):
 
 def _expressions(df: DataFrame, keep: list[str], made: dict[str, dict], rules: Rules = Rules()) -> DataFrame:
     typed = {k: compile_expression(d, df.schema, None, rules) for k, d in made.items()}
-    return df.select(*keep, *[(sql_r6(t.column) if t.family == "float" else t.column).alias(k) for k, t in typed.items()])
+    return df.select(*keep, *[(r6(t.column) if t.family == "float" else t.column).alias(k) for k, t in typed.items()])
 
 
 @query("SELECT p_partkey, CAST((p_size - 20) // 7 + CASE WHEN (p_size - 20) % 7 <> 0 AND p_size < 20 THEN CASE WHEN (p_size - 20) // 7 = trunc((p_size - 20) / 7.0) THEN 0 ELSE 1 END ELSE 0 END AS INTEGER) AS quotient, CAST((p_size - 20) % 7 AS INTEGER) AS remainder FROM part")
@@ -105,12 +97,10 @@ def expr_int_div_mod(spark, sf):
     return _expressions(table(spark, sf, "part"), ["p_partkey"], {"quotient": binary("/", less, lit("int", 7)), "remainder": binary("%", less, lit("int", 7))})
 
 
-@query("SELECT event_id, CASE WHEN value - 250 <> 0 THEN round(1000.0 / (value - 250), 6) ELSE CAST('inf' AS DOUBLE) END AS quotient, round(value % 7.5, 6) AS remainder FROM events")
+@query("SELECT event_id, CASE WHEN value IS NULL THEN NULL WHEN value - 250 <> 0 THEN round(1000.0 / (value - 250), 6) ELSE CAST('inf' AS DOUBLE) END AS quotient, round(value % 7.5, 6) AS remainder FROM events")
 def expr_float_div(spark, sf):
     less = binary("-", field("value"), lit("float", 250))
-    made = _expressions(table(spark, sf, "events"), ["event_id"], {"quotient": binary("/", lit("float", 1000), less), "remainder": binary("%", field("value"), lit("float", 7.5))})
-    # The SQL's ELSE takes null values too.
-    return made.withColumn("quotient", F.when(F.col("quotient").isNull(), float("inf")).otherwise(F.col("quotient")))
+    return _expressions(table(spark, sf, "events"), ["event_id"], {"quotient": binary("/", lit("float", 1000), less), "remainder": binary("%", field("value"), lit("float", 7.5))})
 
 
 @query("SELECT event_id, value > 100 AND event_type = 'click' AS both, value > 100 OR event_type = 'click' AS either, (value > 100) <> (event_type = 'click') AS one, NOT (value <= 100) AS negated FROM events")
@@ -212,7 +202,7 @@ for _op, _sql in (("sum", "round(sum(value) OVER w, 6)"), ("count", "count(value
         operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["user_id"], "aggregate": {"kind": "builtin", "op": op, "field": "value"}}]
         out = run(spark, operators, {"e": lambda s: df}, order=ARRIVAL)
         value = F.col(f"{op}(value)")
-        return out.select("user_id", (r6(value) if op == "sum" else F.round(value, 9) if op == "avg" else value).alias("value"))
+        return out.select("user_id", (r6(value) if op == "sum" else rounded(value, 9) if op == "avg" else value).alias("value"))
 
     query(f"{E} SELECT user_id, {_sql} AS value FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)", f"group_{_op}_running")(_running)
 
@@ -280,7 +270,7 @@ def agg_custom(spark, sf):
     registry.add("aggregate", "squares", squares)
     operators = [{"kind": "udf_source", "name": "e"}, {"kind": "group_by", "source": 0, "fields": ["user_id"], "aggregate": {"kind": "udf", "name": "squares"}}]
     out = run(spark, operators, {"e": lambda s: table(s, sf, "events").select("user_id", "value")}, registry=registry)
-    return out.select("user_id", F.round("squares", 4).alias("squares"), "n")
+    return out.select("user_id", rounded(F.col("squares"), 4).alias("squares"), "n")
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 AND c_acctbal > 0")
@@ -484,10 +474,9 @@ for _k in (1, 2, 3):
     query(f"SELECT event_id, {_k} AS route FROM events", f"route_static_{_k}")(_static)
 
 
-@query(E + ", s AS (SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM e) SELECT event_id, CASE WHEN 2000 - spent < 0 THEN 0 ELSE 2 END AS route FROM s")
+@query(E + ", s AS (SELECT event_id, sum(CAST(value AS DECIMAL(27,12))) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM e) SELECT event_id, CASE WHEN 2000 - spent < 0 THEN 0 ELSE 2 END AS route FROM s")
 def route_money_guard(spark, sf):
-    so_far = Window.partitionBy("user_id").orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, 0)
-    df = events(spark, sf).withColumn("spent", routing.spent(F.col("value"), so_far))
+    df = routing.money_spent(events(spark, sf), ["user_id"], ARRIVAL, "value")
     return df.select("event_id", routing.money_guard(F.col("spent"), F.lit(2000), 2).alias("route"))
 
 
@@ -537,11 +526,10 @@ def route_too_old(spark, sf):
 
 @query(E + ", c AS (SELECT event_id, coalesce(sum(CASE WHEN user_id % 2 = 0 THEN value / 1e6 END) OVER w, 0) AS a, coalesce(sum(CASE WHEN user_id % 2 = 1 THEN value / 1e6 END) OVER w, 0) AS b FROM e WINDOW w AS (PARTITION BY event_type ORDER BY us, event_id ROWS 49 PRECEDING)) SELECT event_id, round(1 - (a + 0.00045) / (a + b + 0.0009), 8) AS weight_a, round(1 - (b + 0.00045) / (a + b + 0.0009), 8) AS weight_b FROM c")
 def route_cost_shares(spark, sf):
-    w = history.last(["event_type"], ARRIVAL, 50)
-    df = events(spark, sf)
-    costs = [F.coalesce(F.sum(F.when(F.col("user_id") % 2 == k, F.col("value") / 1e6)).over(w), F.lit(0.0)) for k in (0, 1)]
-    a, b = routing.cost_share_weights(costs)
-    return df.select("event_id", F.round(a, 8).alias("weight_a"), F.round(b, 8).alias("weight_b"))
+    cost = lambda k: F.when(F.col("user_id") % 2 == k, F.col("value") / 1e6)
+    df = history.over_last(events(spark, sf), ["event_type"], ARRIVAL, 50, lambda w: {f"cost_{k}": F.coalesce(F.sum(cost(k)).over(w), F.lit(0.0)) for k in (0, 1)})
+    a, b = routing.cost_share_weights([F.col("cost_0"), F.col("cost_1")])
+    return df.select("event_id", rounded(a, 8).alias("weight_a"), rounded(b, 8).alias("weight_b"))
 
 
 # --- preclassifiers and buckets ----------------------------------------------------------------
@@ -615,7 +603,7 @@ w AS (SELECT label, nth, pipeline AS p, reward AS r, cost AS c, CAST(NULL AS INT
 SELECT label, a AS start_pipeline, p AS end_pipeline, round((CASE WHEN c = 0 THEN r ELSE r / c END) - (CASE WHEN ac = 0 THEN ar ELSE ar / ac END), 6) AS score_diff, round(c - ac, 6) AS swap_cost, round(r - ar, 6) AS reward_diff FROM w WHERE a IS NOT NULL
 """)
 def swap_list(spark, sf):
-    own = table(spark, sf, "events").groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 10).cast("int").alias("pipeline"), (F.col("user_id") % 10 * 7 % 10).cast("double").alias("cost")).agg(F.round(F.avg("value"), 3).alias("reward"))
+    own = table(spark, sf, "events").groupBy(F.col("event_type").alias("label"), (F.col("user_id") % 10).cast("int").alias("pipeline"), (F.col("user_id") % 10 * 7 % 10).cast("double").alias("cost")).agg(rounded(F.avg("value"), 3).alias("reward"))
     out = assign.swap_table(own, "label", "pipeline", "reward", "cost")
     return out.select("label", "start_pipeline", "end_pipeline", *[r6(F.col(c)).alias(c) for c in ("score_diff", "swap_cost", "reward_diff")])
 
@@ -730,7 +718,8 @@ def route_adaptive_optimal(spark, sf):
 
 @query(E + " SELECT event_id, CASE WHEN count(us) OVER w > 1 THEN CAST(floor(greatest((max(us) OVER w - min(us) OVER w) / (count(us) OVER w - 1), 1000)) AS BIGINT) END AS interval_us FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 9 PRECEDING)")
 def hist_ingress_rate(spark, sf):
-    return events(spark, sf).select("event_id", F.floor(history.coarse_interval("us", history.last(["user_id"], ARRIVAL, 10))).alias("interval_us"))
+    out = history.over_last(events(spark, sf), ["user_id"], ARRIVAL, 10, lambda w: {"interval": history.coarse_interval("us", w)})
+    return out.select("event_id", F.floor("interval").alias("interval_us"))
 
 
 @query(E + ", d AS (SELECT event_id, user_id, us, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS gap FROM e) SELECT event_id, CAST(floor(greatest(avg(gap) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 8 PRECEDING), 1000)) AS BIGINT) AS interval_us FROM d WHERE gap IS NOT NULL")
@@ -741,17 +730,18 @@ def hist_fine_rate(spark, sf):
 
 @query(E + " SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 19 PRECEDING), 9) AS mean_elapsed FROM e")
 def hist_mean_age(spark, sf):
-    return events(spark, sf).select("event_id", F.round(history.mean_of("value", history.last(["user_id"], ARRIVAL, 20)), 9).alias("mean_elapsed"))
+    out = history.over_last(events(spark, sf), ["user_id"], ARRIVAL, 20, lambda w: {"mean": history.mean_of("value", w)})
+    return out.select("event_id", rounded(F.col("mean"), 9).alias("mean_elapsed"))
 
 
 @query(E + ", d AS (SELECT event_id, user_id, us, value - lag(value) OVER (PARTITION BY user_id ORDER BY us, event_id) AS d FROM e) SELECT event_id, round(coalesce(avg(d) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 8 PRECEDING), 0), 9) AS increase FROM d")
 def hist_mean_increase(spark, sf):
-    return history.mean_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", F.round("increase", 9).alias("increase"))
+    return history.mean_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", rounded(F.col("increase"), 9).alias("increase"))
 
 
 @query(E + ", d AS (SELECT event_id, user_id, us, value - lag(value) OVER o AS d, row_number() OVER o AS rn FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT event_id, sum(d * rn) OVER w AS drn, sum(d) OVER w AS ds, count(d) OVER w AS m, rn FROM d WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 8 PRECEDING)) SELECT event_id, CASE WHEN m > 0 THEN round((drn - ds * (rn - m)) / (m * (m + 1) / 2), 9) ELSE 0 END AS increase FROM s")
 def hist_weighted_increase(spark, sf):
-    return history.weighted_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", F.round("increase", 9).alias("increase"))
+    return history.weighted_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", rounded(F.col("increase"), 9).alias("increase"))
 
 
 @query(E + ", m AS (SELECT max(ms) AS now FROM e) SELECT user_id, count(*) AS pending, CAST(floor(avg(now - ms)) AS BIGINT) AS mean_age, max(now - ms) AS max_age FROM e, m WHERE event_id % 5 = 0 GROUP BY user_id")
@@ -818,7 +808,7 @@ def budget_pd(spark, sf):
     return budget.pd_control(df, ["user_id"], ARRIVAL, "value", "L", "D").select("event_id", r6(F.col("budget")).alias("budget"))
 
 
-@query(E + ", d AS (SELECT event_id, user_id, us, value, ms // 86400000 AS day FROM e) SELECT event_id, round((day - min(day) OVER w + 1) * 200.0 - sum(value) OVER w, 6) AS money_left FROM d WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
+@query(E + ", d AS (SELECT event_id, user_id, us, value, ms // 86400000 AS day FROM e) SELECT event_id, round((day - min(day) OVER w + 1) * 200.0::DOUBLE - CAST(sum(CAST(value AS DECIMAL(27,12))) OVER w AS DOUBLE), 6) AS money_left FROM d WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
 def money_budget_running(spark, sf):
     df = events(spark, sf).withColumn("day", F.expr("ms div 86400000"))
     return budget.money(df, ["user_id"], ARRIVAL, "day", "value", 200.0).select("event_id", r6(F.col("money_left")).alias("money_left"))
@@ -845,14 +835,14 @@ def knn_topk_lists_inner(spark, sf):
     a, b = _vectors(spark, sf)
     out = vectors.vector_join(a, b, "inner", 5, 5, 1.12, "euclidean", "vec_id")
     total = F.aggregate("match_distances", F.lit(0.0), lambda s, d: s + d)
-    return out.select("vec_id", F.concat_ws(",", "match_ids").alias("match_ids"), F.size("match_ids").cast("long").alias("n_matches"), F.round(total, 5).alias("total"))
+    return out.select("vec_id", F.concat_ws(",", "match_ids").alias("match_ids"), F.size("match_ids").cast("long").alias("n_matches"), rounded(total, 5).alias("total"))
 
 
 @query(_PAIRS + " SELECT vec_id, CASE WHEN dist < 1.05 THEN CAST(other AS VARCHAR) END AS match_id, CASE WHEN dist < 1.05 THEN round(dist, 5) END AS distance FROM r WHERE n = 1")
 def knn_topk_lists_outer(spark, sf):
     a, b = _vectors(spark, sf)
     out = vectors.vector_join(a, b, "outer_right", 5, 5, 1.05, "euclidean", "vec_id")
-    return out.select("vec_id", F.get("match_ids", F.lit(0)).alias("match_id"), F.round(F.get("match_distances", F.lit(0)), 5).alias("distance"))
+    return out.select("vec_id", F.get("match_ids", F.lit(0)).alias("match_id"), rounded(F.get("match_distances", F.lit(0)), 5).alias("distance"))
 
 
 @query(_PAIRS + " SELECT vec_id, CASE WHEN dist <= 1.01 THEN CAST(other AS VARCHAR) ELSE '' END AS match_ids FROM r WHERE n = 1")
@@ -896,7 +886,7 @@ def first_mean_distance(spark, sf):
 
 @query("SELECT doc_id, round(CAST(length(text) AS DOUBLE) * CAST(2.5e-6 AS DOUBLE) + n_chars % 100 * CAST(1e-5 AS DOUBLE), 9) AS cost FROM documents")
 def token_cost(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(text.token_cost(F.length("text"), F.col("n_chars") % 100, "4o"), 9).alias("cost"))
+    return table(spark, sf, "documents").select("doc_id", rounded(text.token_cost(F.length("text"), F.col("n_chars") % 100, "4o"), 9).alias("cost"))
 
 
 @query("SELECT user_id, min_by(event_type, event_id) AS first_id FROM events GROUP BY user_id")
@@ -912,7 +902,7 @@ def llm_recorded_call(spark, sf):
     asked = df.filter("role = 'user'").select("conv_id", "turn", "text", (F.col("turn") + 1).alias("at"))
     answers = df.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), F.col("text").alias("answer"))
     out = joins.inner_build_right(asked, answers, ["conv_id", "at"])
-    return out.select("conv_id", "turn", F.round(text.token_cost(F.octet_length("text"), F.octet_length("answer"), "1.5-8b"), 12).alias("cost"), text.is_yes(F.col("answer")).alias("yes"))
+    return out.select("conv_id", "turn", rounded(text.token_cost(F.octet_length("text"), F.octet_length("answer"), "1.5-8b"), 12).alias("cost"), text.is_yes(F.col("answer")).alias("yes"))
 
 
 # --- detections --------------------------------------------------------------------------------
@@ -962,7 +952,7 @@ def nms(spark, sf):
 def embedding_split(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.array(F.lit(4).cast("long"), F.lit(16).cast("long")).alias("shape"), "embedding").withColumnRenamed("embedding", "data")
     out = boxes.split_embeddings(df, "shape", "data")
-    return out.select("vec_id", "position", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")), 5).alias("total"))
+    return out.select("vec_id", "position", rounded(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")), 5).alias("total"))
 
 
 @query("SELECT event_id, user_id % 3 = 0 AS unknown FROM events")
@@ -1000,7 +990,7 @@ def onnx_infer(spark, sf):
     tensor = lambda name: {"kind": "SplitParts", "shape_field": "shape", "buffer_field": name}
     operators = [{"kind": "udf_source", "name": "v"}, {"kind": "onnx_inference", "source": 0, "model_path": "linear", "args": [tensor("embedding")], "outputs": [tensor("y")]}]
     out = run(spark, operators, {"v": lambda s: table(s, sf, "embeddings")}, registry=registry)
-    return out.select("vec_id", F.round(F.get("y", F.lit(0)).cast("double"), 3).alias("y"))
+    return out.select("vec_id", rounded(F.get("y", F.lit(0)).cast("double"), 3).alias("y"))
 
 
 @query("SELECT event_id, event_id + user_id AS total, event_id * 2 AS twice FROM events")

@@ -154,3 +154,15 @@ def returning(kind: str):
         return function
 
     return mark
+
+
+def rounded(c: Column, places: int) -> Column:
+    """``c`` to so many places as databases round doubles: scaled, halves away from zero; zeros keep their sign.
+
+    Spark's own ``round`` goes by the shortest decimal form of the number, and so takes other halves for halves.
+    """
+    by = float(10**places)
+    scaled = c * by
+    near = F.rint(scaled)
+    made = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / by
+    return F.when(F.abs(made) < float("inf"), made).otherwise(c)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.errors import CompileError
+from sluice.operators import ranges
 
 BUILTIN = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
 
@@ -26,8 +27,12 @@ def running(df: DataFrame, keys: list[str], op: str, field: str, order: list[str
     """One row for each input row: the keys and ``op(field)`` so far."""
     if not order:
         raise CompileError("a running aggregate needs an order of arrival")
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*[F.col(f"`{k}`") for k in keys], _builtin(op, field).over(so_far).alias(f"{op}({field})"))
+    if op not in BUILTIN:
+        raise CompileError(f"unknown aggregate {op!r}; there are {sorted(BUILTIN)}")
+    value, parts = F.col(f"`{field}`"), ["sum", "count"] if op == "avg" else [op]
+    made = ranges.running(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *order, field])]), keys, order, {f"_{p}": (p, value) for p in parts})
+    result = F.col("_sum") / F.when(F.col("_count") > 0, F.col("_count")) if op == "avg" else F.col(f"_{op}")
+    return made.select(*[F.col(f"`{k}`") for k in keys], result.alias(f"{op}({field})"))
 
 
 def final(df: DataFrame, keys: list[str], op: str, field: str) -> DataFrame:
@@ -44,9 +49,13 @@ def emit_when(df: DataFrame, keys: list[str], order: list[str], window_rows: int
 
     ``should_emit`` sees the array of decision keys in the window, oldest first.
     """
-    last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window_rows - 1), 0)
-    held = df.withColumn("window", F.collect_list(F.struct(*df.columns)).over(last)).withColumn("_keys", F.collect_list(decision_key).over(last))
-    return held.filter(should_emit(F.col("_keys"))).drop("_keys")
+    columns = df.columns
+
+    def held(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        last = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window_rows - 1), 0)
+        return df.withColumn("window", F.collect_list(F.struct(*columns)).over(last)).withColumn("_keys", F.collect_list(decision_key).over(last))
+
+    return ranges.framed(df, keys, order, window_rows - 1, held).filter(should_emit(F.col("_keys"))).drop("_keys")
 
 
 def componentized(df: DataFrame, keys: list[str], order: list[str], derive_decision_key: Callable, should_emit: Callable, derive_eviction_key: Callable, should_evict: Callable) -> DataFrame:
@@ -77,11 +86,13 @@ def componentized(df: DataFrame, keys: list[str], order: list[str], derive_decis
 
 def streaks(df: DataFrame, key: str, label: str, order: list[str], length: int = 3) -> DataFrame:
     """Rows that end ``length`` equal labels in a row: key, label and ``streak_length``."""
-    own = Window.partitionBy(key).orderBy(*order)
-    same = F.lit(True)
-    for back in range(1, length):
-        same = same & F.lag(label, back).over(own).eqNullSafe(F.col(label)) & (F.row_number().over(own) > back)
-    return df.withColumn("_streak", same).filter("_streak").select(key, label, F.lit(length).alias("streak_length"), *[c for c in order if c not in (key, label)])
+    def marked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        own, same = Window.partitionBy(*keys).orderBy(*order), F.lit(True)
+        for back in range(1, length):
+            same = same & F.lag(label, back).over(own).eqNullSafe(F.col(label)) & (F.row_number().over(own) > back)
+        return df.withColumn("_streak", same)
+
+    return ranges.framed(df, [key], order, length - 1, marked).filter("_streak").select(key, label, F.lit(length).alias("streak_length"), *[c for c in order if c not in (key, label)])
 
 
 def species_counts(df: DataFrame, class_col: str, time_ms: str, probability: str | None = None, expected: str | None = None, window_ms: int = 5000, max_items: int | None = 1000, tie: list[str] | None = None) -> DataFrame:

@@ -11,9 +11,10 @@ import random
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators import ranges
 from sluice.operators.classify import Bucket
 
 
@@ -236,7 +237,7 @@ def _ranked(df: DataFrame, window: str, class_col: str, order: list[str], classe
     """Rows with ``_c``, their class if there is such a bucket, and their rank ``_nth`` within it."""
     known = F.col(class_col).cast("int")
     df = df.withColumn("_c", F.when(known.between(0, classes - 1), known))
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(window, "_c").orderBy(*order)) - 1)
+    return ranges.numbered(df, [window, "_c"], order, "_nth")
 
 
 def _given(ranked: DataFrame, window: str, spans: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.errors import CompileError
+from sluice.operators import ranges, routing
 
 #: Tuning options with their defaults (fixed values).
 DEFAULTS = {
@@ -98,10 +99,13 @@ def pd_control(df: DataFrame, keys: list[str], order: list[str], age: str, looka
     P: L (1 - gp age / D).  D: times min(cap, 1 - gd ema / D).  The exponential mean folds the last
     ``frame`` differences; with alpha 0.1 earlier ones weigh less than 1e-9.
     """
-    own = Window.partitionBy(*keys).orderBy(*order)
-    w = own.rowsBetween(-(frame - 1), 0)
     a = opts.ema_alpha
-    rows = df.withColumn("_d", F.col(age) - F.lag(age).over(own)).withColumn("_held", F.collect_list("_d").over(w))
+
+    def held(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        own = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_d", F.col(age) - F.lag(age).over(own)).withColumn("_held", F.collect_list("_d").over(own.rowsBetween(-(frame - 1), 0)))
+
+    rows = ranges.framed(df, keys, order, frame, held)
     ema = F.aggregate("_held", F.lit(0.0), lambda s, d: s * (1 - a) + d * a)
     p = F.col(lookahead) * (1 - opts.gain_p * F.col(age) / F.col(deadline))
     d = F.least(F.lit(opts.leniency_cap), 1 - opts.gain_d * ema / F.col(deadline))
@@ -110,11 +114,9 @@ def pd_control(df: DataFrame, keys: list[str], order: list[str], age: str, looka
 
 def money(df: DataFrame, keys: list[str], order: list[str], window: str, cost: str, per_window: float, name: str = "money_left") -> DataFrame:
     """Money left after each call: a grant at the start of each window, less all costs so far."""
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min(window).over(so_far)
-    return df.withColumn(name, (F.col(window) - first + 1) * per_window - F.sum(cost).over(so_far))
+    spent = routing.money_spent(df, keys, order, cost, "_spent", {"_first": ("min", F.col(window))})
+    return spent.withColumn(name, (F.col(window) - F.col("_first") + 1) * per_window - F.col("_spent")).drop("_first", "_spent")
 
 
 def sub_batches(df: DataFrame, keys: list[str], order: list[str], size: int = DEFAULTS["scheduling_batch"], name: str = "batch") -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.floor((nth - 1) / size).cast("long"))
+    return ranges.numbered(df, keys, order, name).withColumn(name, F.floor(F.col(name) / size).cast("long"))

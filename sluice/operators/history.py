@@ -7,12 +7,14 @@ look at the last ``n`` rows in an order of scheduling, so no frame grows with th
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.errors import CompileError
+from sluice.operators import ranges
 
 #: Least interval between arrivals in a rate, in nanoseconds.
 LEAST_INTERVAL_NS = 1000
@@ -22,10 +24,14 @@ def last(keys: list[str], order: list[str], n: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
 
 
+def over_last(df: DataFrame, keys: list[str], order: list[str], n: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``df`` with columns over the last ``n`` rows of their key; a key of very many rows is dealt to ranges."""
+    return ranges.framed(df, keys, order, n - 1, lambda df, keys, order: df.withColumns(columns(last(keys, order, n))))
+
+
 def past_counts(df: DataFrame, keys: list[str], order: list[str], class_col: str, classes: list[int], n: int) -> DataFrame:
     """How many of each class are among the last ``n``."""
-    w = last(keys, order, n)
-    return df.withColumns({f"class_{c}": F.count(F.when(F.col(class_col) == c, 1)).over(w) for c in classes})
+    return over_last(df, keys, order, n, lambda w: {f"class_{c}": F.count(F.when(F.col(class_col) == c, 1)).over(w) for c in classes})
 
 
 def coarse_interval(time: str, w: WindowSpec, least: int = LEAST_INTERVAL_NS) -> Column:
@@ -34,12 +40,24 @@ def coarse_interval(time: str, w: WindowSpec, least: int = LEAST_INTERVAL_NS) ->
     return F.when(n > 1, F.greatest((F.max(time).over(w) - F.min(time).over(w)) / F.when(n > 1, n - 1), F.lit(float(least))))
 
 
+def _differences(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, made: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+    """``made`` of an aggregate over the consecutive differences among the last ``n`` rows."""
+
+    def plain(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        own = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_d", F.col(value) - F.lag(value).over(own)).withColumn(name, made(last(keys, order, n - 1))).drop("_d")
+
+    return ranges.framed(df, keys, order, n - 1, plain)
+
+
 def fine_interval(df: DataFrame, keys: list[str], order: list[str], time: str, n: int, name: str, least: int = LEAST_INTERVAL_NS) -> DataFrame:
     """The mean of consecutive gaps among the last ``n`` rows."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    gaps = df.withColumn("_gap", F.col(time) - F.lag(time).over(own))
-    mean = F.avg("_gap").over(last(keys, order, n - 1))
-    return gaps.withColumn(name, F.when(mean.isNotNull(), F.greatest(mean, F.lit(float(least))))).drop("_gap")
+
+    def made(w: WindowSpec) -> Column:
+        mean = F.avg("_d").over(w)
+        return F.when(mean.isNotNull(), F.greatest(mean, F.lit(float(least))))
+
+    return _differences(df, keys, order, time, n, made, name)
 
 
 def mean_of(value: str, w: WindowSpec) -> Column:
@@ -48,18 +66,19 @@ def mean_of(value: str, w: WindowSpec) -> Column:
 
 def mean_increase(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, name: str) -> DataFrame:
     """The mean of consecutive differences among the last ``n`` rows; 0 without any."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_d", F.col(value) - F.lag(value).over(own)).withColumn(name, F.coalesce(F.avg("_d").over(last(keys, order, n - 1)), F.lit(0.0))).drop("_d")
+    return _differences(df, keys, order, value, n, lambda w: F.coalesce(F.avg("_d").over(w), F.lit(0.0)), name)
 
 
 def weighted_increase(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, name: str) -> DataFrame:
     """As :func:`mean_increase`, the newest difference weighing most: sum(i d_i) / sum(i)."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    w = last(keys, order, n - 1)
-    rows = df.withColumn("_d", F.col(value) - F.lag(value).over(own)).withColumn("_held", F.collect_list("_d").over(w))
-    total = F.aggregate(F.transform("_held", lambda d, i: d * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    m = F.size("_held")
-    return rows.withColumn(name, F.when(m > 0, total / F.when(m > 0, m * (m + 1) / 2)).otherwise(0.0)).drop("_d", "_held")
+
+    def made(w: WindowSpec) -> Column:
+        held = F.collect_list("_d").over(w)
+        total = F.aggregate(F.transform(held, lambda d, i: d * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+        m = F.size(held)
+        return F.when(m > 0, total / F.when(m > 0, m * (m + 1) / 2)).otherwise(0.0)
+
+    return _differences(df, keys, order, value, n, made, name)
 
 
 def pending(routed: DataFrame, merged: DataFrame, id_col: str, keys: list[str], now: Column, created: str) -> DataFrame:

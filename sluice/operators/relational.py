@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sluice.errors import CompileError
 from sluice.functions.expressions import Rules, compile_expression
+from sluice.operators import ranges
 from sluice.plans.registry import Registry
 
 #: Fields that a projection keeps unasked (fixed values).
@@ -113,41 +114,14 @@ def log_output(df: DataFrame, order: list[str], max_items: int | None = None, na
     return numbered if max_items is None else numbered.filter(F.col(name) <= max_items)
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position", buckets: int = 64) -> DataFrame:
-    """Gapless places from 0 in a total order, without sorting everything in one task.
-
-    A first pass deals rows to ranges and keeps each range's lowest key and its count.  Sampled bounds
-    differ from run to run, so the numbering itself compares rows with those keys; a range's first place
-    comes from the counts of those before it, and only a range is sorted by one task.
-    """
-    import pyarrow as pa
-
-    spark = df.sparkSession
-    key = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    dealt = df.repartitionByRange(buckets, *[F.col(c) for c in order]).select(F.spark_partition_id().alias("_range"), key.alias("_low"))
-    found = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_low").alias("_low"))
-    # Keys go through Arrow, where times stay instants whatever the zones of session and driver.
-    ranges = found.toArrow().sort_by("_range").combine_chunks()
-    if not ranges.num_rows:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    counts = ranges["_n"].to_pylist()
-    before = [sum(counts[:k]) for k in range(len(counts))]
-    low = pa.concat_arrays(ranges["_low"].chunks)
-    high = pa.concat_arrays([low[1:], low[-1:]])
-    last = [k == len(counts) - 1 for k in range(len(counts))]
-    kind = found.schema["_low"].dataType
-    schema = T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("_last", T.BooleanType()), T.StructField("_low", kind), T.StructField("_high", kind)])
-    starts = spark.createDataFrame(pa.table({"_range": ranges["_range"], "_before": pa.array(before, pa.int64()), "_last": last, "_low": low, "_high": high}), schema)
-    within = (key >= F.col("_low")) & (F.col("_last") | (key < F.col("_high")))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    placed = df.join(F.broadcast(starts), within).drop("_last", "_low", "_high")
-    return placed.withColumn("_nth", nth).withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_range", "_nth", "_before")
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Gapless places from 0 in a total order: rows are dealt to ranges of it, once, and only a range is sorted by a task."""
+    return ranges.numbered(df, [], order, name)
 
 
 def chunk_by_count(df: DataFrame, keys: list[str], order: list[str], size: int, name: str = "chunk") -> DataFrame:
     """Number chunks of ``size`` rows within keys, the last one possibly shorter."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.floor((nth - 1) / size).cast("long"))
+    return ranges.numbered(df, keys, order, name).withColumn(name, F.floor(F.col(name) / size).cast("long"))
 
 
 def chunk_by_time(df: DataFrame, keys: list[str], time_ms: str, size: int, timeout_ms: int, name: str = "chunk") -> DataFrame:

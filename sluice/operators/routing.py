@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 
 from sluice.errors import CompileError
+from sluice.operators import ranges
 
 ROUTE = "__route"
 
@@ -110,14 +110,18 @@ def static(k: int) -> Column:
     return F.lit(k)
 
 
-def spent(cost: Column, so_far: WindowSpec) -> Column:
+def money_spent(df: DataFrame, keys: list[str], order: list[str], cost: str, name: str = "spent", further: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Money spent so far: amounts of up to 12 decimals are summed exactly, so that a budget spent to the cent
-    is not overdrawn by the order of additions; other doubles (finer, from 1e15, not finite) are added as such."""
-    exact = cost.try_cast("decimal(27, 12)")
-    fits = exact.cast("double") == cost
-    amounts = F.sum(F.when(fits, exact)).over(so_far).cast("double")
-    others = F.sum(F.when(fits, None).otherwise(cost)).over(so_far)
-    return F.coalesce(amounts + others, amounts, others)
+    is not overdrawn by the order of additions; other doubles (finer, from 1e15, not finite) are added as such.
+
+    ``further`` running totals are taken in the same pass.
+    """
+    value = F.col(f"`{cost}`")
+    exact = value.try_cast("decimal(27, 12)")
+    fits = exact.cast("double") == value
+    totals = {"_amounts": ("sum", F.when(fits, exact)), "_others": ("sum", F.when(fits, None).otherwise(value)), **(further or {})}
+    amounts, others = F.col("_amounts").cast("double"), F.col("_others")
+    return ranges.running(df, keys, order, totals).withColumn(name, F.coalesce(amounts + others, amounts, others)).drop("_amounts", "_others")
 
 
 def money_guard(spent: Column, budget: Column, k: int) -> Column:

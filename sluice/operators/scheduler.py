@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.errors import CompileError
-from sluice.operators import assign
+from sluice.operators import assign, ranges
 from sluice.operators.classify import Bucket
 from sluice.operators.history import Lookahead, forecast
 
@@ -65,12 +65,14 @@ def lookahead_windows(df: DataFrame, router: list[str], window: str, class_col:
     n = len(held)
     known = F.col(class_col).cast("int")
     rows = df.withColumn("_c", F.when(known.between(0, n - 1), known))
-    own = Window.partitionBy(*router).orderBy(*order)
-    before = own.rowsBetween(-history_rows, -1)
-    inside = Window.partitionBy(*router, window)
-    past = F.struct(*[F.count(F.when(F.col("_c") == c, 1)).over(before).alias(f"c{c}") for c in range(n)], F.count(F.lit(1)).over(before).alias("n"), F.min(time_us).over(before).alias("first"), F.max(time_us).over(before).alias("last"))
-    rows = rows.withColumn("_past", past).withColumn("_in", F.row_number().over(inside.orderBy(*order)) - 1)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*router, window, "_c").orderBy(*order)) - 1)
+    def looked_back(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-history_rows, -1)
+        past = F.struct(*[F.count(F.when(F.col("_c") == c, 1)).over(before).alias(f"c{c}") for c in range(n)], F.count(F.lit(1)).over(before).alias("n"), F.min(time_us).over(before).alias("first"), F.max(time_us).over(before).alias("last"))
+        return df.withColumn("_past", past)
+
+    rows = ranges.framed(rows, router, order, history_rows, looked_back)
+    rows = ranges.numbered(rows, [*router, window], order, "_in")
+    rows = ranges.numbered(rows, [*router, window, "_c"], order, "_nth")
     early = F.when((F.col("_in") < GROUP_ABOVE) & F.col("_c").isNotNull(), F.struct("_in", "_c"))
     counts = [F.count(F.when(F.col("_c") == c, 1)).alias(f"_n{c}") for c in range(n)]
     first = F.max(F.when(F.col("_in") == 0, F.col("_past"))).alias("_past")

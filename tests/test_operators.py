@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice import catalog
@@ -260,8 +259,7 @@ def test_reroute_options(spark):
 def test_money_guard_spends_a_budget_to_the_cent(spark):
     costs = {1: [0.7] * 2857 + [0.1, 0.01], 2: [None, 1e18, -1e18, 1e-13, 2000.0, float("inf"), 1.0], 3: [None, None], 4: [1.0, float("nan"), 5000.0]}
     df = spark.createDataFrame([(k, i, v) for k, own in costs.items() for i, v in enumerate(own)], "k int, i int, v double")
-    so_far = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    spent = df.withColumn("spent", routing.spent(F.col("v"), so_far))
+    spent = routing.money_spent(df, ["k"], ["i"], "v")
     out = spent.withColumn("route", routing.money_guard(F.col("spent"), F.lit(2000), 2)).orderBy("k", "i").collect()
     assert [r["route"] for r in out if r["k"] == 1] == [2] * 2858 + [0]
     assert [r["spent"] for r in out if r["k"] == 1][-2:] == [2000.0, 2000.01]
@@ -350,7 +348,7 @@ def test_chunks(spark):
 
 def test_positions_and_repeats(spark):
     df = spark.range(1000).select((999 - F.col("id")).alias("v"))
-    assert [r["position"] for r in relational.positions(df, ["v"], buckets=5).orderBy("v").collect()] == list(range(1000))
+    assert [r["position"] for r in relational.positions(df, ["v"]).orderBy("v").collect()] == list(range(1000))
     assert relational.repeat(df, 0).count() == 0 and relational.repeat(df, 2).count() == 2000
     assert relational.take(df, ["v"], 2, 3).collect()[0]["v"] == 3
 
@@ -358,7 +356,7 @@ def test_positions_and_repeats(spark):
 def test_positions_are_gapless_beyond_the_sample_of_the_ranges(spark):
     df = spark.range(0, 60000, 1, 3).select("id", F.expr("timestamp_micros((id * 7919 % 60000) div 7 * 1000003)").alias("at"), F.expr("cast(if(id % 5 = 0, null, id % 5) as string)").alias("s"))
     for order in (["at", "id"], ["s", "at", "id"]):
-        placed = relational.positions(df, order, buckets=8).orderBy(*order)
+        placed = relational.positions(df, order).orderBy(*order)
         assert placed.columns == ["id", "at", "s", "position"]
         assert [r["position"] for r in placed.select("position").collect()] == list(range(60000))
     assert relational.positions(df.limit(0), ["at"]).count() == 0
