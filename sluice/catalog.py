@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import boxes, signal, text
 from sluice.functions.expressions import Rules, compile_expression, returning, rounded
-from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vectors
+from sluice.operators import aggregates, assign, budget, classify, history, joins, models, relational, routing, scheduler, vector_index, vectors
 from sluice.plans.compiler import Compiler, Settings
 from sluice.plans.registry import Registry
 from sluice.sources import readers
@@ -852,6 +852,16 @@ def knn_top1_threshold(spark, sf):
     return out.select("vec_id", F.concat_ws(",", "match_ids").alias("match_ids"))
 
 
+@query(_PAIRS + " SELECT vec_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY n) AS match_ids, round(sum(dist), 5) AS total FROM r WHERE n <= 10 GROUP BY vec_id")
+def knn_index(spark, sf):
+    """By an index of cells, going on until no cell left can hold a nearer row."""
+    a, b = _vectors(spark, sf)
+    index = vector_index.build(b, "vec_id", "embedding")
+    out = vector_index.vector_join(a, index, "inner", 10, 10, probes=4, exact=True, normalise=False)
+    total = F.aggregate("match_distances", F.lit(0.0), lambda s, d: s + d)
+    return out.select("vec_id", F.concat_ws(",", "match_ids").alias("match_ids"), rounded(total, 5).alias("total"))
+
+
 @query(_PAIRS.replace("list_distance(q.x, i.x)", "1 - list_cosine_similarity(q.x, i.x)") + " SELECT vec_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY n) AS match_ids FROM r WHERE n <= 3 GROUP BY vec_id")
 def knn_cosine(spark, sf):
     a, b = _vectors(spark, sf)

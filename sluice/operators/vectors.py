@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,15 +21,19 @@ from sluice.errors import CompileError
 BLOCK_ROWS = 50_000
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column])
-
-
-def _valid(v, dim: int) -> bool:
-    if v is None or any(c is None for c in v):
-        return False
-    a = np.asarray(v, np.float64)
-    return a.shape == (dim,) and bool(np.isfinite(a).all())
+def _matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rows of the vectors of ``dim`` finite components (None: of any length, the rows left out)."""
+    size = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(size >= 0 if dim is None else size == dim)
+    picked = column.take(pa.array(own)).flatten().cast(pa.float64())
+    good = np.isfinite(picked.fill_null(float("nan")).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(size[own])
+    bad = np.append(0, np.cumsum(~good))
+    valid = bad[ends] == bad[ends - size[own]]
+    if dim is None:
+        return own[valid], np.zeros((valid.sum(), 0))
+    x = picked.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
+    return own[valid], x[valid]
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -56,36 +61,38 @@ def nearest(lookup: DataFrame, index: DataFrame, k: int, id_col: str, vector_col
     dealt = held.withColumns({"_b": F.pmod(F.xxhash64("i"), F.lit(blocks)), "_l": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
     told = asked.withColumns({"_l": F.pmod(F.xxhash64("_q"), F.lit(parts)), "_b": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
     near = f"array<struct<distance:double,id:{kind},carried:{kept}>>"
-    search = _search(k, metric, normalise, unit_index, [to_arrow_type(held.schema[c].dataType) for c in ("i", "c")], to_arrow_type(asked.schema["_q"].dataType))
+    search = block_search(k, metric, normalise, unit_index, [to_arrow_type(held.schema[c].dataType) for c in ("i", "c")], to_arrow_type(asked.schema["_q"].dataType))
     found = dealt.groupBy("_b", "_l").cogroup(told.groupBy("_b", "_l")).applyInArrow(search, f"_q {asked.schema['_q'].dataType.simpleString()}, _n {near}")
     if blocks > 1:
         found = found.groupBy("_q").agg(F.array_sort(F.flatten(F.collect_list("_n"))).alias("_n"))
     return lookup.join(found, lookup[lookup_vector] == found["_q"], "left").withColumn("_near", F.slice("_n", 1, k)).drop("_q", "_n")
 
 
-def _search(k: int, metric: str, normalise: bool, unit_index: float | None, kinds: list[pa.DataType], asked: pa.DataType):
+def block_search(k: int, metric: str, normalise: bool, unit_index: float | None, kinds: list[pa.DataType], asked: pa.DataType):
     """The ``k`` nearest rows of a block of the index for the vectors of a block of lookups."""
     near_type = pa.list_(pa.struct([("distance", pa.float64()), ("id", kinds[0]), ("carried", kinds[1])]))
 
     def run(index: pa.Table, lookup: pa.Table) -> pa.Table:
-        ids, carried, given = index.column("i").to_pylist(), index.column("c").to_pylist(), lookup.column("_q").to_pylist()
-        vectors = index.column("v").to_pylist()
-        sizes = {len(v) for v in vectors}
+        ids, carried, given = index.column("i").to_pylist(), index.column("c").to_pylist(), lookup.column("_q").combine_chunks()
+        vectors = index.column("v").combine_chunks()
+        sizes = set(pc.unique(pc.list_value_length(vectors)).to_pylist()) - {None}
         out, near = [], []
         for dim in sizes or {None}:
-            own = sorted((i for i, v in enumerate(vectors) if _valid(v, dim)), key=lambda i: ids[i])
-            x = _matrix([vectors[i] for i in own])
+            own, x = _matrix(vectors, dim)
+            # A null id comes last among equal distances.
+            order = np.array(sorted(range(len(own)), key=lambda i: (False, ids[own[i]]) if ids[own[i]] is not None else (True,)), np.int64)
+            own, x = own[order], x[order]
             if unit_index is not None and len(x):
                 keep = np.flatnonzero(np.abs(1 - np.linalg.norm(x, axis=1)) <= unit_index)
-                x, own = x[keep], [own[i] for i in keep]
-            rows = [v for v in given if _valid(v, len(v) if dim is None else dim)]
+                x, own = x[keep], own[keep]
+            rows, asked_x = _matrix(given, dim)
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                out += part
+                out.append(part)
                 if not len(x):
                     near += [[] for _ in part]
                     continue
-                q = _matrix(part)
+                q = asked_x[at : at + 256]
                 if normalise:
                     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
                 for d in distances(q, x, metric):
@@ -94,7 +101,8 @@ def _search(k: int, metric: str, normalise: bool, unit_index: float | None, kind
                     best = np.flatnonzero(d <= d[best].max())
                     best = best[np.lexsort((best, d[best]))][:k]
                     near.append([{"distance": float(d[b]), "id": ids[own[b]], "carried": carried[own[b]]} for b in best])
-        return pa.table([pa.array(out, asked), pa.array(near, near_type)], names=["_q", "_n"])
+        taken = given.take(pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+        return pa.table([taken.cast(asked), pa.array(near, near_type)], names=["_q", "_n"])
 
     return run
 
@@ -106,16 +114,24 @@ def vector_join(lookup: DataFrame, index: DataFrame, join_kind: str = "inner", t
     ``inner`` keeps rows without a match, with empty lists; ``outer_right`` looks for one match and
     gives nulls without one.  Null or invalid vectors give nulls.
     """
+    topk, keep_n_matches = matches_asked(join_kind, topk, keep_n_matches)
+    found = nearest(lookup, index, topk, id_col, vector_col, lookup_vector, metric, normalise, carry=passage_col)
+    return match_lists(found, join_kind, keep_n_matches, distance_threshold, passage_col is not None)
+
+
+def matches_asked(join_kind: str, topk: int, keep_n_matches: int) -> tuple[int, int]:
     if join_kind not in ("inner", "outer_right"):
         raise CompileError(f"unknown vector join {join_kind!r}")
-    if join_kind == "outer_right":
-        topk = keep_n_matches = 1
-    found = nearest(lookup, index, topk, id_col, vector_col, lookup_vector, metric, normalise, carry=passage_col)
+    return (1, 1) if join_kind == "outer_right" else (topk, keep_n_matches)
+
+
+def match_lists(found: DataFrame, join_kind: str, keep_n_matches: int, distance_threshold: float, passages: bool) -> DataFrame:
+    """The lists of a vector join from ``_near``."""
     kept = F.slice(F.filter("_near", lambda m: m["distance"] < F.lit(float(distance_threshold))), 1, keep_n_matches)
     kept = F.when(F.size(kept) > 0, kept) if join_kind == "outer_right" else kept
     out = found.withColumn("_kept", kept)
     made = {"match_ids": F.transform("_kept", lambda m: m["id"].cast("string")), "match_distances": F.transform("_kept", lambda m: m["distance"])}
-    if passage_col is not None:
+    if passages:
         made["passages"] = F.transform("_kept", lambda m: m["carried"])
     return out.withColumns(made).drop("_near", "_kept")
 
