@@ -5,9 +5,11 @@ is filed in its nearest cell, and the table is written partitioned by cell, so a
 A hot cell is several blocks of rows, compared by as many tasks.
 
 A search looks into the cells nearest to each lookup vector (``probes``) and ranks what it finds by exact
-distances.  With ``exact`` it goes on: a cell's radius and a lookup's distance to its centre bound how near a
-row of that cell can be, and every cell that might hold a nearer row than the k-th found is searched too.
-Without it, recall depends on ``probes`` and must be measured, for which there is :func:`recall`.
+distances.  How many cells that takes is measured when the index is built: TUNE_ROWS vectors of the sample look
+for their neighbours in the sample, and as many cells are probed as held TARGET of these.  Vectors without any
+clusters take many cells, clustered ones a few; :func:`recall` and :func:`compared` tell what a search found and
+what it cost.  With ``exact`` a search goes on: a cell's radius and a lookup's distance to its centre bound how
+near a row of that cell can be, and every cell that might hold a nearer row than the k-th found is searched too.
 
 Index rows with a null or non-finite vector, or one of another length than the sample's first, are not filed; lookup
 vectors of that kind have no matches (a null list).  An index without rows gives empty lists.
@@ -31,19 +33,22 @@ from sluice.tables import shared_dir, written
 
 #: Vectors that cells are fitted on, at most; sample vectors for a cell, at least; rounds of the fit.
 SAMPLE_ROWS, SAMPLE_PER_CELL, FIT_ROUNDS = 20_000, 8, 8
+#: Sample vectors that tune the number of probes, neighbours that each looks for, and the share to be found.
+TUNE_ROWS, TUNE_NEIGHBOURS, TARGET = 256, 10, 0.95
 #: Index rows and lookups of a task.
 BLOCK_ROWS, BLOCK_LOOKUPS = 50_000, 50_000
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Where the filed rows are, and the cells: centres, radii (greatest distance of a row) and counts."""
+    """Where the filed rows are, and the cells: centres, radii (greatest distance of a row), counts, and how many to probe."""
 
     path: str
     metric: str
     centres: np.ndarray
     radii: np.ndarray
     counts: np.ndarray
+    probes: int = 1
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -87,6 +92,20 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
     return centres
 
 
+def tune(sample: np.ndarray, centres: np.ndarray, target: float = TARGET) -> int:
+    """The number of nearest cells that hold ``target`` of the neighbours that sample vectors have in the sample."""
+    asked = sample[:TUNE_ROWS]
+    own = _to_centres(sample, centres).argmin(1)
+    # The rank of each cell among the centres nearest to a vector.
+    rank = _to_centres(asked, centres).argsort(1, kind="stable").argsort(1, kind="stable")
+    d = _to_centres(asked, sample)
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    k = min(TUNE_NEIGHBOURS, max(1, len(sample) - 1))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    needed = np.sort(np.take_along_axis(rank, own[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+
+
 def _file(centres: np.ndarray, metric: str):
     dim = centres.shape[1]
 
@@ -127,7 +146,7 @@ def build(index: DataFrame, id_col: str = "id", vector_col: str = "embedding", c
     # One row for each cell.
     for r in spark.read.parquet(path).groupBy("cell").agg(F.max("_far").alias("r"), F.count("*").alias("n")).collect():
         radii[r["cell"]], counts[r["cell"]] = r["r"], r["n"]
-    return VectorIndex(path, metric, centres, radii, counts)
+    return VectorIndex(path, metric, centres, radii, counts, tune(x, centres))
 
 
 def _probe(index: VectorIndex, probes: int, normalise: bool, bounded: bool):
@@ -171,7 +190,7 @@ def _searched(index: VectorIndex, asked: DataFrame, k: int, near: str, normalise
     return rows.select(*keys, "i", "v", "c").groupBy(*keys).cogroup(told.select(*keys, "_q").groupBy(*keys)).applyInArrow(search, f"_q array<double>, _n {near}")
 
 
-def search(lookup: DataFrame, index: VectorIndex, k: int, lookup_vector: str = "embedding", probes: int = 8, exact: bool = False, normalise: bool = True) -> DataFrame:
+def search(lookup: DataFrame, index: VectorIndex, k: int, lookup_vector: str = "embedding", probes: int | None = None, exact: bool = False, normalise: bool = True) -> DataFrame:
     """``lookup`` with ``_near``: its ``k`` nearest as structs (distance, id, carried), nearest first, ties to the lower id.
 
     ``normalise`` scales lookup vectors to length 1.  With ``exact`` these are the ``k`` nearest of all rows.
@@ -184,28 +203,28 @@ def search(lookup: DataFrame, index: VectorIndex, k: int, lookup_vector: str = "
     near = f"array<struct<distance:double,id:{schema['i'].dataType.simpleString()},carried:{schema['c'].dataType.simpleString()}>>"
     asked = lookup.select(vector.alias("_q")).filter(_finite("_q", index.centres.shape[1])).distinct()
     best = lambda df: df.groupBy("_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_n"))), 1, k).alias("_n"))
-    cells = asked.mapInArrow(_probe(index, probes, normalise, False), "_q array<double>, _cells array<int>")
+    cells = asked.mapInArrow(_probe(index, probes or index.probes, normalise, False), "_q array<double>, _cells array<int>")
     found = best(_searched(index, cells, k, near, normalise))
     if exact:
         found = written(found, "found")
         last = F.get("_n", F.lit(k - 1))["distance"]
         # Cells know distances; of a cosine distance c the distance of unit vectors is the root of 2 c.
         reach = F.coalesce(F.sqrt(F.greatest(2 * last, F.lit(0.0))) if index.metric == "cosine" else last, F.lit(float("inf")))
-        more = found.select("_q", reach.alias("_reach")).mapInArrow(_probe(index, probes, normalise, True), "_q array<double>, _cells array<int>")
+        more = found.select("_q", reach.alias("_reach")).mapInArrow(_probe(index, probes or index.probes, normalise, True), "_q array<double>, _cells array<int>")
         found = best(found.unionByName(_searched(index, more.filter(F.size("_cells") > 0), k, near, normalise)))
     return lookup.withColumn("_asked", vector).join(found.withColumnRenamed("_q", "_asked"), "_asked", "left").withColumnRenamed("_n", "_near").drop("_asked")
 
 
-def vector_join(lookup: DataFrame, index: VectorIndex, join_kind: str = "inner", topk: int = 5, keep_n_matches: int = 5, distance_threshold: float = float("inf"), lookup_vector: str = "embedding", probes: int = 8, exact: bool = False, normalise: bool = True, passages: bool = False) -> DataFrame:
+def vector_join(lookup: DataFrame, index: VectorIndex, join_kind: str = "inner", topk: int = 5, keep_n_matches: int = 5, distance_threshold: float = float("inf"), lookup_vector: str = "embedding", probes: int | None = None, exact: bool = False, normalise: bool = True, passages: bool = False) -> DataFrame:
     """As :func:`sluice.operators.vectors.vector_join`, by an index instead of a table."""
     topk, keep_n_matches = matches_asked(join_kind, topk, keep_n_matches)
     return match_lists(search(lookup, index, topk, lookup_vector, probes, exact, normalise), join_kind, keep_n_matches, distance_threshold, passages)
 
 
-def compared(lookup: DataFrame, index: VectorIndex, lookup_vector: str = "embedding", probes: int = 8, normalise: bool = True) -> int:
+def compared(lookup: DataFrame, index: VectorIndex, lookup_vector: str = "embedding", probes: int | None = None, normalise: bool = True) -> int:
     """Distances that a search without ``exact`` takes."""
     asked = lookup.select(F.col(f"`{lookup_vector}`").cast("array<double>").alias("_q")).filter(_finite("_q", index.centres.shape[1])).distinct()
-    cells = asked.mapInArrow(_probe(index, probes, normalise, False), "_q array<double>, _cells array<int>").select(F.explode("_cells").alias("cell"))
+    cells = asked.mapInArrow(_probe(index, probes or index.probes, normalise, False), "_q array<double>, _cells array<int>").select(F.explode("_cells").alias("cell"))
     return sum(r["count"] * int(index.counts[r["cell"]]) for r in cells.groupBy("cell").count().collect())
 
 

@@ -31,12 +31,23 @@ def test_exact_search_equals_all_pairs_and_probes_find_nine_in_ten(clustered, me
     assert index.counts.sum() == 6000 and 40 <= len(index.centres) <= 80
     truth = vectors.nearest(lookup, rows, 10, "id", "embedding", "embedding", metric, carry="passage").cache()
     assert near(search(lookup, index, 10, probes=2, exact=True)) == near(truth)
-    found = search(lookup, index, 10, probes=6)
+    found = search(lookup, index, 10)
     assert recall(found, truth, ["k"]) >= 0.9
-    assert compared(lookup, index, probes=6) < 0.25 * 300 * 6000
+    assert compared(lookup, index) < 0.25 * 300 * 6000
     assert found.filter(F.exists("_near", lambda n: n["carried"] != F.concat(F.lit("row "), n["id"]))).count() == 0
 
 
+def test_vectors_without_clusters_take_more_cells_and_still_fewer_than_all(spark):
+    rng = np.random.RandomState(3)
+    x = rng.standard_normal((4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    lookup = rows.filter("id % 20 = 0").withColumnRenamed("id", "k")
+    index = build(rows)
+    truth = vectors.nearest(lookup, rows, 10, "id", "embedding", "embedding", normalise=False)
+    assert recall(search(lookup, index, 10, normalise=False), truth, ["k"]) >= 0.9
+    assert 1 < index.probes < len(index.centres) and compared(lookup, index, normalise=False) < 0.8 * 200 * 4000
+
+
 def test_hot_cells_are_several_blocks(clustered, monkeypatch):
     rows, lookup = clustered
     monkeypatch.setattr(vector_index, "BLOCK_ROWS", 40)
