@@ -6,6 +6,7 @@ probabilities or costs.  Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ from sluice.operators import aggregates, assign, budget, classify, history, join
 from sluice.plans.compiler import Compiler, Settings
 from sluice.plans.registry import Registry
 from sluice.sources import readers
+from sluice.streaming import stateful, streams
+from sluice.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -739,7 +742,7 @@ def hist_mean_increase(spark, sf):
     return history.mean_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", rounded(F.col("increase"), 9).alias("increase"))
 
 
-@query(E + ", d AS (SELECT event_id, user_id, us, value - lag(value) OVER o AS d, row_number() OVER o AS rn FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT event_id, sum(d * rn) OVER w AS drn, sum(d) OVER w AS ds, count(d) OVER w AS m, rn FROM d WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 8 PRECEDING)) SELECT event_id, CASE WHEN m > 0 THEN round((drn - ds * (rn - m)) / (m * (m + 1) / 2), 9) ELSE 0 END AS increase FROM s")
+@query(E + ", d AS (SELECT event_id, user_id, us, value - lag(value) OVER (PARTITION BY user_id ORDER BY us, event_id) AS d FROM e), s AS (SELECT event_id, coalesce(list(d) FILTER (d IS NOT NULL) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 8 PRECEDING), []) AS l FROM d) SELECT event_id, CASE WHEN len(l) > 0 THEN round(list_sum(list_transform(l, lambda x, i: x * i)) / (len(l) * (len(l) + 1) / 2), 9) ELSE 0 END AS increase FROM s")
 def hist_weighted_increase(spark, sf):
     return history.weighted_increase(events(spark, sf), ["user_id"], ARRIVAL, "value", 10, "increase").select("event_id", rounded(F.col("increase"), 9).alias("increase"))
 
@@ -819,6 +822,57 @@ def budget_sub_batches(spark, sf):
     return budget.sub_batches(events(spark, sf), ["event_type"], ARRIVAL).select("event_id", "batch")
 
 
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _feed(df: DataFrame, order: str, last: DataFrame | None = None, parts: int = 3) -> DataFrame:
+    """``df`` as a stream of a few files in an order, a file a micro-batch; ``last`` comes after them."""
+    path = f"{shared_dir(df.sparkSession)}/feed-{uuid.uuid4().hex}"
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        df.filter(F.floor((F.col(order) - F.lit(low)) / step) == k).coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return streams.files(df.sparkSession, path, df.schema, 1)
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    """What a stream gives for all that is there, written with a checkpoint, as a table."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/drained-{uuid.uuid4().hex}"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    stateful.state_store(spark)
+    try:
+        writer = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN CAST(event_id % 2 + 1 AS INTEGER) ELSE 0 END AS pipeline, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN CAST(30000 AS DOUBLE) ELSE CAST(3600000 AS DOUBLE) END AS elapsed_ms FROM events")
+def stream_outcomes(spark, sf):
+    """Routed items meet their feedback; what has none within the hour is purged once the watermark has passed."""
+    df = events(spark, sf).select("event_id", "us", F.timestamp_micros("us").alias("created"), F.timestamp_micros("us").alias("sent"))
+    done = F.timestamp_micros(F.col("us") + F.when(F.col("event_id") % 4 == 0, 7_200_000_000).otherwise(30_000_000))
+    back = df.filter("event_id % 3 <> 0").select("event_id", "us", (F.col("event_id") % 2 + 1).cast("int").alias("pipeline"), done.alias("done"))
+    ahead = lambda df, time: df.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), time: F.col(time) + F.expr("interval 9000 days")})
+    routed = _feed(df, "us", ahead(df, "created")).withWatermark("created", "1 hour").drop("us")
+    merged = _feed(back, "us", ahead(back, "done").withColumn("event_id", F.lit(-2).cast("long"))).withWatermark("done", "1 hour").drop("us")
+    out = _drained(stateful.outcomes(routed, merged, "event_id", "created", "sent", "done", "1 hour"))
+    return out.filter("event_id >= 0").select("event_id", "pipeline", "elapsed_ms")
+
+
+@query("SELECT o_custkey, count(*) AS n_rows, count(*) AS n_expected, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def stream_complete_by_count(spark, sf):
+    """A customer's orders, over micro-batches in order of their numbers, given out when the last has come."""
+    df = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    df = df.join(df.groupBy("o_custkey").agg(F.count("*").alias("expected")), "o_custkey")
+    out = _drained(stateful.complete_by_count(_feed(df, "o_orderkey"), "o_custkey", "expected", "o_totalprice"))
+    return out.withColumn("total", rounded(F.col("total"), 2))
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
@@ -887,7 +941,7 @@ def text_prompt(spark, sf):
     return grouped.select("conv_id", text.finalize_question(F.lit("Is it so?"), F.col("passages")).alias("prompt"))
 
 
-@query("WITH d AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(v[1], 6) AS first, CASE WHEN len(v) > 1 THEN round(list_sum(v) / (len(v) - 1), 6) ELSE CAST('inf' AS DOUBLE) END AS mean FROM d")
+@query("WITH d AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(v[1], 6) AS first, CASE WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN NULL WHEN len(v) > 1 THEN round(list_sum(v) / (len(v) - 1), 6) ELSE CAST('inf' AS DOUBLE) END AS mean FROM d")
 def first_mean_distance(spark, sf):
     d = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
     both = text.first_and_mean_distance(F.col("v"))
@@ -945,9 +999,16 @@ def box_split(spark, sf):
     return out.select("event_id", "my_box_number", F.col("new_height_float").alias("height"), F.col("new_width_float").alias("width"), F.col("new_area_float").alias("area"), r6(F.col("new_hw_ratio_float")).alias("ratio"))
 
 
-@query("SELECT event_id, round(80 * 40 / (100 * 60 + 100 * 50 - 80 * 40), 6) AS iou FROM events")
+_TWO_BOXES = "SELECT event_id, CAST(event_id % 90 AS DOUBLE) AS ax, CAST(user_id % 70 AS DOUBLE) AS ay, CAST(40 + event_id % 50 AS DOUBLE) AS aw, CAST(30 + user_id % 40 AS DOUBLE) AS ah, CAST(event_id * 7 % 110 AS DOUBLE) AS bx, CAST(user_id * 3 % 80 AS DOUBLE) AS b_y, CAST(20 + event_id % 70 AS DOUBLE) AS bw, CAST(25 + event_id % 60 AS DOUBLE) AS bh FROM events"
+
+
+@query(f"WITH t AS ({_TWO_BOXES}), i AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, b_y + bh) - greatest(ay, b_y)) AS shared FROM t) SELECT event_id, round(shared / (aw * ah + bw * bh - shared), 6) AS iou FROM i")
 def box_iou(spark, sf):
-    return _boxed(spark, sf).select("event_id", r6(boxes.iou(F.col("a"), F.col("b"))).alias("iou"))
+    """Two boxes of each event, of every size and distance: apart, overlapping and one inside the other."""
+    i, u = F.col("event_id"), F.col("user_id")
+    box = lambda x, y, w, h: F.array(*[c.cast("double") for c in (x, y, x + w, y + h)])
+    a, b = box(i % 90, u % 70, 40 + i % 50, 30 + u % 40), box(i * 7 % 110, u * 3 % 80, 20 + i % 70, 25 + i % 60)
+    return table(spark, sf, "events").select("event_id", r6(boxes.iou(a, b)).alias("iou"))
 
 
 @query("SELECT event_id, CASE WHEN (100 - user_id % 100) / (100.0 + user_id % 100) <= 0.5 THEN '0,2,1' ELSE '0,2' END AS kept FROM events")
