@@ -6,6 +6,7 @@ import getpass
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written within each open :func:`tidied` block, innermost last.
-_OPEN: list[list[DataFrame]] = []
+#: Tables written within each open :func:`tidied` block of this thread of work, innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(out)
     return out
 
 
@@ -56,15 +57,17 @@ def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _OPEN.append([])
+    own: list[DataFrame] = []
+    before = _OPEN.set((*_OPEN.get(), own))
     try:
         yield keep
     finally:
-        for df in _OPEN.pop():
+        _OPEN.reset(before)
+        for df in own:
             if not any(df is k for k in kept):
                 drop_written(df)
-            elif _OPEN:
-                _OPEN[-1].append(df)
+            elif _OPEN.get():
+                _OPEN.get()[-1].append(df)
 
 
 def delete(spark: SparkSession, path: str) -> None:
