@@ -822,6 +822,92 @@ def budget_sub_batches(spark, sf):
     return budget.sub_batches(events(spark, sf), ["event_type"], ARRIVAL).select("event_id", "batch")
 
 
+# --- sources -----------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def source_csv(spark, sf):
+    """Customers as CSV with a header, read again by position."""
+    path = _place(spark, "csv")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("header", True).csv(path)
+    return readers.csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("SELECT conv_id, turn, role, text, question_index FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS question_index FROM conversations) WHERE question_index >= 10")
+def source_json_lines(spark, sf):
+    """Turns as JSON lines, numbered in their order, without the first ten (an offset that is the feature)."""
+    path = _place(spark, "json")
+    table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").write.json(path)
+    return readers.json_lines(spark, path, "conv_id bigint, turn bigint, role string, text string", ["conv_id", "turn"], 10)
+
+
+@query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note FROM nation")
+def source_empty(spark, sf):
+    """A source without rows lends its fields to a union."""
+    return relational.union(table(spark, sf, "nation").select("n_nationkey", "n_name"), readers.empty(spark, "n_nationkey bigint, note string"))
+
+
+@query(E + ", m AS (SELECT min(us) AS t0, max(us) - min(us) AS span FROM e) SELECT event_id, cycle, CAST(7000000 + cycle * (span * 1000 + 1) + (us - t0) * 1000 + CASE WHEN cycle = 0 THEN 0 ELSE -500 END AS BIGINT) AS created_ns FROM e, m, (SELECT unnest([0, 1]) AS cycle)")
+def source_replay(spark, sf):
+    """Captured events replayed twice; the first pass takes no adjustment below 0."""
+    path, df = _place(spark, "captured"), events(spark, sf)
+    first = df.agg(F.min("us").alias("_t0"))
+    df.crossJoin(F.broadcast(first)).select("event_id", ((F.col("us") - F.col("_t0")) * 1000).alias("relative_ns")).write.parquet(path)  # one row
+    return readers.replay(spark, path, "relative_ns", 7_000_000, 2, -500).select("event_id", "cycle", "created_ns")
+
+
+@query(E + " SELECT 'router' AS location, event_id AS tuple_id, CAST(us * 1000 AS VARCHAR) AS unix_ns, CAST(us * 1000 - 1000000 AS VARCHAR) AS relative_ns, event_type FROM e")
+def sink_event_log(spark, sf):
+    df = events(spark, sf).withColumn("ns", F.col("us") * 1000)
+    out = readers.event_log(df, "router", "event_id", "ns", 1_000_000, ["event_type"])
+    return out.select("location", "tuple_id", F.col("unix_time_ns").cast("string").alias("unix_ns"), F.col("relative_time_ns").cast("string").alias("relative_ns"), F.col("aux")["event_type"].alias("event_type"))
+
+
+@query("SELECT event_id, us FROM (SELECT event_id, epoch_us(ts) AS us FROM events) ORDER BY us, event_id LIMIT 25")
+def sink_capture(spark, sf):
+    """The first rows of an operator, kept to be looked at (a limit that is the feature)."""
+    path = _place(spark, "tap")
+    readers.capture(events(spark, sf).select("event_id", "us"), path, ARRIVAL)
+    return spark.read.parquet(path)
+
+
+@query("SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS INTEGER) AS expected_count_15, CAST(count(*) FILTER (WHERE event_type = 'view') AS INTEGER) AS expected_count_16, CAST(0 AS INTEGER) AS expected_count_17 FROM events GROUP BY user_id")
+def source_class_counts(spark, sf):
+    """A map of counts for each user as a column for each class; a class that never occurs counts 0."""
+    counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("counts"))
+    return readers.class_counts(maps, "user_id", "counts", {"click": 15, "view": 16, "absent": 17}).drop("counts")
+
+
+@query("SELECT event_id, event_type AS class_id, CAST(value AS DOUBLE) AS count FROM events")
+def text_split_prefix(spark, sf):
+    """Fields named by a prefix and a class, taken apart again."""
+    named = F.create_map(F.concat(F.lit("expected_count_"), "event_type"), F.col("value"), F.lit("other_field"), F.lit(-1.0))
+    kept = table(spark, sf, "events").select("event_id", text.split_prefix(named, "expected_count_").alias("m"))
+    return kept.select("event_id", F.explode("m").alias("class_id", "count"))
+
+
+@query("SELECT r_name, c AS cycle FROM region, (SELECT unnest([0, 1, 2]) AS c) QUALIFY row_number() OVER (ORDER BY c, r_regionkey) <= 12")
+def repeat_with_total(spark, sf):
+    """Cycles over the regions, until twelve rows are out (a limit that is the feature)."""
+    return relational.repeat(table(spark, sf, "region").select("r_regionkey", "r_name"), 3, order=["r_regionkey"], total=12).select("r_name", "cycle")
+
+
+@query("SELECT event_id, 0 AS route FROM events")
+def route_drop_all(spark, sf):
+    return table(spark, sf, "events").select("event_id", routing.static(0).alias("route"))
+
+
+@query("SELECT event_id, user_id, value, CAST(CASE WHEN value > 250 THEN 2 ELSE 1 END AS INTEGER) AS branch FROM events")
+def route_by_function(spark, sf):
+    """A routing function by name instead of an expression."""
+    return _router(spark, sf, {"kind": "udf", "name": "routing_fn", "args": []}, routing_fn=lambda df: routing.route(df, F.when(F.col("value") > 250, 2).otherwise(1)))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
