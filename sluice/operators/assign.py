@@ -11,6 +11,7 @@ import random
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +119,124 @@ def greedy(buckets: Sequence[Bucket], items: Sequence[int], budget: float) -> As
     return state
 
 
+#: Items up to which the optimum goes item by item; beyond, it goes by counts.
+BY_ITEM = 64
+#: Pairs of states that a merge looks at together.
+_PAIRS = 4_000_000
+
+
+@dataclass(eq=False)
+class _States:
+    """What a number of items can cost and earn, without what is dominated: ascending in both.  Each state knows
+    the states of its two parts, or the pipeline of a single item."""
+
+    cost: np.ndarray
+    reward: np.ndarray
+    parts: tuple[_States, _States] | None = None
+    left: np.ndarray | None = None
+    right: np.ndarray | None = None
+    pipelines: np.ndarray | None = None
+
+    def step(self) -> float:
+        """The common distance of costs if gains never grow along them, else 0."""
+        if len(self.cost) < 2:
+            return math.inf
+        gaps, gains = np.diff(self.cost), np.diff(self.reward)
+        even = np.allclose(gaps, gaps[0], rtol=1e-9, atol=0) and (np.diff(gains) <= 1e-12 * np.abs(gains[:-1])).all()
+        return float(gaps[0]) if even else 0.0
+
+    def counted(self, at: int, into: dict[int, int]) -> None:
+        """Add the pipelines of a state to ``into``."""
+        todo = [(self, at)]
+        while todo:
+            own, i = todo.pop()
+            if own.parts is None:
+                p = int(own.pipelines[i])
+                into[p] = into.get(p, 0) + 1
+            else:
+                todo += [(own.parts[0], int(own.left[i])), (own.parts[1], int(own.right[i]))]
+
+
+def _undominated(cost: np.ndarray, reward: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The states that earn more than every cheaper one; of equal ones the last."""
+    order = np.lexsort((-np.arange(len(cost)), -reward, cost))
+    cost, reward, more = cost[order], reward[order], tuple(m[order] for m in more)
+    best = np.maximum.accumulate(np.append(-np.inf, reward[:-1])) if len(reward) else reward
+    keep = reward > best
+    return cost[keep], reward[keep], *(m[keep] for m in more)
+
+
+def _merged(a: _States, b: _States, most: float) -> _States:
+    """States of both parts together, up to a cost."""
+    steps = (a.step(), b.step())
+    if min(steps) > 0 and (math.inf in steps or math.isclose(*steps, rel_tol=1e-9)):
+        # Both sides' gains fall with even costs: the best of each total takes gains in order.
+        gains, of_a = np.r_[np.diff(a.reward), np.diff(b.reward)], np.r_[np.ones(len(a.cost) - 1, int), np.zeros(len(b.cost) - 1, int)]
+        order = np.argsort(-gains, kind="stable")
+        left = np.append(0, of_a[order].cumsum())
+        right = np.arange(len(left)) - left
+        cost, reward = a.cost[left] + b.cost[right], a.reward[left] + b.reward[right]
+        keep = cost <= most
+        return _States(cost[keep], reward[keep], (a, b), left[keep], right[keep])
+    found: tuple[np.ndarray, ...] = (np.zeros(0), np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+    many = max(1, _PAIRS // max(1, len(b.cost)))
+    for at in range(0, len(a.cost), many):
+        cost, reward = a.cost[at : at + many, None] + b.cost[None, :], a.reward[at : at + many, None] + b.reward[None, :]
+        i, j = np.nonzero(cost <= most)
+        found = _undominated(*(np.concatenate(c) for c in zip(found, (cost[i, j], reward[i, j], i + at, j), strict=True)))
+    return _States(found[0], found[1], (a, b), found[2], found[3])
+
+
+def _times(one: _States, n: int, most: float) -> _States:
+    """States of ``n`` equal items, by doubling."""
+    out, power = None, one
+    while n:
+        if n & 1:
+            out = power if out is None else _merged(out, power, most)
+        n >>= 1
+        if n:
+            power = _merged(power, power, most)
+    return out
+
+
+def _optimal_by_counts(buckets: Sequence[Bucket], items: Sequence[int], budget: float, epsilon: float) -> Assignment:
+    most, held = budget + epsilon, []
+    for b, n in zip(buckets, items, strict=True):
+        if n:
+            cost, reward, pipelines = _undominated(np.array(b.costs, float), np.array(b.rewards, float), np.array(b.valid))
+            fits = cost <= most
+            if not fits.any():
+                return _start(buckets, items)
+            cost, reward, pipelines = cost[fits], reward[fits], pipelines[fits]
+            held.append(_times(_States(cost, reward, pipelines=pipelines), n, most))
+    total = held[0]
+    for own in held[1:]:
+        total = _merged(total, own, most)
+    if not len(total.cost):
+        return _start(buckets, items)
+    # Unroll the merges of buckets, which are the outermost ones, the last bucket first.
+    at, places = len(total.cost) - 1, []
+    reward, cost = float(total.reward[at]), float(total.cost[at])
+    for _ in held[1:]:
+        places.append(int(total.right[at]))
+        total, at = total.parts[0], int(total.left[at])
+    places.append(at)
+    counts: list[dict[int, int]] = [{} for _ in buckets]
+    own = [k for k, n in enumerate(items) if n]
+    for k, states, place in zip(own, held, reversed(places), strict=True):
+        states.counted(place, counts[k])
+    return Assignment(counts, reward, cost)
+
+
 def optimal(buckets: Sequence[Bucket], items: Sequence[int], budget: float, epsilon: float = 1e-9) -> Assignment:
-    """The greatest reward within the budget, exactly, by a frontier of (cost, reward) over items.
+    """The greatest reward within the budget, exactly, by what items can cost and earn.
 
-    States that cost no less and earn no more than another are dropped.  Of equal rewards later
-    pipelines win.  If nothing fits, all items stay at their first pipelines.
+    States that cost no less and earn no more than another are dropped.  Up to BY_ITEM items are added one
+    by one, and of equal rewards later pipelines win; more are merged by counts, equal items by doubling.  If
+    nothing fits, all items stay at their first pipelines.
     """
+    if sum(items) > BY_ITEM:
+        return _optimal_by_counts(buckets, items, budget, epsilon)
     frontier: list[tuple[float, float, tuple]] = [(0.0, 0.0, ())]
     for n, (b, count) in enumerate(zip(buckets, items, strict=True)):
         for _ in range(count):

@@ -59,6 +59,30 @@ def test_optimal_against_enumeration():
         assert assign.optimal(own, [1] * 4, money).reward == pytest.approx(best)
 
 
+def test_optimal_by_counts_is_the_one_by_items(monkeypatch):
+    rng = random.Random(1)
+    for seed in range(200):
+        price = lambda whole=seed % 2: float(rng.randint(0, 6)) if whole else rng.random() * 5
+        own = [Bucket([0.0, *(float(rng.randint(0, 20)) for _ in range(3))], [0.0, price(), price(), price()], k) for k in range(rng.randint(1, 3))]
+        items, money = [rng.randint(0, 5) for _ in own], rng.random() * 20
+        monkeypatch.setattr(assign, "BY_ITEM", 64)
+        one = assign.optimal(own, items, money)
+        monkeypatch.setattr(assign, "BY_ITEM", -1)
+        if not sum(items):
+            continue
+        many = assign.optimal(own, items, money)
+        assert many.reward == pytest.approx(one.reward)
+        for done in (one, many):
+            assert [sum(c.values()) for c in done.counts] == items and done.cost <= money + 1e-6
+            assert sum(b.costs[p] * n for b, c in zip(own, done.counts, strict=True) for p, n in c.items()) == pytest.approx(done.cost)
+
+
+def test_optimal_takes_a_window_of_a_hundred_thousand_items():
+    done = assign.optimal([P1, P2], [60_000, 40_000], 90_000.0)
+    assert [sum(c.values()) for c in done.counts] == [60_000, 40_000] and done.cost == 90_000
+    assert done.reward == 60_000 * 14 + 30_000 * 12
+
+
 def test_counts_and_distribution():
     done = assign.greedy([P1, P2], [3, 4], 5)
     assert [sum(c.values()) for c in done.counts] == [3, 4]
