@@ -710,10 +710,11 @@ def route_lookahead_grouped(spark, sf):
     return out.select("event_id", "class", "pipeline")
 
 
-@query('SELECT epoch_us(ts) // 1000 // 1200000 AS "window", count(*) AS n, least(2 * count(*), 8) AS spent FROM events GROUP BY 1')
+@query(_OPTIMAL.format(window=1_200_000, budget=8))
 def route_adaptive_optimal(spark, sf):
-    routed = _adaptive(spark, sf, "optimal", 1_200_000, 8.0)
-    return routed.groupBy("window").agg(F.count("*").alias("n"), F.sum("pipeline").alias("spent"))
+    """The optimum within the budget of twenty minutes, branches for the pipelines, and their merge."""
+    routed = _adaptive(spark, sf, "optimal", 1_200_000, 8.0).withColumnRenamed("pipeline", routing.ROUTE)
+    return routing.tagged(routed, {k: {"pipeline": F.lit(k)} for k in (0, 1, 2)}).select("event_id", "class", "pipeline")
 
 
 # --- history, forecast, budgets ----------------------------------------------------------------
@@ -1121,7 +1122,15 @@ def blur_predicate(spark, sf):
 # --- models and signals ------------------------------------------------------------------------
 
 
-@query()
+# A direct transform of the first channel: bins k and 16 - k are equal, and the greatest is in no bucket.
+@query("""
+WITH v AS (SELECT vec_id, list_concat(list_concat(embedding, embedding), embedding) AS s FROM embeddings),
+x AS (SELECT vec_id, t, CAST(s[t * 12 + 1] AS DOUBLE) AS x FROM v, range(16) r(t)),
+k AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * t / 16)), 2) + pow(sum(x * sin(2 * pi() * k * t / 16)), 2)) AS m FROM x, range(9) g(k) GROUP BY vec_id, k),
+b AS (SELECT vec_id, m, CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END AS w, max(m) OVER (PARTITION BY vec_id) AS top FROM k),
+n AS (SELECT vec_id, sum(w) FILTER (WHERE m >= 0.05 * top) AS loud, sum(w) FILTER (WHERE m >= 0.01 * top) AS low_loud, sum(w) FILTER (WHERE m = top) AS on_top FROM b GROUP BY vec_id)
+SELECT vec_id, 120 AS n, CAST(CASE WHEN loud <= 0.05 * 16 THEN low_loud ELSE loud END - on_top AS DOUBLE) AS first_histogram FROM n
+""")
 def fft_features(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.concat(*[F.col("embedding")] * 3).alias("s"))
     out = df.select("vec_id", signal.fft_features("s", 12).alias("f"))
