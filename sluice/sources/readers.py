@@ -57,8 +57,8 @@ class _Rows(InputPartition):
 class NpySource(DataSource):
     """Rows of a .npy array: ``position`` and the flattened rest as ``values`` with its ``dims``.
 
-    Options: ``path``; ``rows`` a partition (default 1024).  The file is mapped, so a partition reads
-    only its own rows; it must lie where the executors see it.
+    Options: ``path``, a local one or a URI of any file system that Arrow opens (file, hdfs, s3, gs ...);
+    ``rows`` a partition (default 1024).  A partition reads the bytes of its own rows only.
     """
 
     @classmethod
@@ -77,14 +77,36 @@ class _NpyReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("rows", 1024))
 
     def partitions(self) -> list[InputPartition]:
-        n = np.load(self.path, mmap_mode="r").shape[0]
+        with _opened(self.path) as f:
+            n = _npy_header(f)[0][0]
         return [_Rows(a, min(n, a + self.step)) for a in range(0, n, self.step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        data = np.load(self.path, mmap_mode="r")
-        dims = [int(d) for d in data.shape[1:]]
-        for i in range(partition.first, partition.last):
-            yield i, np.asarray(data[i], np.float64).ravel().tolist(), dims
+        with _opened(self.path) as f:
+            shape, kind, start = _npy_header(f)
+            size = kind.itemsize * int(np.prod(shape[1:]))
+            f.seek(start + partition.first * size)
+            data = np.frombuffer(f.read((partition.last - partition.first) * size), kind).reshape(-1, *shape[1:])
+        dims = [int(d) for d in shape[1:]]
+        for i, row in enumerate(data, partition.first):
+            yield i, row.astype(np.float64).ravel().tolist(), dims
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.open_input_file(where)
+
+
+def _npy_header(f) -> tuple[tuple[int, ...], np.dtype, int]:
+    """Shape, type and first byte of an array's data."""
+    version = np.lib.format.read_magic(f)
+    header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, kind = header(f)
+    if not shape or kind.hasobject or (by_column and len(shape) > 1):
+        raise CompileError(f"an array of rows of numbers is needed, not {kind} of shape {shape}")
+    return shape, kind, f.tell()
 
 
 def npy(spark: SparkSession, path: str, rows: int = 1024) -> DataFrame:

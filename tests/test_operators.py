@@ -560,6 +560,17 @@ def test_npy(spark, tmp_path):
     assert len({r["sequence_id"] for r in out}) == 6
 
 
+def test_npy_by_uri_in_parts(spark, tmp_path):
+    data = np.arange(60, dtype=np.int16).reshape(10, 2, 3)
+    np.save(tmp_path / "x.npy", data)
+    got = readers.npy(spark, f"file://{tmp_path}/x.npy", 3).orderBy("position").collect()
+    assert [(r["position"], r["values"], r["dims"]) for r in got] == [(i, data[i].ravel().astype(float).tolist(), [2, 3]) for i in range(10)]
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.ones((4, 5))))
+    with pytest.raises(Exception, match="rows of numbers"):
+        readers.npy(spark, f"{tmp_path}/f.npy").collect()
+
+
+
 def test_arrivals_and_replay(spark, tmp_path):
     df = spark.range(400).withColumnRenamed("id", "i")
     gaps = [readers.wave_interval(F.col("i"), 8, 20, 5, 3).alias("g")]
