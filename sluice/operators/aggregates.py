@@ -109,13 +109,19 @@ def species_counts(df: DataFrame, class_col: str, time_ms: str, probability: str
         n = F.sum(weight).over(recent)
         most = F.max(expected).over(recent) if expected else F.lit(None).cast("int")
     else:
-        # The newest rows of a bounded frame, then those within the time: both bounds hold, and no
-        # frame grows with the input.
-        recent = Window.partitionBy(class_col).orderBy(time_ms, *(tie or [])).rowsBetween(-(max_items - 1), 0)
-        rows = F.collect_list(F.struct(F.col(time_ms).alias("t"), weight.cast("double").alias("w"), (F.col(expected) if expected else F.lit(None)).cast("int").alias("e"))).over(recent)
-        held = F.filter(rows, lambda r: r["t"] >= F.col(time_ms) - window_ms)
-        n = F.aggregate(held, F.lit(0.0), lambda a, r: a + r["w"])
-        most = F.array_max(F.transform(held, lambda r: r["e"]))
+        # Both bounds end at the row itself, so the narrower frame holds.  The frame in time is what came before the
+        # row's own time, and what came at that time up to the row; no frame is kept as a list.
+        tie = tie or []
+        by_class = Window.partitionBy(class_col)
+        newest = by_class.orderBy(time_ms, *tie).rowsBetween(-(max_items - 1), 0)
+        earlier = by_class.orderBy(time_ms).rangeBetween(-window_ms, -1)
+        at_once = Window.partitionBy(class_col, time_ms).orderBy(*(tie or [time_ms])).rowsBetween(Window.unboundedPreceding, 0)
+        gone = F.count(F.lit(1)).over(by_class.orderBy(time_ms).rangeBetween(Window.unboundedPreceding, -window_ms - 1))
+        capped = F.row_number().over(by_class.orderBy(time_ms, *tie)) - max_items >= gone
+        total = lambda w: F.coalesce(F.sum(weight.cast("double")).over(w), F.lit(0.0))
+        n = F.when(capped, total(newest)).otherwise(total(earlier) + total(at_once))
+        top = F.col(expected).cast("int") if expected else F.lit(None).cast("int")
+        most = F.when(capped, F.max(top).over(newest)).otherwise(F.greatest(F.max(top).over(earlier), F.max(top).over(at_once)))
     return df.select(*out, n.alias("count"), F.when(most > 0, most).alias("expected_count"))
 
 

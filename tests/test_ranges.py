@@ -104,3 +104,16 @@ def test_queries_give_their_sql_when_their_keys_are_hot(spark, monkeypatch, name
     df = catalog.QUERIES[name](spark, TABLES)
     listed = ", ".join(f'"{c}"' for c in df.columns)
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, con.sql(f"SELECT {listed} FROM ({catalog.SQL[name]})").fetchall()))
+
+
+@pytest.mark.parametrize(("window", "most"), [(50, 4), (7, 100), (0, 3), (1 << 40, 5)])
+def test_species_counts_hold_both_bounds(spark, window, most):
+    """Against a fold over arrivals: times repeat, weights and expectations may be null."""
+    made = [("ab"[i % 2], (i * 13 % 97) // 3, i, None if i % 7 == 0 else i % 5 / 4, None if i % 3 else i % 11) for i in range(150)]
+    df = spark.createDataFrame(made, "c string, t long, i int, p double, e int")
+    got = {r["i"]: (round(r["count"], 9), r["expected_count"]) for r in aggregates.species_counts(df, "c", "t", "p", "e", window, most, ["i"]).collect()}
+    for c, t, i, _, _ in made:
+        seen = sorted((u, j, p, e) for d, u, j, p, e in made if d == c and (u, j) <= (t, i))[-most:]
+        kept = [(p, e) for u, _, p, e in seen if u >= t - window]
+        top = max((e for _, e in kept if e is not None), default=0)
+        assert got[i] == (round(sum(p or 0.0 for p, _ in kept), 9), top or None)
