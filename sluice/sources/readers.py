@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -217,17 +217,27 @@ def capture(df: DataFrame, path: str, order: list[str], n: int = 25) -> None:
     df.orderBy(*order).limit(n).write.mode("overwrite").parquet(path)
 
 
-def replay(spark: SparkSession, path: str, relative_ns: str, start_ns: int = 0, cycles: int = 1, adjust_ns: int = 0) -> DataFrame:
+def replay(spark: SparkSession, path: str, relative_ns: str, start_ns: int = 0, cycles: int = 1, adjust_ns: int | Sequence[int] = 0, order: list[str] | None = None) -> DataFrame:
     """Captured rows with creation times from ``start_ns`` on; further cycles follow the first.
 
-    The first pass takes no adjustment below 0; later ones do.
+    ``adjust_ns`` shifts creation times: one number, or a sequence that rows take in their order (``relative_ns``,
+    then ``order``) around and around through all cycles.  The first pass takes no adjustment below 0; later ones do.
     """
     df = spark.read.parquet(path)
-    span = df.agg(F.max(relative_ns)).first()[0] or 0
+    first = df.agg(F.max(relative_ns).alias("span"), F.count("*").alias("n")).first()
+    span, n = first["span"] or 0, first["n"]
+    shift = F.lit(adjust_ns) if isinstance(adjust_ns, int) else None
+    if shift is None:
+        if not len(adjust_ns):
+            raise CompileError("a sequence of adjustments must not be empty")
+        df = positions(df, [relative_ns, *(order or [])], "_position")
     repeated = df.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
-    shift = F.when(F.col("cycle") == 0, max(adjust_ns, 0)).otherwise(adjust_ns)
+    if shift is None:
+        at = F.pmod(F.col("cycle").cast("long") * n + F.col("_position"), F.lit(len(adjust_ns))).cast("int")
+        shift = F.get(F.array(*[F.lit(int(a)).cast("long") for a in adjust_ns]), at)
+    shift = F.when(F.col("cycle") == 0, F.greatest(shift, F.lit(0))).otherwise(shift)
     created = F.lit(start_ns).cast("long") + F.col("cycle") * (span + 1) + F.col(relative_ns) + shift
-    return repeated.withColumn("created_ns", created)
+    return repeated.withColumn("created_ns", created).drop("_position")
 
 
 def event_log(df: DataFrame, location: str, id_col: str, time_ns: str, start_ns: int, aux: list[str] | None = None) -> DataFrame:

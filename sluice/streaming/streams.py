@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from sluice.errors import CompileError
 from sluice.operators.history import Lookahead
@@ -62,6 +62,38 @@ def to_sinks(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+class ProgressLog(StreamingQueryListener):
+    """An event log of streams: a row for each micro-batch and each end of a query, appended to a table of files.
+
+    Spark commits each append, so a failed one leaves no rows behind.  Logs are read with :meth:`rows`.
+    """
+
+    SCHEMA = "query string, event string, batch bigint, at string, input_rows bigint, state_rows bigint, took_ms bigint, error string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _add(self, *row) -> None:
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        took = sum(p.durationMs.get(k, 0) for k in ("triggerExecution",))
+        self._add(str(p.id), "progress", p.batchId, p.timestamp, p.numInputRows, sum(s.numRowsTotal for s in p.stateOperators), took, None)
+
+    def onQueryTerminated(self, event) -> None:
+        self._add(str(event.id), "ended", None, None, None, None, None, event.exception)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
 def _frame(rows, names: list[str], order: str):
     """A group's rows in order of arrival.  Columns come by place: names that Python reserves are lost on the way."""
     import pandas as pd

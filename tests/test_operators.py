@@ -588,3 +588,12 @@ def test_arrivals_and_replay(spark, tmp_path):
     assert log["location"] == "router" and log["aux"] == {"i": "0"}
     meta = spark.createDataFrame([(1, {"cat": 2})], "image_id int, c map<string,bigint>")
     assert readers.class_counts(meta, "image_id", "c", {"cat": 15, "dog": 16}).first()["expected_count_16"] == 0
+
+
+def test_replay_takes_a_sequence_of_adjustments_around_all_cycles(spark, tmp_path):
+    spark.createDataFrame([(i, i * 10) for i in range(5)], "id int, r long").repartition(3).write.parquet(f"{tmp_path}/captured")
+    got = {(r["cycle"], r["id"]): r["created_ns"] for r in readers.replay(spark, f"{tmp_path}/captured", "r", 1000, 2, [3, -2, 0]).collect()}
+    by = [3, -2, 0]
+    assert got == {(c, i): 1000 + c * 41 + i * 10 + (by[(c * 5 + i) % 3] if c else max(by[i % 3], 0)) for c in range(2) for i in range(5)}
+    with pytest.raises(CompileError):
+        readers.replay(spark, f"{tmp_path}/captured", "r", adjust_ns=[])

@@ -108,3 +108,25 @@ def test_sinks_and_late_rows(spark, feed, tmp_path):
     assert len(seen) == 3 and sum(a + b for _, a, b in seen) == feed[0].count() and sum(b for *_, b in seen) > 0
     once = collect(streams.dedup_feedback(streams.with_event_time(stream(), "ts", "40 days"), "user_id", "event_type").select("user_id", "event_type"), "once")
     assert once == sorted(map(tuple, feed[0].select("user_id", "event_type").distinct().collect()), key=str)
+
+
+def test_an_event_log_of_streams(spark, feed, tmp_path):
+    import time
+
+    table, stream = feed
+    log = streams.ProgressLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        streams.to_sinks(stream(), str(tmp_path / "checkpoint"), lambda batch, epoch: batch.count()).awaitTermination()
+        bad = streams.to_sinks(stream(), str(tmp_path / "bad"), lambda batch, epoch: batch.select(F.raise_error(F.lit("broken"))).collect())
+        with pytest.raises(Exception, match="broken"):
+            bad.awaitTermination()
+        end = time.time() + 40
+        while time.time() < end and (not (tmp_path / "log").exists() or log.rows().filter("event = 'ended'").count() < 2):
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.rows().collect()
+    first = [r for r in rows if r["event"] == "progress"]
+    assert sum(r["input_rows"] for r in first) == table.count() and sorted(r["batch"] for r in first) == [0, 1, 2]
+    assert sorted(r["error"] is None for r in rows if r["event"] == "ended") == [False, True]
