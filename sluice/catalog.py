@@ -1098,10 +1098,22 @@ def box_iou(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(boxes.iou(a, b)).alias("iou"))
 
 
-@query("SELECT event_id, CASE WHEN (100 - user_id % 100) / (100.0 + user_id % 100) <= 0.5 THEN '0,2,1' ELSE '0,2' END AS kept FROM events")
+def _iou_sql(p: str, q: str) -> str:
+    """The overlap of two boxes given as four columns each (``p_x1`` and so on)."""
+    shared = f"greatest(0, least({p}_x2, {q}_x2) - greatest({p}_x1, {q}_x1)) * greatest(0, least({p}_y2, {q}_y2) - greatest({p}_y1, {q}_y1))"
+    area = lambda c: f"({c}_x2 - {c}_x1) * ({c}_y2 - {c}_y1)"
+    return f"({shared}) / ({area(p)} + {area(q)} - ({shared}))"
+
+
+_THREE_BOXES = f"SELECT event_id, ax AS a_x1, ay AS a_y1, ax + aw AS a_x2, ay + ah AS a_y2, bx AS b_x1, b_y AS b_y1, bx + bw AS b_x2, b_y + bh AS b_y2, ax + bx % 60 AS c_x1, ay + 5 AS c_y1, ax + bx % 60 + aw AS c_x2, ay + 5 + bh AS c_y2 FROM ({_TWO_BOXES})"
+
+
+@query(f"WITH t AS ({_THREE_BOXES}), o AS (SELECT event_id, {_iou_sql('a', 'b')} AS ab, {_iou_sql('a', 'c')} AS ac, {_iou_sql('c', 'b')} AS cb FROM t) SELECT event_id, '0' || CASE WHEN ac <= 0.5 THEN ',2' ELSE '' END || CASE WHEN ab <= 0.5 AND NOT (ac <= 0.5 AND cb > 0.5) THEN ',1' ELSE '' END AS kept FROM o")
 def nms(spark, sf):
-    x, y, off = F.col("value").cast("int"), (F.col("user_id") * 3).cast("int"), (F.col("user_id") % 100).cast("int")
-    made = F.array(F.array(x, y, x + 100, y + 50), F.array(x + off, y, x + off + 100, y + 50), F.array(x, y + 45, x + 100, y + 95))
+    """Three boxes of each event, of every size and distance; the best score first."""
+    i, u = F.col("event_id"), F.col("user_id")
+    box = lambda x, y, w, h: F.array(*[c.cast("double") for c in (x, y, x + w, y + h)])
+    made = F.array(box(i % 90, u % 70, 40 + i % 50, 30 + u % 40), box(i * 7 % 110, u * 3 % 80, 20 + i % 70, 25 + i % 60), box(i % 90 + i * 7 % 110 % 60, u % 70 + 5, 40 + i % 50, 25 + i % 60))
     df = table(spark, sf, "events").select("event_id", made.alias("boxes"), F.array(F.lit(0.9), F.lit(0.8), F.lit(0.85)).alias("scores"))
     return boxes.nms(df, "boxes", "scores", 0.5).select("event_id", F.concat_ws(",", F.transform("kept", lambda k: k.cast("string"))).alias("kept"))
 
