@@ -115,5 +115,5 @@ def test_run_on_odd_rows(spark, make_docs, odd_rows, tmp_path, empty):
 def test_registered(spark):
     names = set(__spark_entry__.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= names
