@@ -117,3 +117,25 @@ def test_species_counts_hold_both_bounds(spark, window, most):
         kept = [(p, e) for u, _, p, e in seen if u >= t - window]
         top = max((e for _, e in kept if e is not None), default=0)
         assert got[i] == (round(sum(p or 0.0 for p, _ in kept), 9), top or None)
+
+
+@pytest.mark.parametrize("name", ["agg_species_count_capped", "agg_species_count_prob", "agg_species_count_simple"])
+def test_species_counts_meet_no_row_once_for_each_frame(spark, monkeypatch, name):
+    """No frame in time that slides, which would go through all its rows again for each row; hot keys give the SQL's rows."""
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "specifiedwindowframe(RangeFrame, -" not in plan(catalog.QUERIES[name](spark, TABLES))
+    test_queries_give_their_sql_when_their_keys_are_hot(spark, monkeypatch, name)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_recent_totals_look_back_to_the_first_row_near_enough(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(ranges, "RANGE_ROWS", 40)
+        monkeypatch.setattr(ranges, "HOT_ROWS", 20)
+    made = [("ab"[i % 2], None if i % 50 == 0 else (i * i % 211) - 60, i, None if i % 7 == 0 else float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(made, "k string, t long, i int, v double")
+    got = {r["i"]: (r["s"], r["n"], r["m"]) for r in ranges.recent(df, ["k"], "t", ["i"], 25, {"s": ("sum", F.col("v")), "n": ("count", F.col("i")), "m": ("min", F.col("v"))}).collect()}
+    for k, t, i, _ in made:
+        seen = [v for d, u, j, v in made if d == k and ((u is None and j <= i) if t is None else u is not None and t - 25 <= u and (u, j) <= (t, i))]
+        kept = [v for v in seen if v is not None]
+        assert got[i] == (sum(kept) if kept else None, len(seen), min(kept, default=None))
