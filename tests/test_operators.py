@@ -386,6 +386,16 @@ def test_positions_are_gapless_beyond_the_sample_of_the_ranges(spark):
     assert relational.positions(df.limit(0), ["at"]).count() == 0
 
 
+def test_pairs_of_a_key_are_dealt_to_blocks(spark):
+    """Few rows of a key make many pairs: a block's rows are few, and pairs are those of the plain join."""
+    a = spark.createDataFrame([(k, i) for k, n in ((1, 90), (None, 40), (2, 5), (3, 1)) for i in range(n)], "k int, a int")
+    b = spark.createDataFrame([(k, i) for k, n in ((1, 30), (None, 20), (2, 2), (4, 9)) for i in range(n)], "k int, b int")
+    plain, dealt = (joins.inner_build_right(a, b, ["k"], F.col("a") + F.col("b") != 7, block_pairs=n) for n in (None, 50))
+    assert rows(plain) == rows(dealt) and plain.columns == dealt.columns
+    made = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert made < 90 * 30 / 4
+
+
 def test_range_join_matches_theta(spark):
     rng = random.Random(1)
     a = spark.createDataFrame([(i, rng.randrange(3), rng.randrange(-200, 200)) for i in range(80)], "i int, k int, t long")
