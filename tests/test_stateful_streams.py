@@ -216,3 +216,18 @@ def test_a_restart_repeats_and_loses_nothing(spark, tmp_path):
     run()
     run()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(k, 2, 2, 6.0) for k in range(20)]
+
+
+def test_a_feed_is_written_by_many_tasks_in_order(spark, monkeypatch, tmp_path):
+    """No task takes a whole part, and a micro-batch has the next part's files."""
+    monkeypatch.setattr(catalog, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(catalog, "FEED_FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(catalog, "FEED_BATCH_ROWS", 400, raising=False)
+    fed = catalog._feed(spark.range(2000).withColumn("v", F.col("id") * 2).repartition(3), "id")
+    (path,) = tmp_path.glob("feed-*")
+    counts = [r["count"] for r in spark.read.parquet(str(path)).groupBy(F.input_file_name()).count().collect()]
+    assert sum(counts) == 2000 and max(counts) < 200
+    seen = []
+    query = fed.writeStream.foreachBatch(lambda b, _: seen.append(sorted(r["id"] for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [len(s) for s in seen] == [400] * 5 and sum(seen, []) == list(range(2000))
