@@ -79,39 +79,78 @@ def resample(rows: np.ndarray, n: int) -> np.ndarray:
 
 def spectrum_stats(rows: np.ndarray, n: int) -> np.ndarray:
     """The five strongest of the mean spectrum, their frequencies, and the share of high frequencies."""
-    spectrum = np.abs(np.fft.rfft(resample(rows.astype(np.float32), n), axis=1)).mean(0)
+    return _spectra(rows[None], n)[0]
+
+
+def _spectra(rows: np.ndarray, n: int) -> np.ndarray:
+    """As :func:`spectrum_stats`, for each of [images, rows, columns]."""
+    m, k, w = rows.shape
+    spectrum = np.abs(np.fft.rfft(resample(rows.reshape(m * k, w).astype(np.float32), n), axis=1)).reshape(m, k, -1).mean(1)
     peaks = spectrum.copy()
-    peaks[0] = 0
-    order = np.argsort(-peaks, kind="stable")[:PEAKS]
-    total, high = spectrum[1:].sum(), spectrum[n // 20 :].sum()
-    return np.concatenate([peaks[order], order / n, [high / total if total > 0 else 0.0]]).astype(np.float32)
+    peaks[:, 0] = 0
+    order = _strongest(peaks)
+    # Summed image by image: a sum over an axis adds in another order.
+    total, high = (np.array([one[low:].sum() for one in spectrum], np.float32) for low in (1, n // 20))
+    share = np.divide(high, total, out=np.zeros_like(total), where=total > 0)
+    return np.concatenate([np.take_along_axis(peaks, order, 1), order / n, share[:, None]], axis=1).astype(np.float32)
+
+
+def _strongest(peaks: np.ndarray) -> np.ndarray:
+    """Places of the greatest of each row, one after another: of equal ones the first."""
+    left, at = peaks.copy(), np.arange(len(peaks))
+    out = np.empty((len(peaks), PEAKS), np.int64)
+    for i in range(PEAKS):
+        out[:, i] = left.argmax(1)
+        left[at, out[:, i]] = -1
+    return out
 
 
 def image_features(image: np.ndarray, strategy: str = "thirds") -> np.ndarray:
     """59 features of an [h, w, 3] image, or 26 with ``luma_only``."""
+    return features_of_images(image[None], strategy)[0]
+
+
+def features_of_images(images: np.ndarray, strategy: str = "thirds") -> np.ndarray:
+    """As :func:`image_features`, for each of [images, h, w, 3]."""
     if strategy not in STRATEGIES:
         raise CompileError(f"unknown strategy {strategy!r}; there are {sorted(STRATEGIES)}")
     n_rows, averaged, n = STRATEGIES[strategy]
-    h, w = image.shape[:2]
-    rows = image[sampled_rows(h, n_rows)].astype(np.float32)
-    rows = rows.reshape(n_rows // averaged, averaged, w, 3).mean(1)
-    luma = rows.mean(2)
-    contrast = np.abs(luma[:, CONTRAST:] - luma[:, : max(0, w - CONTRAST)])
-    channels = [luma, contrast] if strategy == "luma_only" else [luma, *(rows[:, :, c] for c in range(3)), contrast]
-    return np.concatenate([np.array([w, h, w * h, w / h], np.float32), *(spectrum_stats(c, n) for c in channels)])
+    m, h, w = images.shape[:3]
+    rows = images[:, sampled_rows(h, n_rows)].astype(np.float32)
+    rows = rows.reshape(m, n_rows // averaged, averaged, w, 3).mean(2)
+    luma = rows.mean(3)
+    contrast = np.abs(luma[:, :, CONTRAST:] - luma[:, :, : max(0, w - CONTRAST)])
+    channels = [luma, contrast] if strategy == "luma_only" else [luma, *(rows[..., c] for c in range(3)), contrast]
+    sizes = np.broadcast_to(np.array([w, h, w * h, w / h], np.float32), (m, 4))
+    return np.concatenate([sizes, *(_spectra(c, n) for c in channels)], axis=1)
+
+
+#: Pixels of images that are worked on together.
+TILE_PIXELS = 1 << 14
 
 
 def with_image_features(df: DataFrame, shape: str, data: str, strategy: str = "thirds", name: str = "features") -> DataFrame:
-    """``df`` with the features of images given as shape [h, w, 3] and bytes; null where they do not fit."""
+    """``df`` with the features of images given as shape [h, w, 3] and bytes; null where they do not fit.
+
+    Images of one shape in a batch are worked on together.
+    """
 
     @F.pandas_udf("array<float>")
     def features(shapes, buffers):
         import pandas as pd
 
-        out = []
-        for s, b in zip(shapes, buffers, strict=True):
-            ok = s is not None and b is not None and len(s) == 3 and s[2] == 3 and int(np.prod(s)) == len(b) > 0
-            out.append(image_features(np.frombuffer(b, np.uint8).reshape(tuple(int(v) for v in s)), strategy).tolist() if ok else None)
+        out, alike = [None] * len(shapes), {}
+        for i, (s, b) in enumerate(zip(shapes, buffers, strict=True)):
+            size = () if s is None or b is None else tuple(s.tolist() if isinstance(s, np.ndarray) else s)
+            if len(size) == 3 and size[2] == 3 and size[0] * size[1] * 3 == len(b) > 0:
+                alike.setdefault((int(size[0]), int(size[1]), 3), []).append((i, b))
+        for size, found in alike.items():
+            step = max(1, TILE_PIXELS // (size[0] * size[1]))
+            for at in range(0, len(found), step):
+                part = found[at : at + step]
+                images = np.frombuffer(b"".join(b for _, b in part), np.uint8).reshape(len(part), *size)
+                for (i, _), f in zip(part, features_of_images(images, strategy), strict=True):
+                    out[i] = f
         return pd.Series(out)
 
     return df.withColumn(name, features(F.col(shape), F.col(data)))

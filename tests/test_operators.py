@@ -386,6 +386,28 @@ def test_positions_are_gapless_beyond_the_sample_of_the_ranges(spark):
     assert relational.positions(df.limit(0), ["at"]).count() == 0
 
 
+@pytest.mark.parametrize("strategy", sorted(signal.STRATEGIES))
+def test_images_of_one_shape_have_the_features_of_each(strategy):
+    images = np.random.default_rng(5).integers(0, 256, (30, 13, 17, 3)).astype(np.uint8)
+    images[3], images[4] = 0, 255
+    together = signal.features_of_images(images, strategy)
+    assert all((f == signal.image_features(i, strategy)).all() for i, f in zip(images, together, strict=True))
+
+
+def test_a_block_of_pairs_of_vectors_holds_few_distances_at_once(monkeypatch):
+    import pyarrow as pa
+
+    sizes, plain = [], vectors.distances
+    monkeypatch.setattr(vectors, "distances", lambda q, x, metric: sizes.append(len(q) * len(x)) or plain(q, x, metric))
+    monkeypatch.setattr(vectors, "TILE", 1000, raising=False)
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    index = pa.table({"i": list(range(300)), "c": pa.nulls(300, pa.string()), "v": list(x)})
+    found = vectors.block_search(3, "cosine", False, None, [pa.int64(), pa.string()], pa.list_(pa.float64()))(index, pa.table({"_q": list(x[:50])}))
+    assert found.num_rows == 50 and max(sizes) <= 1000
+    want = np.argsort(plain(x[:50], x, "cosine"), axis=1, kind="stable")[:, :3]
+    assert [[n["id"] for n in near] for near in found.column("_n").to_pylist()] == want.tolist()
+
+
 def test_pairs_of_a_key_are_dealt_to_blocks(spark):
     """Few rows of a key make many pairs: a block's rows are few, and pairs are those of the plain join."""
     a = spark.createDataFrame([(k, i) for k, n in ((1, 90), (None, 40), (2, 5), (3, 1)) for i in range(n)], "k int, a int")
