@@ -231,3 +231,16 @@ def test_a_feed_is_written_by_many_tasks_in_order(spark, monkeypatch, tmp_path):
     query = fed.writeStream.foreachBatch(lambda b, _: seen.append(sorted(r["id"] for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [len(s) for s in seen] == [400] * 5 and sum(seen, []) == list(range(2000))
+
+
+def test_outcomes_are_whole_when_parts_have_many_files(spark, monkeypatch):
+    """Files that differ in number between the two feeds, and more micro-batches."""
+    import duckdb
+
+    monkeypatch.setattr(catalog, "FEED_FILE_ROWS", 60)
+    monkeypatch.setattr(catalog, "FEED_BATCH_ROWS", 400)
+    df = catalog.QUERIES["stream_outcomes"](spark, TABLES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{TABLES}/events.parquet'")
+    listed = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {listed} FROM ({catalog.SQL['stream_outcomes']})").fetchall())
