@@ -244,3 +244,25 @@ def test_outcomes_are_whole_when_parts_have_many_files(spark, monkeypatch):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{TABLES}/events.parquet'")
     listed = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {listed} FROM ({catalog.SQL['stream_outcomes']})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["stream_outcomes", "stream_complete_by_count"])
+def test_a_drained_stream_keeps_one_store_for_a_partition(spark, monkeypatch, tmp_path, name):
+    """Micro-batches leave their changes, not whole stores; the session's own settings stay as they were."""
+    monkeypatch.setattr(catalog, "shared_dir", lambda _: str(tmp_path))
+    before = {n: spark.conf.get(n, None) for n in stateful.LEAN_STORE}
+    catalog.QUERIES[name](spark, TABLES)
+    assert {n: spark.conf.get(n, None) for n in stateful.LEAN_STORE} == before
+    (partition,) = tmp_path.glob("drained-*/checkpoint/state/0/0")
+    assert list(partition.glob("**/*.changelog"))
+    assert not [p.name for p in partition.iterdir() if p.is_dir() and "keyTo" in p.name or "keyWith" in p.name]
+
+
+def test_a_part_of_a_feed_reads_its_own_rows_only(spark, monkeypatch, tmp_path):
+    """Parts grow with the rows, so none may read them all again."""
+    monkeypatch.setattr(catalog, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(catalog, "FEED_BATCH_ROWS", 100)
+    catalog._feed(spark.range(1000).withColumn("v", F.col("id") * 2), "id")
+    (filed,) = tmp_path.glob("filed-*")
+    counts = {p.name: spark.read.parquet(str(p)).count() for p in filed.glob("_part=*")}
+    assert counts == {f"_part={k}": 100 for k in range(10)}
