@@ -174,6 +174,53 @@ def test_groups_that_never_complete_are_dropped(spark, tmp_path):
     assert rows_of(spark, "dropped") == [(2, 1, 1, 2.0), (3, 1, 0, 3.0)]
 
 
+def drained(df, path):
+    df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def test_calls_of_the_processor_do_not_grow_with_the_groups(spark, tmp_path):
+    """Of 3,000 groups some complete within a micro-batch, some over two, some never; a call and a state are a bucket's."""
+    feed = Feed(spark, tmp_path / "in", "k long, expected long, v double")
+    for batch in range(2):
+        feed.add(spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 + 1).alias("expected"), (F.col("id") + batch).cast("double").alias("v")))
+    query = start(stateful.complete_by_count(feed.stream(), "k", "expected", "v"), "bucketed")
+    try:
+        query.processAllAvailable()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        query.stop()
+    want = [(k, 1, 1, float(k + b)) for k in range(0, 3000, 3) for b in (0, 1)] + [(k, 2, 2, 2.0 * k + 1) for k in range(1, 3000, 3)]
+    assert rows_of(spark, "bucketed") == sorted(want, key=repr)
+    # 2,000 groups wait after the first micro-batch, 1,000 after the second.
+    assert 0 < max(held) <= 1024
+
+
+@pytest.mark.parametrize(
+    ("kind", "keys"),
+    [("bigint", ["9007199254740993", "9007199254740992", "NULL", "0"]), ("string", ["'a'", "''", "NULL"]), ("double", ["0.0D", "1.5D", "NULL"]), ("date", ["date'9999-12-31'", "NULL"])]
+    + [("decimal(30,6)", ["12345678901234567890.123456BD", "NULL"]), ("timestamp", ["timestamp'1969-01-01 00:00:00.000001'", "NULL"])],
+    ids=["bigint", "string", "double", "date", "decimal", "timestamp"],
+)
+def test_keys_stay_what_they_are_beside_nulls(spark, tmp_path, kind, keys):
+    """Large whole numbers beside a null key pass through no double, and keys of a bucket are told apart."""
+    feed = Feed(spark, tmp_path / "in", f"k {kind}, e long, v double")
+    rows = spark.sql(" UNION ALL ".join(f"SELECT CAST({k} AS {kind}) AS k, 3L AS e, {i + 1}.5D AS v" for i, k in enumerate(keys)))
+    for _ in range(3):
+        feed.add(rows)
+    got = drained(stateful.complete_by_count(feed.stream(), "k", "e", "v", buckets=2), tmp_path / "out")
+    want = rows.select("k", F.lit(3).cast("long"), F.lit(3).cast("long"), F.col("v") * 3)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_zero_of_either_sign_is_one_group_and_nested_keys_are_none(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "k double, e long, v double")
+    feed.add([(0.0, 2, 1.0), (-0.0, 2, 2.0)])
+    assert list(map(tuple, drained(stateful.complete_by_count(feed.stream(), "k", "e", "v"), tmp_path / "out").collect())) == [(0.0, 2, 2, 3.0)]
+    with pytest.raises(CompileError):
+        stateful.complete_by_count(feed.stream().withColumn("k", F.array("k")), "k", "e", "v")
+
+
 @pytest.mark.parametrize("include", [True, False])
 def test_outcomes_of_a_stream_are_those_of_the_tables(spark, tmp_path, include):
     """Stale items become pipeline 0 with the limit as elapsed time, or are left out; feedback after the limit meets none."""
