@@ -418,6 +418,25 @@ def test_pairs_of_a_key_are_dealt_to_blocks(spark):
     assert made < 90 * 30 / 4
 
 
+@pytest.mark.parametrize(("lefts", "rights"), [(400, 300), (1, 900), (900, 2)])
+def test_right_rows_come_once_for_a_slice_of_the_left(spark, monkeypatch, lefts, rights):
+    """No more blocks than partitions, whatever the pairs; in each, a right row meets a short round of left ones before the next does."""
+    monkeypatch.setattr(joins, "MOST_PARTITIONS", 40)
+    monkeypatch.setattr(joins, "ROUND_ROWS", 16, raising=False)
+    monkeypatch.setattr(joins, "written", lambda df, name: spark.createDataFrame(df.collect(), df.schema))
+    a = spark.range(lefts).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    b = spark.range(rights).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where both sides are large
+    try:
+        got = joins.inner_build_right(a, b, ["k"], block_pairs=50).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["a"], r["b"]) for r in got) == [(i, j) for i in range(lefts) for j in range(rights)]
+    copies = sum(x["p"] != y["p"] or x["b"] != y["b"] for x, y in zip(got, got[1:], strict=False))
+    assert copies <= max(45, -(-lefts // 16)) * rights
+
+
 def test_range_join_matches_theta(spark):
     rng = random.Random(1)
     a = spark.createDataFrame([(i, rng.randrange(3), rng.randrange(-200, 200)) for i in range(80)], "i int, k int, t long")
